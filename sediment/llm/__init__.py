@@ -6,7 +6,9 @@ import importlib
 
 #: Module and function of each query.
 _QUERIES = {
+    "op1_minhash": ("op1_fingerprints", "op1_minhash"),
     "op2_mix": ("op2_mixing", "op2_mix"),
+    "op3_ngram_jaccard": ("op3_jaccard", "op3_ngram_jaccard"),
     "op4_secrets": ("op4_secrets", "op4_secrets"),
     "op7_kd_tree": ("op7_sharding", "op7_kd_tree"),
     "op9_warc": ("op9_warc", "op9_warc"),
