@@ -11,6 +11,7 @@ _QUERIES = {
     "op3_ngram_jaccard": ("op3_jaccard", "op3_ngram_jaccard"),
     "op4_secrets": ("op4_secrets", "op4_secrets"),
     "op7_kd_tree": ("op7_sharding", "op7_kd_tree"),
+    "op8_toxicity": ("op8_toxicity", "op8_toxicity"),
     "op9_warc": ("op9_warc", "op9_warc"),
     "op10_decontaminate": ("op10_decontamination", "op10_decontaminate"),
 }
