@@ -22,8 +22,8 @@ from ._common import small_batches, table, text_column
 
 #: Labelled pages that weights are counted on at most (drawn by hash), and keys that are kept.
 MAX_PAGES, MAX_KEYS = 4000, 2000
-#: Bounds of a tag's weight, and the weight of a tag inside a marked article.
-LOWEST, HIGHEST, MARKED = -3.0, -0.01, -0.01
+#: Bounds of a tag's weight, and the weight of a tag inside a marked article or a named menu.
+LOWEST, HIGHEST, MARKED = -3.0, -0.01, -0.001
 
 # Elements by kind, and words in classes, ids and roles that name what isn't the article.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp"}
@@ -158,10 +158,10 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     for i, (kind, value, key, outside, marked) in enumerate(seq):
         if kind == "text":
             total += 0.0 if outside else float(len(value.split()))
-        elif marked and not outside:
+        elif marked or outside:  # what lies outside is left out of the region's text, so it need not part the region
             total += MARKED
         else:
-            total += weights.get(key, weights.get(key.split(".")[0], LOWEST if outside else HIGHEST))
+            total += weights.get(key, weights.get(key.split(".")[0], HIGHEST))
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
