@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import new_folder, shuffle_partitions, small_batches, table, text_column, written
+from ._common import new_folder, small_batches, table, text_column, written
 
 # Fixed values of the archive format.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -193,7 +193,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     Null html is an empty payload, a null url leaves its header out. Repeated rows each give a record. No rows, no archives.
     """
     small_batches(pages.sparkSession)
-    ready = settle(pages, page_id, url, html).repartition(shuffle_partitions(pages.sparkSession), F.xxhash64("page_id", "url")).sortWithinPartitions("page_id", "digest")
+    ready = settle(pages, page_id, url, html).sortWithinPartitions("page_id", "digest", "url")  # each task writes what the join dealt it
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
