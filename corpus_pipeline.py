@@ -1 +1,55 @@
-STAGES=[]; ORACLE_SQL=None; run=None
+"""A training-data pipeline of five operators, each a stage from documents to documents.
+
+run() writes each stage's rows to the shared folder and reads them again, so that lineage stays short and a lost
+executor costs one stage's tasks at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sediment.llm._common import table, written
+from sediment.llm.op2_mixing import mix_sources
+from sediment.llm.op3_jaccard import keep_one_each
+from sediment.llm.op7_sharding import shard_documents
+from sediment.llm.op8_toxicity import keep_civil
+from sediment.llm.op10_decontamination import clean_documents
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier, fitted on the labelled ones among them, rejects go."""
+    return keep_civil(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of documents of similarity 0.8 or more, the one of the smallest doc_id stays."""
+    return keep_one_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a window of a benchmark item occurs go."""
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out so that sources take shares by the square root of their bytes; order is shuffled."""
+    return mix_sources(docs).select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows in 16 shards of nearly equal bytes, with their place in the shard."""
+    return shard_documents(docs, n_shards=16)
+
+
+STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("decontamination", drop_contaminated), ("mixing", mix), ("sharding", shard)]
+
+#: The classifier of the first stage has no equivalent in SQL; the pipeline is tested against its stages' brute-force versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

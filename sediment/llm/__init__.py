@@ -10,6 +10,7 @@ _QUERIES = {
     "op2_mix": ("op2_mixing", "op2_mix"),
     "op3_ngram_jaccard": ("op3_jaccard", "op3_ngram_jaccard"),
     "op4_secrets": ("op4_secrets", "op4_secrets"),
+    "op5_substring_dedup": ("op5_substrings", "op5_substring_dedup"),
     "op6_html_text": ("op6_html", "op6_html_text"),
     "op7_kd_tree": ("op7_sharding", "op7_kd_tree"),
     "op8_toxicity": ("op8_toxicity", "op8_toxicity"),

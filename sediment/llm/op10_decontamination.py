@@ -160,6 +160,21 @@ def _recounted(df: DataFrame) -> DataFrame:
     return df.mapInArrow(count, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
 
 
+def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of `docs`, every column kept, in which no window of any item occurs; null and empty texts stay."""
+    small_batches(docs.sparkSession)
+    for block in item_blocks(items):
+
+        def clean(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
+            auto = _automaton(block)
+            for batch in batches:
+                keep = [not len(auto) or next(auto.iter(f" {b' '.join(words_of(t)).decode('latin-1')} "), None) is None for t in text_column(batch, text).to_pylist()]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item."""
     got = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -276,6 +276,16 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return rows.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("of_node")).alias("component_id"))
 
 
+def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, every column kept, whose doc_id is the smallest of its component.
+
+    Rows are known by doc_id: repeated rows of a kept id all stay, and so do rows of a null id.
+    """
+    got = jaccard_components(docs, doc_id, text, threshold)
+    others = written(got.filter("component_id <> doc_id").select(F.col("doc_id").alias(doc_id)).distinct(), "jaccard-others")
+    return docs.join(F.broadcast(others) if others.count() <= BROADCAST_SETS else others, doc_id, "left_anti")
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at similarity 0.8 over five-word shingles."""
     return jaccard_components(table(spark, sf_dir, "documents"))

@@ -183,6 +183,13 @@ def score_documents(docs: DataFrame, model: tuple[dict[str, float], float], doc_
     return need.mapInArrow(run, f"{kinds}, score double")
 
 
+def keep_civil(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of `docs`, every column kept, that score below one half; null and empty texts stay."""
+    score = "toxicity score"  # no name that a table is likely to have
+    got = score_documents(docs.withColumn(f"{score} row", F.struct(*docs.columns)), fit(docs, labels), text=text, carry=[f"{score} row"])
+    return got.filter(F.col("score") < 0.5).select(f"{score} row.*")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by the model fitted on four folds of the labels."""
     docs = table(spark, sf_dir, "documents")
