@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ._common import shuffle_partitions, small_batches, table, text_column
 from ._shingles import SHINGLE, _PLACES, mixed, rolled, word_hashes
@@ -125,17 +124,11 @@ def _by_successor(docs: DataFrame) -> DataFrame:
 
     ids = docs.select("doc_id").repartitionByRange(n, "doc_id").mapInArrow(lowest, "doc_id long")
     firsts = sorted(r[0] for r in ids.collect()) or [0]
-    bounds = np.array(firsts, np.int64)
-
-    @F.pandas_udf(T.IntegerType())
-    def place_of(ids):  # noqa: ANN001, ANN202
-        x = ids.to_numpy(np.int64)
-        run = np.searchsorted(bounds, x, "right") - 1
-        return ids.__class__((2 * run + (bounds[run] == x)).astype(np.int32))  # twice the run, odd for its first id
-
-    at = docs.withColumn("place", place_of("doc_id")).withColumn("run", F.shiftright("place", 1))
+    bounds = F.split(F.lit(",".join(map(str, firsts))), ",").cast("array<bigint>")  # folded into one constant
+    at = docs.withColumn("run", F.size(F.filter(bounds, lambda first: first <= F.col("doc_id"))) - 1)
     before = F.pmod(F.col("run") - 1, F.lit(len(firsts)))
-    copies = F.when(F.col("place") % 2 == 1, F.array(F.struct(F.col("run").alias("run"), F.lit(False).alias("follower")), F.struct(before.cast("int").alias("run"), F.lit(True).alias("follower"))))
+    heads = F.element_at(bounds, F.col("run") + 1) == F.col("doc_id")
+    copies = F.when(heads, F.array(F.struct(F.col("run").alias("run"), F.lit(False).alias("follower")), F.struct(before.cast("int").alias("run"), F.lit(True).alias("follower"))))
     own = F.array(F.struct(F.col("run").alias("run"), F.lit(False).alias("follower")))
     dealt = at.select("doc_id", "text", F.inline(F.coalesce(copies, own)))
     return dealt.repartitionById(len(firsts), "run").sortWithinPartitions("run", "follower", "doc_id", "text")
