@@ -10,7 +10,8 @@ shows those of a second hash function, and so on until one suffices: no link is
 Candidates meet the least set of their bucket first, are screened by whole parity sketches (whose Hamming distance is a
 lower bound of the symmetric difference) and verified on the sets. Components of these links settle most buckets. In the
 buckets that still hold several components all pairs across components are screened, in blocks of bounded size and without
-writing pairs out, and what passes is verified as well.
+writing pairs out. Of what passes, the closest pair of each two components is verified first, which joins nearly all that
+belong together; whatever still passes across components after that is verified in full, so no link is lost.
 """
 
 from __future__ import annotations
@@ -44,8 +45,9 @@ def set_id(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """The parity of the set over 2**k bits, at least one bit per shingle (64 at least)."""
-    bits = 1 << max(6, (len(s) - 1).bit_length())
+    """The parity of the set over 2**k bits, at least four bits per shingle (64 at least): at the threshold few of the
+    differing shingles share a bit, so the screen lets little through that isn't a link."""
+    bits = 1 << max(6, (4 * len(s) - 1).bit_length())
     counts = np.bincount((mixed(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
@@ -203,52 +205,66 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: in
     return rows.mapInArrow(compare, "leader long, node long")
 
 
-def _open_pairs(met: DataFrame, nodes: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of members of one block that aren't in one component yet and pass the screen; leaders have been compared already."""
-    members = met.select("block", "node")
-    held = members.join(labels, "node", "left").select("block", "node", F.coalesce("label", "node").alias("label"))
+def _open_pairs(met: DataFrame, nodes: DataFrame, labels: DataFrame, threshold: int, closest: bool) -> DataFrame:
+    """Pairs (leader, node) of members of one block that aren't in one component yet and pass the screen; leaders have been
+    compared with all members already.
+
+    With `closest` only the pair of the least sketch distance for each two components.
+    """
+    held = met.select("block", "node").join(labels, "node", "left").select("block", "node", F.coalesce("label", "node").alias("label"))
     counts = held.groupBy("block").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     still = counts.filter("members >= 2 and lo <> hi").select("block", F.ceil(F.col("members") / BLOCK).cast("int").alias("parts"))
     rows = held.join(still, "block").join(nodes.select("node", "n", "sketch"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    keyed = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label", "n", "sketch")
+    keyed = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
+        found: dict[tuple[int, int], tuple[int, int, int]] = {}  # two labels (or nodes): distance and pair
 
-        def close() -> tuple[list[int], list[int]]:
+        def close() -> None:
             if len(group) < 2:
-                return [], []
-            node, label, n = (np.array([g[k] for g in group], np.int64) for k in (0, 1, 2))
-            w = min(len(g[3]) for g in group) // 8
-            bits = np.stack([_folded(g[3], w) for g in group])
-            a, c = [], []
+                return
+            own, node, label, n = (np.array([g[k] for g in group], np.int64) for k in range(4))
+            w = min(len(g[4]) for g in group) // 8
+            bits = np.stack([_folded(g[4], w) for g in group])
+            across = key[1] != key[2]
             for k in range(len(group) - 1):
                 rest = slice(k + 1, None)
                 fit = (label[rest] != label[k]) & (100 * np.minimum(n[rest], n[k]) >= threshold * np.maximum(n[rest], n[k]))
+                if across:  # pairs within a part are the business of its own group
+                    fit &= own[rest] != own[k]
                 at = np.flatnonzero(fit) + k + 1
-                if len(at):
-                    apart = np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1, dtype=np.int64)
-                    at = at[apart <= (100 - threshold) * (n[at] + n[k]) // (100 + threshold)]
-                    a += np.minimum(node[at], node[k]).tolist()
-                    c += np.maximum(node[at], node[k]).tolist()
-            return a, c
+                if not len(at):
+                    continue
+                apart = np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1, dtype=np.int64)
+                near = apart <= (100 - threshold) * (n[at] + n[k]) // (100 + threshold)
+                for m, d in zip(at[near].tolist(), apart[near].tolist(), strict=True):
+                    pair = (int(min(node[k], node[m])), int(max(node[k], node[m])))
+                    of = (int(min(label[k], label[m])), int(max(label[k], label[m]))) if closest else pair
+                    if of not in found or (d, *pair) < found[of]:
+                        found[of] = (d, *pair)
+
+        def flush() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array([x[k] for x in src], pa.int64()) for src, k in ((found.keys(), 0), (found.keys(), 1), (found.values(), 0), (found.values(), 1), (found.values(), 2))], names=["lo", "hi", "apart", "leader", "node"])
+            found.clear()
+            return got
 
         for b in batches:
-            a, c = [], []
-            for x, i, j, *row in zip(*(b.column(k).to_pylist() for k in ("block", "i", "j", "node", "label", "n", "sketch")), strict=True):
+            for x, i, j, *row in zip(*(b.column(k).to_pylist() for k in ("block", "i", "j", "own", "node", "label", "n", "sketch")), strict=True):
                 if (x, i, j) != key:
-                    more = close()
-                    a += more[0]
-                    c += more[1]
+                    close()
                     key, group = (x, i, j), []
+                    if len(found) > 100_000:
+                        yield flush()
                 group.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["leader", "node"])
-        a, c = close()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["leader", "node"])
+        close()
+        yield flush()
 
     n = shuffle_partitions(met.sparkSession)
-    return keyed.repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(run, "leader long, node long").distinct()
+    pairs = keyed.repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(run, "lo long, hi long, apart long, leader long, node long")
+    best = F.min(F.struct("apart", "leader", "node")).alias("best")
+    return pairs.groupBy("lo", "hi").agg(best).select("best.leader", "best.node")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -267,10 +283,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     tested = written(_screened(met.select("leader", "node").distinct(), nodes, threshold), "jaccard-screened")
     links = written(_verified(lean, nodes, tested, threshold), "jaccard-links")
     labels = components(links, "leader", "node")
-    more = written(_open_pairs(met, nodes, labels, threshold).join(tested, ["leader", "node"], "left_anti"), "jaccard-open")
-    if not more.isEmpty():
-        found = _verified(lean, nodes, more, threshold)
-        labels = components(links.unionByName(found), "leader", "node")
+    for closest in (True, False):
+        more = written(_open_pairs(met, nodes, labels, threshold, closest).join(tested, ["leader", "node"], "left_anti"), "jaccard-open")
+        if more.isEmpty():
+            if closest:
+                continue
+            break
+        links = written(links.unionByName(_verified(lean, nodes, more, threshold)), "jaccard-links")
+        tested = tested.unionByName(more)
+        labels = components(links, "leader", "node")
     least = labels.join(nodes, "node").groupBy("label").agg(F.min("first_doc").alias("least"))
     of_node = nodes.select("node", "first_doc").join(labels.join(least, "label").select("node", "least"), "node", "left").select("node", F.coalesce("least", "first_doc").alias("of_node"))
     return rows.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("of_node")).alias("component_id"))
