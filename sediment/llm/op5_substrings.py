@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ._common import shuffle_partitions, small_batches, table, text_column, written
 from ._fm_index import FMIndex, repeated
-from ._shingles import rolled, word_hashes
+from ._shingles import mixed, rolled, word_hashes
 
 WIDTH, ANCHOR = 35, 12
 #: Bytes of distinct segments that a shard's index holds, about.
@@ -55,7 +55,11 @@ def _documents(col: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _repeated_anchors(docs: DataFrame, width: int) -> DataFrame:
-    """row_key and first window of the segments whose anchor occurs at least twice."""
+    """row_key and first window of the segments whose anchor occurs at least twice.
+
+    Rows of anchors that a batch already shows twice are settled there and dealt at random; only one row per anchor and
+    batch is dealt by anchor, so a very frequent passage doesn't gather in one task.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -68,29 +72,35 @@ def _repeated_anchors(docs: DataFrame, width: int) -> DataFrame:
                     owners.append(np.full(len(h), key))
                     firsts.append(first.astype(np.int32))
             if anchors:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(firsts))], names=["anchor", "row_key", "first"])
+                h, owner, first = np.concatenate(anchors), np.concatenate(owners), np.concatenate(firsts)
+                _, at, back, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                known = times[back] > 1
+                spread = mixed(owner.view(np.uint64) + mixed(first.astype(np.uint64))).view(np.int64)
+                deal = np.where(known, spread, h)
+                deal[at] = h[at]
+                yield pa.RecordBatch.from_arrays([pa.array(deal), pa.array(known), pa.array(owner), pa.array(first)], names=["deal", "known", "row_key", "first"])
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the last row and whether its anchor was seen before it
+        held: tuple | None = None  # the last row and whether it is kept by what came before
         for b in batches:
             if not b.num_rows:
                 continue
-            h, key, first = (b.column(c).to_numpy() for c in ("anchor", "row_key", "first"))
+            h, known, key, first = (b.column(c).to_numpy(zero_copy_only=False) for c in ("deal", "known", "row_key", "first"))
             seen = False
             if held is not None:
-                h, key, first, seen = np.append(held[0], h), np.append(held[1], key), np.append(held[2], first), held[3]
+                h, known, key, first, seen = np.append(held[0], h), np.append(held[1], known), np.append(held[2], key), np.append(held[3], first), held[4]
             same = h[1:] == h[:-1]
-            before = np.concatenate(([seen], same))
+            before = np.concatenate(([seen], same)) | known
             keep = before[:-1] | same
-            held = h[-1:], key[-1:], first[-1:], before[-1]
+            held = h[-1:], known[-1:], key[-1:], first[-1:], before[-1]
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(key[:-1][keep]), pa.array(first[:-1][keep].astype(np.int32))], names=["row_key", "first"])
-        if held is not None and held[3]:
-            yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array(held[2].astype(np.int32))], names=["row_key", "first"])
+        if held is not None and held[4]:
+            yield pa.RecordBatch.from_arrays([pa.array(held[2]), pa.array(held[3].astype(np.int32))], names=["row_key", "first"])
 
     n = shuffle_partitions(docs.sparkSession)
-    rows = docs.select("row_key", "text").mapInArrow(emit, "anchor long, row_key long, first int")
-    return rows.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(again, "row_key long, first int")
+    rows = docs.select("row_key", "text").mapInArrow(emit, "deal long, known boolean, row_key long, first int")
+    return rows.repartition(n, "deal").sortWithinPartitions("deal").mapInArrow(again, "row_key long, first int")
 
 
 def _digest(words: list[bytes]) -> str:
