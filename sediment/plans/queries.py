@@ -84,7 +84,7 @@ def _answer(c: str) -> str:
 
 
 #: A query's tokens: plain words only, and with a word of another script, which a hit must then hold.
-PLAIN_QUERY, SPECIFIC_QUERY = ["nicht", "zuverein", "der", "session", "que"], ["que", "aié", "une", "les"]
+PLAIN_QUERY, SPECIFIC_QUERY = ["nicht", "und", "die", "der", "que"], ["que", "aié", "une", "les"]
 
 
 def recall_sql(query: list[str], limit: int) -> str:
@@ -364,10 +364,11 @@ def related_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate.related_pairs(spark.createDataFrame(X.PAIRS, "id long, text string"))
 
 
-@_query(_pairs_sql("(SELECT conv_id * 1000 + turn AS id, text FROM conversations)"))
-def related_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relations of all turns as facts."""
-    return consolidate.related_pairs(_table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"))
+@_query(_pairs_sql("(SELECT p_partkey AS id, p_name || ' ' || p_brand || ' ' || p_type || ' size ' || p_size AS text FROM part)"))
+def related_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations of all parts, described as facts."""
+    told = F.concat_ws(" ", "p_name", "p_brand", "p_type", F.lit("size"), F.col("p_size").cast("string"))
+    return consolidate.related_pairs(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), told.alias("text")))
 
 
 _NODES = f"nodes AS (SELECT * FROM {X.nodes_sql()})"

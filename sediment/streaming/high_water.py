@@ -37,4 +37,4 @@ def ingest_stream(records: DataFrame, archive: str, checkpoint: str) -> DataStre
 
 def windowed_counts(events: DataFrame, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events by type in tumbling windows, with a watermark that lets state go."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("total"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("total"))
