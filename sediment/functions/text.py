@@ -126,39 +126,63 @@ def canonical_word(word: Column) -> Column:
     return head
 
 
-def semantic_tokens(text: Column) -> Column:
-    """Distinct canonical words of three letters or more, without stop words and negations, in order."""
-    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0), canonical_word)
-    kept = F.filter(found, lambda w: ~w.isin(NEGATIVE_CUES + SEMANTIC_STOP_WORDS))
-    single = F.transform(
-        kept,
-        lambda w: F.when(w.endswith("ies") & (F.length(w) > 4), F.concat(F.left(w, F.length(w) - 3), F.lit("y"))).when(w.endswith("s") & (F.length(w) > 4), F.left(w, F.length(w) - 1)).otherwise(w),
-    )
-    return F.coalesce(F.array_distinct(F.filter(single, lambda w: F.length(w) >= 3)), F.array().cast("array<string>"))
+def plain_words(lowered: Column) -> Column:
+    """Distinct runs of a-z and 0-9 of a lower-case text, in order; null for null."""
+    return F.array_distinct(F.regexp_extract_all(lowered, F.lit("[a-z0-9]+"), 0))
+
+
+def semantic_tokens(text: Column, found: Column | None = None) -> Column:
+    """Distinct canonical words of three letters or more, without stop words and negations, in order.
+
+    `found` are the text's plain words, where a column of them is at hand.
+    """
+    # short words go first: no synonym or singular of one would count; and no synonym is a stop word
+    seen = plain_words(F.lower(text)) if found is None else found
+    kept = F.filter(seen, lambda w: (F.length(w) >= 3) & ~w.isin(NEGATIVE_CUES + SEMANTIC_STOP_WORDS))
+
+    def single(w: Column) -> Column:
+        return F.when(w.endswith("ies") & (F.length(w) > 4), F.concat(F.left(w, F.length(w) - 3), F.lit("y"))).when(w.endswith("s") & (F.length(w) > 4), F.left(w, F.length(w) - 1)).otherwise(w)
 
+    every = [w for others in SYNONYMS.values() for w in others.split()]
+    out = F.transform(kept, lambda w: F.when(w.isin(every), canonical_word(w)).otherwise(w))
+    return F.coalesce(F.array_distinct(F.filter(F.transform(out, single), lambda w: F.length(w) >= 3)), F.array().cast("array<string>"))
 
-def semantic_polarity(text: Column) -> Column:
-    """-1 with any negation, else 1 with any affirming cue, else 0."""
-    found = F.coalesce(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0), F.array().cast("array<string>"))
-    return F.when(F.arrays_overlap(found, words(NEGATIVE_CUES)), -1).when(F.arrays_overlap(F.transform(found, canonical_word), words(POSITIVE_CUES)), 1).otherwise(0)
 
+def semantic_polarity(text: Column, found: Column | None = None) -> Column:
+    """-1 with any negation, else 1 with any affirming cue or a synonym of one, else 0."""
+    seen = plain_words(F.lower(text)) if found is None else found
+    affirming = [*POSITIVE_CUES, *(w for head, others in SYNONYMS.items() if head in POSITIVE_CUES for w in others.split())]
+    return F.when(F.arrays_overlap(seen, words(NEGATIVE_CUES)), -1).when(F.arrays_overlap(seen, words(list(dict.fromkeys(affirming)))), 1).otherwise(0)
 
-def consolidation_key(text: Column) -> Column:
-    """Texts that say the same share a key: polarity and sorted semantic tokens, or the text itself if it has under four."""
-    found = semantic_tokens(text)
-    meant = F.concat(F.lit("semantic:"), semantic_polarity(text).cast("string"), F.lit(":"), F.array_join(F.array_sort(found), " "))
+
+def consolidation_key(text: Column, found: Column | None = None, polarity: Column | None = None) -> Column:
+    """Texts that say the same share a key: polarity and sorted semantic tokens, or the text itself if it has under four.
+
+    `found` and `polarity` are the text's semantic tokens and polarity, where columns of them are at hand.
+    """
+    found = semantic_tokens(text) if found is None else found
+    polarity = semantic_polarity(text) if polarity is None else polarity
+    meant = F.concat(F.lit("semantic:"), polarity.cast("string"), F.lit(":"), F.array_join(F.array_sort(found), " "))
     return F.when(F.size(found) < 4, F.concat(F.lit("literal:"), F.coalesce(text_key(text), F.lit("")))).otherwise(meant)
 
 
-def memory_topic(text: Column) -> Column:
-    lowered, topic = F.lower(text), F.lit("general")
+def _contains_any(lowered: Column, some: list[str]) -> Column:
+    out = F.lit(False)
+    for w in some:
+        out = out | F.contains(lowered, F.lit(w))
+    return F.coalesce(out, F.lit(False))
+
+
+def memory_topic(lowered: Column) -> Column:
+    """The first topic that a lower-case text has a word of."""
+    topic = F.lit("general")
     for name, hints in reversed(TOPICS.items()):
-        topic = F.when(lowered.rlike("|".join(hints.split())), F.lit(name)).otherwise(topic)
+        topic = F.when(_contains_any(lowered, hints.split()), F.lit(name)).otherwise(topic)
     return topic
 
 
-def is_global_fact(text: Column) -> Column:
-    return F.coalesce(F.lower(text).rlike("|".join(GLOBAL_HINTS)), F.lit(False))
+def is_global_fact(lowered: Column) -> Column:
+    return _contains_any(lowered, GLOBAL_HINTS)
 
 
 def redact(text: Column) -> Column:

@@ -12,24 +12,23 @@ DETAIL_WORDS = ["anchor", "raw", "source"]
 
 
 def consolidate(facts: DataFrame) -> DataFrame:
-    """One node per consolidation key of facts (id, text, project): first text, support, projects, layer, scope, confidence.
+    """One node per consolidation key of facts (id, text, project): support, projects, layer, topic, scope, confidence.
 
-    The first fact is that of the smallest id. Everything is a partial aggregate, so copies of one fact don't gather.
+    first_id is the fact that gives the node its text. Keys are grouped by their SHA-256 and no text is carried: rows
+    are small, partial sums come first, and copies of one fact don't gather.
     """
-    keyed = facts.select("id", "project", "text", T.consolidation_key(F.col("text")).alias("node_key"))
-    nodes = keyed.groupBy("node_key").agg(
-        F.min_by("text", "id").alias("text"),
-        F.min_by("project", "id").alias("project"),
-        F.count(F.lit(1)).alias("support_count"),
-        F.count_distinct("project").alias("project_count"),
-        F.min("id").alias("first_id"),
-        F.max("id").alias("last_id"),
-    )
-    layer = F.when(T.is_global_fact(F.col("text")), "global").when(F.col("project_count") >= 2, "domain").otherwise("project")
-    nodes = nodes.withColumn("layer", layer).withColumn("topic", T.memory_topic(F.col("text")))
-    scope = F.when(F.col("layer") == "global", "global").when(F.col("layer") == "domain", F.concat(F.lit("domain:"), "topic")).otherwise(F.concat(F.lit("project:"), F.coalesce("project", F.lit(""))))
-    sure = F.when((F.col("support_count") >= 2) | (F.col("layer") == "global"), "high").otherwise("medium")
-    return nodes.withColumn("scope", scope).withColumn("confidence", sure)
+    low = facts.select("id", "project", "text", F.lower("text").alias("_low"))  # step by step: nothing is worked out twice
+    read = low.select("*", T.plain_words(F.col("_low")).alias("_words"))
+    meant = read.select("*", T.semantic_tokens(F.col("text"), F.col("_words")).alias("_tokens"), T.semantic_polarity(F.col("text"), F.col("_words")).alias("_polarity"))
+    key = F.sha2(T.consolidation_key(F.col("text"), F.col("_tokens"), F.col("_polarity")), 256)
+    keyed = meant.select("id", key.alias("node_sha256"), F.col("project").alias("_project"), F.struct("project", T.memory_topic(F.col("_low")).alias("topic"), T.is_global_fact(F.col("_low")).alias("everywhere")).alias("_told"))
+    per_project = keyed.groupBy("node_sha256", "_project").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("id", "_told")).alias("_first"), F.max("id").alias("_last"))
+    nodes = per_project.groupBy("node_sha256").agg(F.sum("_n").alias("support_count"), F.count("_project").alias("project_count"), F.min("_first").alias("_first"), F.max("_last").alias("last_id"))
+    told = nodes.select("node_sha256", "support_count", "project_count", F.col("_first.id").alias("first_id"), "last_id", "_first._told.*")
+    layer = F.when(F.col("everywhere"), "global").when(F.col("project_count") >= 2, "domain").otherwise("project")
+    scope = F.when(layer == "global", "global").when(layer == "domain", F.concat(F.lit("domain:"), "topic")).otherwise(F.concat(F.lit("project:"), F.coalesce("project", F.lit(""))))
+    sure = F.when((F.col("support_count") >= 2) | F.col("everywhere"), "high").otherwise("medium")
+    return told.select("*", layer.alias("layer"), scope.alias("scope"), sure.alias("confidence")).drop("everywhere")
 
 
 def relation(current: Column, old: Column, current_polarity: Column, old_polarity: Column) -> Column:

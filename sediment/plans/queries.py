@@ -340,7 +340,7 @@ CASE WHEN support_count >= 2 OR {_LAYER} = 'global' THEN 'high' ELSE 'medium' EN
 def consolidated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as facts, consolidated to nodes."""
     facts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").alias("project"))
-    return consolidate.consolidate(facts).select(F.sha2("node_key", 256).alias("node_sha256"), "support_count", "project_count", "first_id", "last_id", "layer", "topic", "scope", "confidence")
+    return consolidate.consolidate(facts).select("node_sha256", "support_count", "project_count", "first_id", "last_id", "layer", "topic", "scope", "confidence")
 
 
 @_query(f"SELECT lang, {_polarity('text')} AS polarity, count(*) AS n_docs FROM documents GROUP BY ALL")
