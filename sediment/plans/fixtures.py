@@ -28,7 +28,7 @@ FACTS = [
 PAIRS = [
     (1, "always include source citation evidence in every memory summary report"),
     (2, "never include source citation evidence in every memory summary report"),
-    (3, "include citation evidence in every memory summary report"),
+    (3, "always include citation evidence in every memory summary report"),
     (4, "skip evidence summary report tables charts graphs figures"),
     (5, "evidence summary report tables"),
     (6, "render charts graphs figures legends nightly builds"),
@@ -74,6 +74,8 @@ ANSWERS = [
     (5, "", "anything"),
     (6, None, None),
 ]
+#: decision_id, pair, relation, action
+DECISIONS = [(1, "2|1", "contradiction", "approve"), (2, "2|1", "contradiction", "approve"), (3, "5|4", "overlap_review", "approve"), (4, "99|1", "overlap_review", "ignore"), (5, "10|6", "overlap_review", "ignore"), (6, "3|2", "contradiction", "approve"), (7, "3|2", "contradiction", "ignore"), (8, "10|7", "overlap_review", "merge")]
 THRESHOLDS = [("recall_at_5", "floor", 0.99, 1), ("recall_at_5", "floor", 0.01, 2), ("mrr", "floor", 1.5, 1), ("ndcg_at_5", "ceiling", 2.0, 1), ("absent", "floor", 0.5, 1)]
 
 

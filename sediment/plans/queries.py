@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, consolidate, evaluate, ingest, search
+from ..operators import audit, consolidate, evaluate, ingest, review, search
 from ..sources.sinks import daily_summaries
 from . import fixtures as X
 
@@ -364,13 +364,47 @@ def related_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate.related_pairs(spark.createDataFrame(X.PAIRS, "id long, text string"))
 
 
-@_query(_pairs_sql("(SELECT p_partkey AS id, p_name || ' ' || p_brand || ' ' || p_type || ' size ' || p_size AS text FROM part)"))
+_PARTS_SQL = _pairs_sql("(SELECT p_partkey AS id, p_name || ' ' || p_brand || ' ' || p_type || ' size ' || p_size AS text FROM part)")
+
+
+@_query(_PARTS_SQL)
 def related_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations of all parts, described as facts."""
     told = F.concat_ws(" ", "p_name", "p_brand", "p_type", F.lit("size"), F.col("p_size").cast("string"))
     return consolidate.related_pairs(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), told.alias("text")))
 
 
+_CANDIDATES = f"""r AS ({_pairs_sql(X.values_sql(X.PAIRS, ["id", "text"]))}), c AS (SELECT *, CAST(current_id AS VARCHAR) || '|' || CAST(old_id AS VARCHAR) AS pair, CASE relation {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in review.REASONS.items())} END AS reason FROM r WHERE relation <> 'partial_supersession'),
+q AS (SELECT sha256(pair) AS candidate_id, current_id, old_id, reason, sha256(pair || '|' || relation) AS fingerprint FROM c)"""
+
+
+def _candidates(spark: SparkSession) -> DataFrame:
+    return review.review_candidates(consolidate.related_pairs(spark.createDataFrame(X.PAIRS, "id long, text string")))
+
+
+@_query(f"WITH {_CANDIDATES} SELECT * FROM q")
+def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The made-up facts' pairs to review."""
+    return _candidates(spark)
+
+
+@_query(f"""WITH {_CANDIDATES}, d AS (SELECT decision_id, sha256(pair) AS candidate_id, sha256(pair || '|' || relation) AS fingerprint, action FROM {X.values_sql(X.DECISIONS, ["decision_id", "pair", "relation", "action"])}),
+s AS (SELECT candidate_id, count(DISTINCT action) AS actions, min(decision_id) AS first FROM d GROUP BY 1)
+SELECT decision_id, CASE WHEN actions > 1 THEN 'conflicting' WHEN decision_id <> first THEN 'duplicate' WHEN q.fingerprint IS NULL THEN 'unknown' WHEN d.fingerprint <> q.fingerprint THEN 'stale' WHEN action = 'approve' THEN 'applied' WHEN action = 'ignore' THEN 'ignored' ELSE 'unsafe' END AS status
+FROM d JOIN s USING (candidate_id) LEFT JOIN q ON q.candidate_id = d.candidate_id""")
+def decision_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made-up decisions held against that queue."""
+    told = spark.createDataFrame(X.DECISIONS, "decision_id long, pair string, relation string, action string")
+    made = told.select("decision_id", F.sha2("pair", 256).alias("candidate_id"), F.sha2(F.concat_ws("|", "pair", "relation"), 256).alias("fingerprint"), "action")
+    return review.decision_status(made, _candidates(spark))
+
+
+@_query(f"WITH r AS ({_PARTS_SQL}), c AS (SELECT *, CASE relation {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in review.REASONS.items())} END AS reason FROM r) SELECT current_id, reason, min(old_id) AS representative_id, count(*) AS n_older FROM c WHERE reason IS NOT NULL GROUP BY ALL")
+def compressed_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of parts to review, compressed by the newer one and the reason."""
+    return review.compressed_pairs(review.review_candidates(related_parts(spark, sf_dir)))
+
+
 _NODES = f"nodes AS (SELECT * FROM {X.nodes_sql()})"
 _TIME = lambda c: f"TRY_CAST({c} AS TIMESTAMPTZ)"
 _ORDERED = f"coalesce({_TIME('first_seen')} <= {_TIME('last_seen')}, false)"
@@ -400,6 +434,13 @@ def support_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate.reached(X.nodes(spark).select(F.col("id").alias("src"), F.explode("derived_from").alias("dst")), 4)
 
 
+@_query(f"WITH {_INACTIVE}, k AS (SELECT nodes.*, gl FROM nodes, (SELECT list(id) AS gl FROM gone) WHERE NOT list_contains(gl, id)) SELECT id, {', '.join(f"array_to_string(list_filter({f}, lambda x: NOT list_contains(gl, x)), ',') AS {f}" for f in X.LINKS)} FROM k")
+def reconciled_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active made-up nodes without references to inactive ones."""
+    nodes = X.nodes(spark)
+    return review.settled_nodes(nodes, consolidate.inactive_ids(nodes), X.LINKS).select("id", *(F.array_join(f, ",").alias(f) for f in X.LINKS))
+
+
 @_query(f"WITH {_NODES}, m AS (SELECT max({_TIME('last_seen')}) AS newest FROM nodes) SELECT id, date_diff('day', {_TIME('last_seen')}, newest) AS age_days FROM nodes, m WHERE support_count = 1 AND source = 'automatic' AND newest - {_TIME('last_seen')} >= INTERVAL 180 DAY AND len(superseded_by) = 0")
 def stale_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Automatic nodes of one support, unseen for 180 days before the newest."""
