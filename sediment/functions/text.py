@@ -206,6 +206,14 @@ def safe_display(text: Column, limit: int) -> Column:
     return F.when(text.rlike(UNSAFE_DISPLAY), F.lit("[unsafe-field]")).otherwise(clip(text, limit))
 
 
+def tags(text: Column, project: Column, limit: int = 16) -> Column:
+    """The project's slug and the first distinct tokens of a text, `limit` in all: no stop words, ids, short or numeric ones."""
+    odd = r"^(?:[0-9]+|[0-9a-f]*[0-9][0-9a-f]*|.*\.py|.{1,2})$"
+    plain = F.filter(F.transform(tokens(text), lambda t: F.btrim(t, F.lit("._-"))), lambda t: ~t.rlike(odd) & (t != "") & ~t.isin(QUERY_STOP_WORDS + GENERIC_WORDS))
+    own = F.array(slugify(F.coalesce(project, F.lit("")), "archive"))
+    return F.slice(F.array_distinct(F.transform(F.concat(own, plain), lambda t: F.left(t, F.lit(48)))), 1, limit)
+
+
 def normalized_answer(text: Column) -> Column:
     """Lower-case words joined by one space."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", " "))

@@ -69,3 +69,27 @@ def cosine_neighbours(queries: DataFrame, vectors: DataFrame, least: float, limi
     both = v.join(q, F.col("query_id") != F.col("vec_id")).withColumn("cosine", F.when(F.col("_qn") * F.col("_vn") > 0, dot("_q", "embedding") / (F.col("_qn") * F.col("_vn"))))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
     return both.filter(F.col("cosine") >= least).withColumn("place", place).filter(F.col("place") <= limit).select("query_id", "vec_id", "cosine", "place")
+
+
+def score_buckets(hits: DataFrame) -> DataFrame:
+    """bucket and n_hits: how hits (query_id, score) lie against their query's best score."""
+    share = F.col("score") / F.max("score").over(Window.partitionBy("query_id"))
+    bucket = F.when(share >= 0.99, "99+").when(share >= 0.95, "95-99").when(share >= 0.85, "85-95").when(share >= 0.5, "50-85").otherwise("<50")
+    return hits.select(bucket.alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n_hits"))
+
+
+def noise_relations(hits: DataFrame, gold: DataFrame) -> DataFrame:
+    """query_id, id, relation of hits that aren't expected, by what they share with the expected hit (query_id, gold_id)."""
+    wanted = gold.join(hits.select("query_id", F.col("id").alias("gold_id"), F.col("layer").alias("g_layer"), F.col("scope").alias("g_scope"), F.col("topic").alias("g_topic")), ["query_id", "gold_id"])
+    layer, scope, topic = (F.col(c) == F.col(f"g_{c}") for c in ("layer", "scope", "topic"))
+    incomplete = (F.col("layer") == "") | (F.col("scope") == "") | (F.col("topic") == "")
+    relation = (
+        F.when(incomplete, "incomplete")
+        .when(layer & scope & topic, "same_topic_and_scope")
+        .when(layer & topic, "same_topic_other_scope")
+        .when(layer & scope, "same_scope_other_topic")
+        .when(layer, "same_layer")
+        .when(topic, "same_topic_other_layer")
+        .otherwise("unrelated")
+    )
+    return hits.join(wanted, "query_id").filter(F.col("id") != F.col("gold_id")).select("query_id", "id", relation.alias("relation"))

@@ -538,3 +538,34 @@ def embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every vector whose id is divisible by 50, against all."""
     v = _table(spark, sf_dir, "embeddings")
     return evaluate.cosine_neighbours(v.filter("vec_id % 50 = 0"), v, 0.2, 5).withColumn("cosine", F.round("cosine", 6))
+
+
+_SLUG = "CASE WHEN trim(regexp_replace(lower(coalesce(source, '')), '[^a-z0-9]+', '-', 'g'), '-') <> '' THEN trim(regexp_replace(lower(coalesce(source, '')), '[^a-z0-9]+', '-', 'g'), '-') ELSE 'archive' END"
+
+
+@_query(f"""WITH t AS (SELECT doc_id, list_transform(list_prepend({_SLUG}, list_filter(list_transform({_tokens('text')}, lambda x: trim(x, '._-')),
+lambda x: x <> '' AND NOT regexp_full_match(x, '[0-9]+|[0-9a-f]*[0-9][0-9a-f]*|.*\\.py|.{{1,2}}') AND NOT list_contains({_list(T.QUERY_STOP_WORDS + T.GENERIC_WORDS)}, x))), lambda x: left(x, 48)) AS l FROM documents),
+e AS (SELECT doc_id, unnest(list_filter(l, lambda x, i: list_position(l, x) = i)[1:16]) AS tag FROM t)
+SELECT tag, count(*) AS n_docs, min(doc_id) AS first_doc FROM e GROUP BY 1""")
+def tag_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by tag."""
+    each = _table(spark, sf_dir, "documents").select("doc_id", F.explode(T.tags(F.col("text"), F.col("source"))).alias("tag"))
+    return each.groupBy("tag").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
+@_query(f"SELECT CASE WHEN share >= 0.99 THEN '99+' WHEN share >= 0.95 THEN '95-99' WHEN share >= 0.85 THEN '85-95' WHEN share >= 0.5 THEN '50-85' ELSE '<50' END AS bucket, count(*) AS n_hits FROM (SELECT score / CAST(max(score) OVER (PARTITION BY query_id) AS DOUBLE) AS share FROM {X.hits_sql()} h) GROUP BY 1")
+def score_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.score_buckets(X.hits(spark))
+
+
+@_query(f"""WITH h AS (SELECT * FROM {X.hits_sql()}), g AS (SELECT query_id, id AS gid, layer AS gl, scope AS gs, topic AS gt FROM h WHERE (query_id = 1 AND id = 'a') OR (query_id = 2 AND id = 'g'))
+SELECT query_id, id, CASE WHEN layer = '' OR scope = '' OR topic = '' THEN 'incomplete' WHEN layer = gl AND scope = gs AND topic = gt THEN 'same_topic_and_scope' WHEN layer = gl AND topic = gt THEN 'same_topic_other_scope' WHEN layer = gl AND scope = gs THEN 'same_scope_other_topic' WHEN layer = gl THEN 'same_layer' WHEN topic = gt THEN 'same_topic_other_layer' ELSE 'unrelated' END AS relation
+FROM h JOIN g USING (query_id) WHERE id <> gid""")
+def noise_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.noise_relations(X.hits(spark), spark.createDataFrame([(1, "a"), (2, "g")], "query_id long, gold_id string"))
+
+
+@_query("SELECT 'left' AS side, count(*) AS n_rows FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels) UNION ALL SELECT 'right', count(*) FROM (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM documents)")
+def label_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a label, and labels without a document."""
+    return audit.parity(_table(spark, sf_dir, "documents").select("doc_id"), _table(spark, sf_dir, "labels").select("doc_id"))
