@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +38,15 @@ def windows_of(words: list[bytes], width: int = WINDOW) -> set[bytes]:
 
 def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", most: int = BLOCK_WINDOWS) -> Iterator[list[tuple[str, str]]]:
     """The (item, text) rows in blocks of bounded size, streamed to the driver; null ids are the item ''."""
-    block, windows = [], 0
+    block, windows, some = [], 0, False
     for r in items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))).toLocalIterator():
         block.append((r[0], r[1]))
         windows += max(0, len(words_of(r[1])) - WINDOW) + 1
         if windows >= most:
             yield block
-            block, windows = [], 0
-    yield block
+            block, windows, some = [], 0, True
+    if block or not some:
+        yield block
 
 
 def _automaton(block: list[tuple[str, str]]):
@@ -126,14 +128,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     small_batches(docs.sparkSession)
     lean = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     blocks = item_blocks(items)
-    first = next(blocks)
-    rest = list(blocks) if first else []
-    if not rest:
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
         return _scan(lean, first, "doc_id", "text", True)
     keyed = written(lean.withColumn("row_key", F.monotonically_increasing_id()), "decontaminate-rows")
     found = None
-    for block in [first, *rest]:
-        one = _scan(keyed, block, "doc_id", "text", True)
+    for block in chain([first, second], blocks):  # written one by one: the driver holds two blocks at most
+        one = written(_scan(keyed, block, "doc_id", "text", True), "decontaminate-block")
         found = one if found is None else found.unionByName(one)
     runs = found.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     return _recounted(keyed.select("row_key", "text").join(runs, "row_key"))
@@ -163,7 +164,9 @@ def _recounted(df: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs`, every column kept, in which no window of any item occurs; null and empty texts stay."""
     small_batches(docs.sparkSession)
-    for block in item_blocks(items):
+    for k, block in enumerate(item_blocks(items)):
+        if k:
+            docs = written(docs, "clean-block")
 
         def clean(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
             auto = _automaton(block)

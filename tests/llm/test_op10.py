@@ -43,9 +43,11 @@ def test_hits_equal_brute_force_in_one_block_and_several(spark, monkeypatch):
     assert [DOCS[1][1][a:b] for a, b in first] == ["short. one", "short one"]
 
 
-def test_clean_documents_stay_whole(spark):
+def test_clean_documents_stay_whole(spark, monkeypatch):
     docs, items = spark.createDataFrame(DOCS, SCHEMA), spark.createDataFrame(ITEMS, "item_id long, text string")
     kept = op.clean_documents(docs, items)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 6]
     assert op.clean_documents(docs, items.limit(0)).count() == len(DOCS)
+    monkeypatch.setattr(op.item_blocks, "__defaults__", ("item_id", "text", 1))
+    assert sorted(map(tuple, op.clean_documents(docs, items).collect()), key=str) == sorted(map(tuple, kept.collect()), key=str)
     assert op.clean_documents(docs.limit(0), items).count() == 0
