@@ -48,6 +48,32 @@ def keeps_match(query: list[str], matched: Column) -> Column:
     return any_of(specific) & any_of(needed) if specific else any_of(needed)
 
 
+def required_tokens(query: list[str]) -> list[str]:
+    """What a hit must hold to support a query: one to five meaningful tokens, else the important or the specific ones."""
+    meaningful = [t for t in query if t not in T.GENERIC_WORDS]
+    important = [t for t in meaningful if is_important(t)]
+    specific = [t for t in meaningful if _importance(t) >= 4]
+    if 1 <= len(meaningful) <= 5:
+        return meaningful
+    return important if len(important) >= 2 else specific if len(specific) >= 2 else []
+
+
+def query_support(query: list[str], matched: Column) -> Column:
+    """complete, partial or none: how many of a query's required tokens a hit holds; none if nothing is required."""
+    required = required_tokens(query)
+    if not required:
+        return F.lit("none")
+    held = F.size(F.array_intersect(matched, T.words(required)))
+    return F.when(held == len(required), "complete").when(held > 0, "partial").otherwise("none")
+
+
+def answerability(hits: DataFrame, inactive_matches: int = 0) -> DataFrame:
+    """verdict and n_supported of hits (support): supported, or why not."""
+    counts = hits.agg(F.count_if(F.col("support") == "complete").alias("n_supported"), F.count(F.lit(1)).alias("_hits"))
+    verdict = F.when(F.col("n_supported") > 0, "supported").when(F.lit(inactive_matches) > 0, "no_active_current_support").when(F.col("_hits") > 0, "related_context_without_active_memory_support").otherwise("no_recall_hits")
+    return counts.select(verdict.alias("verdict"), "n_supported")
+
+
 def top_hits(scored: DataFrame, limit: int, *tie: str) -> DataFrame:
     """The best kept rows, ties by `tie` descending (a bounded heap in each task, then one of `limit` rows per task)."""
     return scored.filter("kept and score > 0").orderBy(F.desc("score"), *(F.desc(t) for t in tie)).limit(limit)

@@ -569,3 +569,27 @@ def noise_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without a label, and labels without a document."""
     return audit.parity(_table(spark, sf_dir, "documents").select("doc_id"), _table(spark, sf_dir, "labels").select("doc_id"))
+
+
+def _support_sql(query: list[str]) -> str:
+    required = _list(search.required_tokens(query))
+    m = f"list_filter({_list(query)}, lambda t: list_contains(w, t))"
+    return f"""SELECT conv_id, turn, CASE WHEN list_has_all({m}, {required}) THEN 'complete' WHEN list_has_any({m}, {required}) THEN 'partial' ELSE 'none' END AS support
+FROM (SELECT conv_id, turn, string_split_regex(lower(coalesce(text, '')), '[^a-z0-9_]+') AS w FROM conversations)"""
+
+
+def _supported(spark: SparkSession, sf_dir: str, query: list[str]) -> DataFrame:
+    scored = search.score_text(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), query)
+    return scored.select("conv_id", "turn", search.query_support(query, F.col("matched")).alias("support"))
+
+
+@_query(_support_sql(PLAIN_QUERY))
+def query_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far every turn supports the plain query."""
+    return _supported(spark, sf_dir, PLAIN_QUERY)
+
+
+@_query(f"SELECT CASE WHEN n_supported > 0 THEN 'supported' WHEN n > 0 THEN 'related_context_without_active_memory_support' ELSE 'no_recall_hits' END AS verdict, n_supported FROM (SELECT count(*) FILTER (support = 'complete') AS n_supported, count(*) AS n FROM ({_support_sql(PLAIN_QUERY)}) WHERE support <> 'none')")
+def answerability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict over these turns."""
+    return search.answerability(_supported(spark, sf_dir, PLAIN_QUERY).filter("support <> 'none'"))
