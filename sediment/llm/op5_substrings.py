@@ -6,6 +6,10 @@ twice or more can belong to repeated windows (one shuffle of anchors finds them)
 shards by anchor; a shard keeps one copy of each distinct segment in a compressed FM-index (a wavelet matrix over its
 words) and streams all its segments through backward search, which tells for every window whether it starts elsewhere.
 All occurrences of a window meet in one shard, so no shard is searched for another's documents.
+
+An anchor whose segments are more than ANCHOR_BYTES together (a short passage in ever different contexts) isn't given to a
+shard: its windows are dealt one by one by the hash of all their words, so equal windows still meet and no task or index
+holds the anchor.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from ._shingles import mixed, rolled, word_hashes
 WIDTH, ANCHOR = 35, 12
 #: Bytes of distinct segments that a shard's index holds, about.
 SHARD_BYTES = 3 << 20
+#: Bytes of the segments (copies included) that an anchor brings to a shard at most.
+ANCHOR_BYTES = SHARD_BYTES >> 2
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -54,31 +60,22 @@ def _documents(col: pa.Array) -> Iterator[np.ndarray]:
             yield words[a:b]
 
 
-def _repeated_anchors(docs: DataFrame, width: int) -> DataFrame:
-    """row_key and first window of the segments whose anchor occurs at least twice.
+def _dealt(keys: np.ndarray, owner: np.ndarray, first: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+    """Rows of one batch for `_again`. Keys that the batch already shows twice (by weight) are settled here and dealt at
+    random; only one row per key and batch is dealt by key, so a very frequent one doesn't gather in one task."""
+    _, at, back = np.unique(keys, return_index=True, return_inverse=True)
+    known = np.bincount(back, weight)[back] > 1
+    spread = mixed(owner.view(np.uint64) + mixed(first.astype(np.uint64))).view(np.int64)
+    deal = np.where(known, spread, keys)
+    deal[at] = keys[at]
+    return pa.RecordBatch.from_arrays([pa.array(deal), pa.array(known), pa.array(owner), pa.array(first)], names=["deal", "known", "row_key", "first"])
 
-    Rows of anchors that a batch already shows twice are settled there and dealt at random; only one row per anchor and
-    batch is dealt by anchor, so a very frequent passage doesn't gather in one task.
-    """
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = b.column("row_key").to_numpy()
-            anchors, owners, firsts = [], [], []
-            for key, words in zip(keys, _documents(text_column(b, "text")), strict=True):
-                h, first, _ = anchored(words, width)
-                if len(h):
-                    anchors.append(h)
-                    owners.append(np.full(len(h), key))
-                    firsts.append(first.astype(np.int32))
-            if anchors:
-                h, owner, first = np.concatenate(anchors), np.concatenate(owners), np.concatenate(firsts)
-                _, at, back, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                known = times[back] > 1
-                spread = mixed(owner.view(np.uint64) + mixed(first.astype(np.uint64))).view(np.int64)
-                deal = np.where(known, spread, h)
-                deal[at] = h[at]
-                yield pa.RecordBatch.from_arrays([pa.array(deal), pa.array(known), pa.array(owner), pa.array(first)], names=["deal", "known", "row_key", "first"])
+_DEALT = "deal long, known boolean, row_key long, first int"
+
+
+def _again(rows: DataFrame) -> DataFrame:
+    """row_key and first of the rows of `_dealt` whose key occurs at least twice."""
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the last row and whether it is kept by what came before
@@ -98,11 +95,30 @@ def _repeated_anchors(docs: DataFrame, width: int) -> DataFrame:
         if held is not None and held[4]:
             yield pa.RecordBatch.from_arrays([pa.array(held[2]), pa.array(held[3].astype(np.int32))], names=["row_key", "first"])
 
-    n = shuffle_partitions(docs.sparkSession)
-    rows = docs.select("row_key", "text").mapInArrow(emit, "deal long, known boolean, row_key long, first int")
+    n = shuffle_partitions(rows.sparkSession)
     return rows.repartition(n, "deal").sortWithinPartitions("deal").mapInArrow(again, "row_key long, first int")
 
 
+def _repeated_anchors(docs: DataFrame, width: int) -> DataFrame:
+    """row_key and first window of the segments whose anchor occurs at least twice."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column("row_key").to_numpy()
+            anchors, owners, firsts = [], [], []
+            for key, words in zip(keys, _documents(text_column(b, "text")), strict=True):
+                h, first, _ = anchored(words, width)
+                if len(h):
+                    anchors.append(h)
+                    owners.append(np.full(len(h), key))
+                    firsts.append(first.astype(np.int32))
+            if anchors:
+                h = np.concatenate(anchors)
+                yield _dealt(h, np.concatenate(owners), np.concatenate(firsts), np.ones(len(h)))
+
+    return _again(docs.select("row_key", "text").mapInArrow(emit, _DEALT))
+
+
 def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -151,7 +167,10 @@ def _parts(docs: DataFrame, flagged: DataFrame, width: int) -> DataFrame:
 
 
 def _searched(segments: DataFrame, shards: int, width: int) -> DataFrame:
-    """segment_id and the word ranges that repeated windows cover, for distinct segments (anchor, text, times)."""
+    """segment_id and the word ranges that repeated windows cover, for distinct segments (anchor, text, times, often).
+
+    Segments of frequent anchors (often) are dealt at random and not held: their windows go on by the hash of all their words.
+    """
 
     def shard_ranges(ids: list[int], col: pa.Array, times: np.ndarray) -> tuple[list[int], list[list[dict]]]:
         words, lengths = [], []
@@ -178,17 +197,30 @@ def _searched(segments: DataFrame, shards: int, width: int) -> DataFrame:
                 found.setdefault(k, []).append({"a": int(windows[a] - starts[k]), "z": int(windows[z - 1] - starts[k]) + width})
         return [ids[k] for k in found], list(found.values())
 
-    schema = pa.schema([("segment_id", pa.int64()), ("ranges", pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())])))])
+    schema = pa.schema([("segment_id", pa.int64()), ("ranges", pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))), ("deal", pa.int64()), ("known", pa.bool_()), ("first", pa.int32())])
+
+    def windows(b: pa.RecordBatch) -> pa.RecordBatch:
+        hashes = [rolled(words, width) for words in _documents(text_column(b, "text"))]
+        n = [len(h) for h in hashes]
+        owner, times = np.repeat(b.column("segment_id").to_numpy(), n), np.repeat(b.column("times").to_numpy(), n)
+        deal, known, owner, first = _dealt(np.concatenate(hashes).view(np.int64), owner, np.concatenate([np.arange(k, dtype=np.int32) for k in n]), times).columns
+        return pa.RecordBatch.from_arrays([owner, pa.nulls(len(owner), schema.field("ranges").type), deal, known, first], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute  # noqa: F401  used below, on the executors as here
+
         now, held = None, []
 
         def close() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
             ids, ranges = shard_ranges(t["segment_id"].to_pylist(), t["text"].combine_chunks(), t["times"].to_numpy())
-            return pa.RecordBatch.from_pydict({"segment_id": ids, "ranges": ranges}, schema=schema)
+            return pa.RecordBatch.from_pydict({"segment_id": ids, "ranges": ranges, **{k: pa.nulls(len(ids), schema.field(k).type) for k in ("deal", "known", "first")}}, schema=schema)
 
         for b in batches:
+            often = b.column("often")
+            if often.true_count:
+                yield windows(b.filter(often))
+                b = b.filter(pa.compute.invert(often))
             shard = b.column("shard").to_numpy()
             edges = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else []
             for a, z in zip(edges, [*edges[1:], len(shard)], strict=True):
@@ -200,9 +232,15 @@ def _searched(segments: DataFrame, shards: int, width: int) -> DataFrame:
         if held:
             yield close()
 
-    dealt = segments.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")).select("shard", F.xxhash64("anchor", "text").alias("segment_id"), "text", "times")
+    key = F.when(F.col("often"), F.xxhash64("anchor", "text")).otherwise(F.xxhash64("anchor"))
+    dealt = segments.select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), F.xxhash64("anchor", "text").alias("segment_id"), "text", "times", "often")
     n = shuffle_partitions(segments.sparkSession)
-    return dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(run, "segment_id long, ranges array<struct<a:int,z:int>>")
+    rows = dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(run, "segment_id long, ranges array<struct<a:int,z:int>>, deal long, known boolean, first int")
+    rows = written(rows, "repeat-found")
+    hits = _again(rows.filter("deal is not null").select("deal", "known", F.col("segment_id").alias("row_key"), "first"))
+    covered = F.transform("firsts", lambda k: F.struct(k.alias("a"), (k + width).alias("z")))
+    spread = hits.groupBy(F.col("row_key").alias("segment_id")).agg(F.collect_set("first").alias("firsts")).select("segment_id", covered.alias("ranges"))
+    return rows.filter("deal is null").select("segment_id", "ranges").unionByName(spread)
 
 
 def _kept(texts: DataFrame) -> DataFrame:
@@ -244,8 +282,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = written(_parts(lean, flagged, width), "repeat-parts")
     pieces = parts.filter("kind = 2")
     size = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # of the anchors above the bound there are at most size / ANCHOR_BYTES, so their hashes can be broadcast
+    frequent = written(pieces.groupBy("anchor").agg(F.sum(F.octet_length("text")).alias("bytes")).filter(F.col("bytes") > ANCHOR_BYTES).select("anchor"), "repeat-frequent")
     distinct = pieces.groupBy("anchor", "text").agg(F.count(F.lit(1)).alias("times"))
-    found = _searched(distinct, max(1, -(-size // SHARD_BYTES)), width)
+    marked = distinct.join(F.broadcast(frequent.withColumn("often", F.lit(True))), "anchor", "left").withColumn("often", F.coalesce("often", F.lit(False)))
+    found = _searched(marked, max(1, -(-size // SHARD_BYTES)), width)
     where = pieces.select("row_key", "first", F.xxhash64("anchor", "text").alias("segment_id")).join(found, "segment_id")
     moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["z"] + F.col("first")).alias("z")))
     drops = where.select("row_key", moved.alias("ranges")).groupBy("row_key").agg(F.flatten(F.collect_set("ranges")).alias("ranges"))

@@ -1,7 +1,11 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from sediment.llm import op5_substrings
 from sediment.llm.op5_substrings import remove_repeats
 
 from .corpus import SCHEMA, documents
@@ -38,3 +42,30 @@ def test_repeats_within_one_text_and_overlaps(spark):
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_short_passage_in_many_contexts_is_spread(spark, monkeypatch):
+    """A phrase of 20 words in ever different contexts: no shard holds its anchor, and the removed words stay exact."""
+    rng = random.Random(11)
+    phrase = [f"p{k}" for k in range(20)]
+    other = lambda n: [f"c{rng.randrange(10**9)}" for _ in range(n)]
+    texts = [" ".join([*other(40), *phrase, *other(40)]) for _ in range(300)]
+    for _ in range(30):  # windows that reach over the phrase's edge twice or thrice, and whole copies
+        left, right = other(9), other(12)
+        texts += [" ".join([*other(30), *left, *phrase, *right, *other(30)]) for _ in range(rng.choice((2, 3)))]
+    texts += texts[:5]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    monkeypatch.setattr(op5_substrings, "ANCHOR_BYTES", 8192, raising=False)
+    searched, most = op5_substrings._searched, []
+
+    def seen(segments, shards, width):
+        held = segments.filter("not often") if "often" in segments.columns else segments
+        most.append(held.groupBy("anchor").agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0] or 0)
+        return searched(segments, shards, width)
+
+    monkeypatch.setattr(op5_substrings, "_searched", seen)
+    got = remove_repeats(spark.createDataFrame(rows, SCHEMA)).drop("kept_text").collect()
+    want = brute_force(rows, 35)
+    assert sorted(map(tuple, got), key=str) == want
+    assert sum(x[2] > 0 for x in want) > 60
+    assert most and max(most) <= 8192
