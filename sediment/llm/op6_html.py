@@ -3,7 +3,8 @@
 A page becomes a sequence of words (positive) and tags (negative). A tag's weight is how much rarer it is inside the
 content of labelled pages (those that mark their article) than outside; a linear scan finds the contiguous region of
 the greatest sum. Words inside containers of menus, adverts, forms, comments and the like count nothing and are left out
-of the region's text.
+of the region's text. Such a container is known by any word of its class, id or role; inside a marked article, where ids
+and slugs name what a section is about, only by a whole class or role, and never if it is a heading or stands in code.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 BLOCKS = set("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 OUTSIDE = set("nav footer aside form head button select menu dialog svg canvas object audio video map script style noscript template textarea title iframe xmp".split())
 MARKS = {"article", "main"}
+HEADINGS, CODE = {"h1", "h2", "h3", "h4", "h5", "h6"}, {"pre", "code", "samp", "kbd"}
 HINTS = set("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer login masthead menu menubar modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted promotion related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets complementary contentinfo".split())
 
 #: A few labelled pages for tags that a corpus may never show outside a menu it names: lists and links are mostly, but
@@ -43,6 +45,7 @@ EXAMPLES = (
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.DOTALL)
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+_WHOLE = re.compile(r"(?<![\w.:\-])(?:class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -51,6 +54,17 @@ def _named(attributes: str) -> list[str]:
     return [w.lower() for m in _NAMED.finditer(attributes) for w in _SPLIT.split(m[1] or m[2] or m[3] or "") if w]
 
 
+def _hinted(name: str, attributes: str, hints: list[str], marked: bool, code: bool) -> bool:
+    """Whether an element names itself as something that isn't content."""
+    if name in ("html", "body", *MARKS) or HINTS.isdisjoint(hints):
+        return False
+    if not marked:
+        return True
+    if code or name in HEADINGS:
+        return False
+    return any(not HINTS.isdisjoint((m[1] or m[2] or m[3] or "").lower().split()) for m in _WHOLE.finditer(attributes))
+
+
 def events(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
     """(kind, value, key, outside, marked) in page order; kind is text or tag, value the text or the tag's name.
 
@@ -86,7 +100,7 @@ def events(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
             continue
         hints = _named(m[3])
         key = ".".join([name, *sorted(set(hints))[:2]])
-        bad = name in OUTSIDE or (name not in ("html", "body", *MARKS) and not HINTS.isdisjoint(hints)) or (name == "header" and not marked)
+        bad = name in OUTSIDE or _hinted(name, m[3], hints, marked > 0, name in CODE or any(s[0] in CODE for s in stack[-16:])) or (name == "header" and not marked)
         while stack and stack[-1][0] in _CLOSES.get(name, ()):
             n, _, was = stack.pop()
             out -= was

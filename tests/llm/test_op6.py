@@ -1,4 +1,4 @@
-from sediment.llm.op6_html import EXAMPLES, extract_text, learn_weights
+from sediment.llm.op6_html import EXAMPLES, extract_text, learn_weights, main_text
 
 PAGE = """<html><head><title>no</title><style>p{}</style></head><body><nav><a href=x>Menu</a></nav><div class="ad">Buy now</div>
 <article><h1>Head &amp; line</h1><p>First  para <b>bold</b>.</p><ul><li>one item</li><li>two items</li></ul></article>
@@ -21,3 +21,15 @@ def test_weights_without_pages(spark):
     weights = learn_weights(pages)
     assert weights["p"] > weights["a"] and len(EXAMPLES) > 0
     assert extract_text(pages, weights).collect() == []
+
+
+def test_sections_named_by_their_subject_stay():
+    page = """<body><nav><a>Menu</a></nav><article><h1>Title</h1><p>First words of it.</p>
+<h2 id="search-results-explained">Search results explained</h2><p>More words here.</p>
+<section id="related-work"><h2 class="social">Related work</h2><p>Others did it too.</p></section>
+<section class="topic-social-history" id="social-history"><p>A history of it.</p></section>
+<pre><code>x = 1 <span class="comment"># one</span></code></pre>
+<div class="box related"><a>Other page</a></div><div role="navigation"><a>Next</a></div><p>Last words of it.</p></article>
+<div id="related-posts"><a>Elsewhere</a></div></body>"""
+    want = ["Title", "First words of it.", "Search results explained", "More words here.", "Related work", "Others did it too.", "A history of it.", "x = 1 # one", "Last words of it."]
+    assert main_text(page, {}).split("\n") == want
