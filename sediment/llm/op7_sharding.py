@@ -1,13 +1,16 @@
-"""Sharding by a k-d tree over text metadata, in DataFrame operations only.
-
-The tree's dimensions are functions of the text alone (log of its bytes, bytes per character, CRC-32),
-so equal texts fall into one leaf without any grouping, however many copies there are. A level takes the
-widest dimension of each node and splits it at the weighted median, found by two histograms with a fixed
-number of bins: partial sums are made before the shuffle, and the driver sees one row per node.
+"""Sharding by a k-d tree over metadata, in DataFrame operations only.
+
+A point is a group of equal texts; its weight is the bytes of all its rows, and its dimensions are the group's least
+language and source (as places in a fixed range, so that rows of one value lie together) and the logarithm of its length.
+Each dimension is measured in its own standard deviation over the corpus. A level splits each node along the dimension in
+which it is widest, at the weighted median, found by histograms of a fixed number of bins: partial sums are made before the
+shuffle, and the driver sees one row per node and round. A hash of the text only tells points of one value apart. Splits are
+a small table that each level joins; points go on from level to level as a written narrow table.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,67 +18,106 @@ from pyspark.sql import functions as F
 
 from ._common import shuffle_partitions, table, written
 
-#: Bins of a histogram; two rounds tell a node's values apart to one part in BINS squared.
-BINS = 4096
-DIMS = ("kd_length", "kd_density", "kd_crc")
+#: Bins of a histogram, and how many are made, each of the bin that holds the median: a node's values are told apart to one
+#: part in BINS ** ROUNDS of its width.
+BINS, ROUNDS = 256, 3
+#: Places of a dimension whose values are names.
+PLACES = 4096
+#: Groups whose rows differ in language or source that are broadcast (about 50 bytes each); beyond, Spark joins by shuffle.
+BROADCAST_GROUPS = 200_000
+DIMS = ("lang", "source", "length")
+_OWN = "kd tree "  # before the names of columns made here, so that no column of the caller is hidden
 
 
-def _measured(docs: DataFrame, text: str) -> DataFrame:
-    """size, text_crc32 and the three dimensions, each within [0, 1] or so.
+def _c(name: str) -> Column:
+    return F.col(f"`{_OWN}{name}`")
 
-    A hash of the text between 0 and 1 is added below the unit of the integer dimensions, so that texts of
-    one length can still be told apart and a split is never held up by a tie of different texts.
-    """
+
+def _measured(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
+    """The caller's columns with size, text_crc32, the text's key and jitter, and the metadata of the row itself."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    spread = F.shiftrightunsigned(F.xxhash64(whole), 11).cast("double") / F.lit(float(1 << 53))
-    size = F.octet_length(whole).cast("long") + 1
-    return (
-        docs.withColumn("size", size)
-        .withColumn("text_crc32", F.crc32(whole).cast("long"))
-        .withColumn("kd_length", F.log2(F.col("size") + spread) / 40)
-        .withColumn("kd_density", (F.octet_length(whole) + spread) / (F.length(whole) + 1) / 5)
-        .withColumn("kd_crc", F.col("text_crc32") / F.lit(float(1 << 32)))
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
+    return docs.withColumns(
+        {
+            f"{_OWN}size": F.octet_length(whole).cast("long") + 1,
+            f"{_OWN}crc": F.crc32(whole).cast("long"),
+            f"{_OWN}key": F.xxhash64(whole),
+            f"{_OWN}lang": name(lang),
+            f"{_OWN}source": name(source),
+        }
     )
 
 
-def _by_node(values: dict[int, float]) -> Column:
-    """The value that belongs to a row's node."""
-    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(float(v)))])[F.col("kd_node")]
+def _points(measured: DataFrame) -> DataFrame:
+    """One row for each distinct text: its key (hash, CRC-32 and size), the bytes of its rows, and its metadata."""
+    key = [_c(k).alias(k) for k in ("key", "crc", "size")]
+    groups = measured.groupBy(*key).agg(F.sum(_c("size")).alias("w"), F.min(_c("lang")).alias("lang_name"), F.min(_c("source")).alias("source_name"), ((F.max(_c("lang")) != F.min(_c("lang"))) | (F.max(_c("source")) != F.min(_c("source")))).alias("mixed"))
+    return groups
 
 
-def kd_tree(points: DataFrame, weight: str, dims: tuple[str, ...], leaves: int) -> tuple[list[list[tuple[int, str, float, int]]], dict[int, int]]:
-    """The splits of each level, as (node, dimension, threshold, right child), and the first leaf of each node.
+def _placed(df: DataFrame) -> DataFrame:
+    """The three dimensions from key, size, lang_name and source_name.
 
-    A node splits its share of leaves in two halves, and its weight in the same proportion, at the weighted
-    median of its widest dimension. Per level there are three aggregations with partial sums; the driver gets
-    one row per node, so its memory is bounded by the number of leaves.
+    The hash of the text, from 0 to 1, is added below the unit of a dimension: it decides only between equal values.
     """
-    levels: list[list[tuple[int, str, float, int]]] = []
+    jitter = F.shiftrightunsigned(F.xxhash64("key", "crc"), 11).cast("double") / F.lit(float(1 << 53))
+    place = lambda c: (F.pmod(F.xxhash64(c), F.lit(PLACES)) + jitter) / PLACES
+    return df.withColumn("lang", place("lang_name")).withColumn("source", place("source_name")).withColumn("length", F.log2(F.col("size") + jitter))
+
+
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table with a row for each node, made by the driver as one literal: broadcast, and bounded by the number of leaves."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    fields = ", ".join(f"{n}: {x.split()[1]}" for n, x in zip(names, schema.split(", "), strict=True))
+    return F.broadcast(spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields}>>"))))
+
+
+def _split(df: DataFrame, splits: DataFrame) -> DataFrame:
+    """One level down: node becomes the right child where the split's dimension is at the threshold or above."""
+    value = F.coalesce(*(F.when(F.col("dim") == d, F.col(d)) for d in DIMS))
+    went = df.join(splits.withColumnRenamed("of", "node"), "node", "left")
+    return went.withColumn("node", F.when(value >= F.col("at"), F.col("right_child")).otherwise(F.col("node"))).drop("dim", "at", "right_child")
+
+
+_SPLITS = "of int, dim string, at double, right_child int"
+
+
+def kd_tree(points: DataFrame, leaves: int) -> tuple[list[DataFrame], dict[int, int]]:
+    """The splits of each level as tables, and the first leaf of each node. Points have key, crc, w and DIMS.
+
+    A node splits its share of leaves in two halves, and its weight in the same proportion, at the weighted median of its
+    widest dimension. The driver gets a row for each node and round, so its memory is bounded by the number of leaves.
+    """
+    spark = points.sparkSession
     first, shares = {0: 0}, {0: leaves}  # a node: its first leaf, how many leaves are below
+    levels: list[DataFrame] = []
+    if leaves < 2:
+        return levels, first
+    w, at = F.col("w").cast("double"), written(points.select("w", *DIMS, F.lit(0).alias("node")), "kd-points")
+    scale: dict[str, float] = {}
     while max(shares.values()) > 1:
-        at = descended(points, levels)
-        spans = at.groupBy("kd_node").agg(F.sum(weight).alias("w"), *(f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max)))).collect()
-        rows = {r["kd_node"]: r for r in spans if shares[r["kd_node"]] > 1}
+        spread = [f(d).alias(f"{k}_{d}") for d in DIMS for k, f in (("lo", F.min), ("hi", F.max), ("s", lambda d: F.sum(w * F.col(d))), ("ss", lambda d: F.sum(w * F.col(d) * F.col(d))))]
+        rows = {r["node"]: r for r in at.groupBy("node").agg(F.sum(w).alias("w"), *spread).collect() if shares[r["node"]] > 1}
         if not rows:
             break
-        widest = {k: max(dims, key=lambda d: r[f"hi_{d}"] - r[f"lo_{d}"]) for k, r in rows.items()}
+        deviation = {k: {d: math.sqrt(max(0.0, r[f"ss_{d}"] / r["w"] - (r[f"s_{d}"] / r["w"]) ** 2)) for d in DIMS} for k, r in rows.items()}
+        scale = scale or {d: max(deviation[0][d], 1e-9) for d in DIMS}
+        widest = {k: max(DIMS, key=lambda d: round(x[d] / scale[d], 6)) for k, x in deviation.items()}  # at a tie the earlier one
         lo = {k: r[f"lo_{widest[k]}"] for k, r in rows.items()}
         width = {k: max(r[f"hi_{widest[k]}"] - lo[k], 1e-12) * (1 + 1e-9) for k, r in rows.items()}
-        goal = {k: float(r["w"]) * math.ceil(shares[k] / 2) / shares[k] for k, r in rows.items()}
+        goal = {k: r["w"] * math.ceil(shares[k] / 2) / shares[k] for k, r in rows.items()}
         below, cut = dict.fromkeys(rows, 0.0), dict(lo)
-        value = F.lit(None).cast("double")
-        for d in dims:
-            if mine := [k for k, v in widest.items() if v == d]:
-                value = F.when(F.col("kd_node").isin(mine), F.col(d)).otherwise(value)
-        valued = at.withColumn("kd_value", value).filter(F.col("kd_value").isNotNull())
-        for _ in range(2):  # a histogram of the node, then one of the bin that holds the median
-            bin_of = F.floor((F.col("kd_value") - _by_node(lo)) / _by_node(width) * BINS).cast("int")
-            sums = valued.withColumn("kd_bin", bin_of).filter(F.col("kd_bin").between(0, BINS - 1)).groupBy("kd_node", "kd_bin").agg(F.sum(weight).cast("double").alias("w"))
-            running = sums.withColumn("upto", F.sum("w").over(Window.partitionBy("kd_node").orderBy("kd_bin")) + _by_node(below))
-            for r in running.filter(F.col("upto") >= _by_node(goal)).groupBy("kd_node").agg(F.min_by(F.struct("kd_bin", "w", "upto"), "kd_bin").alias("x")).collect():
-                k, x = r["kd_node"], r["x"]
+        for _ in range(ROUNDS):
+            nodes = _table(spark, [(k, widest[k], lo[k], width[k], below[k], goal[k]) for k in rows], "node int, dim string, lo double, width double, below double, goal double")
+            value = F.coalesce(*(F.when(F.col("dim") == d, F.col(d)) for d in DIMS))
+            binned = at.join(nodes, "node").withColumn("bin", F.floor((value - F.col("lo")) / F.col("width") * BINS).cast("int")).filter(F.col("bin").between(0, BINS - 1))
+            sums = binned.groupBy("node", "bin", "below", "goal").agg(F.sum(w).alias("w"))
+            running = sums.withColumn("upto", F.sum("w").over(Window.partitionBy("node").orderBy("bin")) + F.col("below"))  # BINS rows a node
+            for r in running.filter(F.col("upto") >= F.col("goal")).groupBy("node").agg(F.min(F.struct("bin", "w", "upto")).alias("x")).collect():
+                k, x = r["node"], r["x"]
                 below[k], width[k] = x["upto"] - x["w"], width[k] / BINS
-                lo[k] += x["kd_bin"] * width[k]
+                lo[k] += x["bin"] * width[k]
                 cut[k] = lo[k] if goal[k] - below[k] < x["upto"] - goal[k] else lo[k] + width[k]  # the nearer edge
         level, base = [], max(first) + 1
         for i, (k, at_value) in enumerate(sorted(cut.items())):
@@ -84,55 +126,57 @@ def kd_tree(points: DataFrame, weight: str, dims: tuple[str, ...], leaves: int)
             level.append((k, widest[k], float(at_value), base + i))
         for k in set(shares) - set(cut) - {x[3] for x in level}:
             shares[k] = 1  # a node without rows, or a leaf
-        levels.append(level)
+        levels.append(_table(spark, level, _SPLITS))
+        if max(shares.values()) > 1:
+            at = written(_split(at, levels[-1]), "kd-points")
     return levels, first
 
 
-def descended(df: DataFrame, levels: list[list[tuple[int, str, float, int]]]) -> DataFrame:
-    """kd_node: where each row ends up after these levels."""
-    df = df.withColumn("kd_node", F.lit(0))
-    for level in levels:
-        node = F.col("kd_node")
-        for k, dim, at, right in level:
-            node = F.when((F.col("kd_node") == k) & (F.col(dim) >= F.lit(at)), F.lit(right)).otherwise(node)
-        df = df.withColumn("kd_node", node)
-    return df
-
-
-def shard_documents(docs: DataFrame, target_bytes: int | None = None, n_shards: int | None = None, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, target_bytes: int | None = None, n_shards: int | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", carry: list[str] | None = None) -> DataFrame:
     """Shards of nearly `target_bytes` each (or exactly `n_shards` of nearly equal bytes).
 
-    Adds size (UTF-8 bytes of the text plus 1), text_crc32, shard and slot (gapless from 0 in each shard,
-    hashed buckets of doc_id in turn and by doc_id within one). Null and empty texts are one group of size 1.
-    Equal texts share a shard: a group larger than a shard makes that shard larger and is never divided.
-    Repeated rows each take a slot of their own; a null doc_id is a value like any other. An empty table
-    gives no rows. `carry` names the columns that are kept (all of them if not given).
+    `carry` names the columns that are kept (all of them if not given); to them come size (UTF-8 bytes of the text plus 1),
+    text_crc32, shard and slot (gapless from 0 in each shard, hashed buckets of doc_id in turn and by doc_id within one). A
+    kept column of one of these four names is replaced; others keep their values whatever their names. Null and empty texts are
+    one group of size 1; a null language or source counts as '', and so does a column that is missing. Equal texts share a
+    shard: a group larger than a shard makes that shard larger and is never divided; very long texts are points like others.
+    Repeated rows each take a slot of their own; a null doc_id is a value like any other. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in ("size", "text_crc32", "shard", "slot") and not c.startswith("kd_")]
-    measured = _measured(docs, text).select(*carry, "size", "text_crc32", *DIMS)
-    points = written(measured if set(carry) <= {doc_id} else measured.select("size", *DIMS), "kd-points")  # a narrow table, read once for each level
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in ("size", "text_crc32", "shard", "slot")]
+    rows = _measured(docs.select(*dict.fromkeys([*carry, doc_id, text, *(c for c in (lang, source) if c in docs.columns)])), text, lang, source)
+    points = written(_points(rows), "kd-groups")
     if n_shards is None:
-        n_shards = max(1, math.ceil((points.agg(F.sum("size")).first()[0] or 0) / max(1, target_bytes or 1)))
-    levels, first = kd_tree(points, "size", DIMS, n_shards)
-    leaf = F.create_map(*[x for k, v in first.items() for x in (F.lit(k), F.lit(v))])[F.col("kd_node")]
-    placed = descended(points if set(carry) <= {doc_id} else measured, levels).withColumn("shard", leaf.cast("int"))
-    return _slots(placed.select(*carry, "size", "text_crc32", "shard"), doc_id, n_shards, shuffle_partitions(spark))
-
-
-def _slots(placed: DataFrame, doc_id: str, n_shards: int, parallel: int) -> DataFrame:
+        n_shards = max(1, math.ceil((points.agg(F.sum("w")).first()[0] or 0) / max(1, target_bytes or 1)))
+    levels, first = kd_tree(_placed(points), n_shards)
+    # rows know their group's metadata by themselves, but where copies differ
+    odd = points.filter("mixed").select(F.col("key").alias(f"{_OWN}key"), F.col("crc").alias(f"{_OWN}crc"), F.col("size").alias(f"{_OWN}size"), F.struct("lang_name", "source_name").alias(f"{_OWN}group"))
+    odd = written(odd, "kd-odd")
+    at = rows.join(F.broadcast(odd) if odd.count() <= BROADCAST_GROUPS else odd, [f"{_OWN}key", f"{_OWN}crc", f"{_OWN}size"], "left")
+    own = F.coalesce(_c("group"), F.struct(_c("lang").alias("lang_name"), _c("source").alias("source_name")))
+    keep = F.struct(*[F.col(f"`{c}`") for c in carry], F.col(f"`{doc_id}`").alias(f"{_OWN}id"))
+    went = _placed(at.select(keep.alias("row"), _c("size").alias("size"), _c("crc").alias("crc"), _c("key").alias("key"), own["lang_name"].alias("lang_name"), own["source_name"].alias("source_name"))).select("row", "size", "crc", *DIMS, F.lit(0).alias("node"))
+    for splits in levels:
+        went = _split(went, splits)
+    leaves = _table(spark, list(first.items()), "node int, shard int")
+    return _slots(went.join(leaves, "node").select("row", "size", "crc", "shard"), carry, n_shards, shuffle_partitions(spark))
+
+
+def _slots(placed: DataFrame, carry: list[str], n_shards: int, parallel: int) -> DataFrame:
     """Number the rows of each shard without bringing a shard into one task.
 
     A shard is cut into buckets by the hash of doc_id; rows are numbered within a bucket, and the buckets'
     counts (n_shards x buckets rows at most) give each bucket's first number.
     """
     buckets = max(1, math.ceil(4 * parallel / n_shards))
-    cut = placed.withColumn("kd_bucket", F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int"))
-    counts = cut.groupBy("shard", "kd_bucket").agg(F.count(F.lit(1)).alias("kd_rows"))
-    offset = F.sum("kd_rows").over(Window.partitionBy("shard").orderBy("kd_bucket")) - F.col("kd_rows")
-    firsts = counts.select("shard", "kd_bucket", offset.alias("kd_first"))
-    within = F.row_number().over(Window.partitionBy("shard", "kd_bucket").orderBy(doc_id, "text_crc32", "size"))
-    return cut.withColumn("kd_within", within).join(firsts, ["shard", "kd_bucket"]).withColumn("slot", F.col("kd_first") + F.col("kd_within") - 1).drop("kd_bucket", "kd_within", "kd_first")
+    key = F.col("row")[f"{_OWN}id"]
+    cut = placed.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    counts = cut.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    offset = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")
+    firsts = counts.select("shard", "bucket", offset.alias("first"))
+    within = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy(key, "crc", "size"))
+    out = cut.withColumn("within", within).join(firsts, ["shard", "bucket"])
+    return out.select(*(F.col("row")[c].alias(c) for c in carry), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("first") + F.col("within") - 1).alias("slot"))
 
 
 def op7_kd_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
