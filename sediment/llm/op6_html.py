@@ -1,10 +1,11 @@
 """Main text of web pages as a maximum-scoring subsequence of their words and tags.
 
-A page becomes a sequence of words (positive) and tags (negative). A tag's weight is how much rarer it is inside the
-content of labelled pages (those that mark their article) than outside; a linear scan finds the contiguous region of
-the greatest sum. Words inside containers of menus, adverts, forms, comments and the like count nothing and are left out
-of the region's text. Such a container is known by any word of its class, id or role; inside a marked article, where ids
-and slugs name what a section is about, only by a whole class or role, and never if it is a heading or stands in code.
+A page becomes a sequence of words (positive) and tags (negative); a linear scan finds the contiguous region of the greatest
+sum, whose words are the text. Weights are learned on labelled pages: pages that mark their article, in which what stands in
+containers named after menus, adverts, comments and the like counts as outside. Two kinds of weights are log-odds of such
+counts: that of the evidence a container bears (its element and the words of its class, id and role), and that of a tag given
+the container it stands in. Evidence adds up from the page's root down: words in a container of negative sum score nothing
+and are no text of the region, and its tags are dear, so that the region ends there rather than run on.
 """
 
 from __future__ import annotations
@@ -22,64 +23,124 @@ from pyspark.sql import functions as F
 from ._common import small_batches, table, text_column
 
 #: Labelled pages that weights are counted on at most (drawn by hash), and keys that are kept.
-MAX_PAGES, MAX_KEYS = 4000, 2000
-#: Bounds of a tag's weight, and the weight of a tag inside a marked article or a named menu.
-LOWEST, HIGHEST, MARKED = -3.0, -0.01, -0.001
-
-# Elements by kind, and words in classes, ids and roles that name what isn't the article.
+MAX_PAGES, MAX_KEYS = 4000, 4000
+#: Bounds of a tag's weight; of the weight of a container's evidence (of one name, and of all down from the root).
+LOWEST, HIGHEST = -3.0, -0.01
+EVIDENCE, SUM = 2.5, 3.0
+#: Words that the fixed names count for before any page is read.
+PRIOR = 50
+
+# Elements by kind, and words in classes, ids and roles that name what is the article and what isn't.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = set("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
-OUTSIDE = set("nav footer aside form head button select menu dialog svg canvas object audio video map script style noscript template textarea title iframe xmp".split())
+NEVER = set("head button select svg canvas object audio video map script style noscript template textarea title iframe xmp dialog form".split())
+OUTSIDE = set("nav footer aside menu".split())
 MARKS = {"article", "main"}
 HEADINGS, CODE = {"h1", "h2", "h3", "h4", "h5", "h6"}, {"pre", "code", "samp", "kbd"}
 HINTS = set("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer login masthead menu menubar modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted promotion related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets complementary contentinfo".split())
+CONTENT = set("article body content entry main post story text".split())
+NEGATORS = {"no", "not", "has", "with", "without", "hide", "hidden", "hides", "off"}
 
-#: A few labelled pages for tags that a corpus may never show outside a menu it names: lists and links are mostly, but
-#: not only, found outside the article.
-EXAMPLES = (
-    "<body><ul><li><a>Home</a></li><li><a>News</a></li><li><a>Shop</a></li><li><a>Help</a></li></ul><main><h1>t</h1><p>w <a>l</a> w</p><ul><li>w</li><li>w</li><li>w</li></ul><p>w</p></main><div><a>x</a><a>y</a><a>z</a></div></body>",
-    "<body><table><tr><td><a>One</a></td><td><a>Two</a></td></tr></table><article><h2>t</h2><p>w</p><blockquote><p>w</p></blockquote><table><tr><td>w</td></tr><tr><td>w</td></tr></table><p>w <em>w</em> <a>l</a></p></article><ul><li><a>More</a></li><li><a>Older</a></li><li><a>Newer</a></li></ul></body>",
-    "<body><div><a>Start</a><a>Map</a></div><div><main><h1>t</h1><div>w <strong>w</strong></div><div>w <a>l</a></div><ol><li>w</li><li>w</li></ol><pre>w</pre></main></div><div><span>Up</span><span>Down</span></div><ul><li><a>Privacy</a></li><li><a>Terms</a></li></ul></body>",
-)
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.DOTALL)
-_NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_WHOLE = re.compile(r"(?<![\w.:\-])(?:class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+)(?:>|\Z)", re.DOTALL)
+_NAMED = re.compile(r"(?<![\w.:\-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def _named(attributes: str) -> list[str]:
-    return [w.lower() for m in _NAMED.finditer(attributes) for w in _SPLIT.split(m[1] or m[2] or m[3] or "") if w]
-
-
-def _hinted(name: str, attributes: str, hints: list[str], marked: bool, code: bool) -> bool:
-    """Whether an element names itself as something that isn't content."""
-    if name in ("html", "body", *MARKS) or HINTS.isdisjoint(hints):
-        return False
-    if not marked:
-        return True
-    if code or name in HEADINGS:
-        return False
-    return any(not HINTS.isdisjoint((m[1] or m[2] or m[3] or "").lower().split()) for m in _WHOLE.finditer(attributes))
-
-
-def events(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
-    """(kind, value, key, outside, marked) in page order; kind is text or tag, value the text or the tag's name.
-
-    outside: within a container that isn't content; marked: within an article or main element. Unclosed elements end with
-    their parent; a text that no tag ends, as of a page cut short, counts as it stands.
+def evidence(name: str, attributes: str) -> list[tuple[str, float]]:
+    """What an element says of itself, as (key, share): its own name if it is a section's, whole classes and roles, and by
+    half the words of ids and of compound classes (none where a compound denies, as in no-sidebar or has-comments)."""
+    out = {name: 1.0} if name in OUTSIDE or name in MARKS or name in ("header", "section", "div", "table") else {}
+    if attributes:
+        for m in _NAMED.finditer(attributes):
+            for token in (m[2] or m[3] or m[4] or "").split():
+                words = [w.lower() for w in _SPLIT.split(token) if w]
+                if len(words) == 1 and m[1].lower() != "id":
+                    out[f".{words[0]}"] = 1.0
+                elif words and NEGATORS.isdisjoint(words):
+                    for w in words:
+                        out.setdefault(f".{w}", 0.5)
+    return list(out.items())
+
+
+def _prior(key: str) -> tuple[float, float]:
+    """Words inside and outside that a key counts for by its fixed meaning."""
+    if key in MARKS or key[1:] in CONTENT:
+        return PRIOR, 0.0
+    if key in OUTSIDE or key[1:] in HINTS:
+        return 0.0, PRIOR
+    return (PRIOR / 10, PRIOR / 2) if key == "header" else (0.0, 0.0)
+
+
+def evidence_weight(key: str, counts: dict[str, list[float]]) -> float:
+    """Log-odds of the key's words; an element that says nothing by itself (div, section, table) has none."""
+    if key in ("div", "section", "table"):
+        return 0.0
+    inside, outside = counts.get(key, (0.0, 0.0))
+    a, b = _prior(key)
+    if a or b or inside + outside >= PRIOR:
+        most = EVIDENCE if key not in MARKS and key[1:] not in CONTENT else EVIDENCE - 0.5
+        return max(-EVIDENCE, min(most, math.log((inside + a + 1) / (outside + b + 1))))
+    return 0.0
+
+
+class Weights:
+    """Learned weights: of evidence by key, and of tags by "name|state". A pair that wasn't seen weighs as its state does or,
+    where nothing speaks for or against content, half as much as its name."""
+
+    def __init__(self, evidence_counts: dict[str, list[float]], tag_counts: dict[str, list[float]]) -> None:
+        self.counts, self.known = evidence_counts, {}
+        sums: dict[str, list[float]] = {}
+        for key, (inside, outside) in tag_counts.items():
+            name, state = key.split("|")
+            for of in (name, f"|{state}"):
+                total = sums.setdefault(of, [0.0, 0.0])
+                total[0] += inside
+                total[1] += outside
+        self.tags = {k: max(LOWEST, min(HIGHEST, math.log((a + 0.5) / (b + 0.5)))) for k, (a, b) in {**sums, **tag_counts}.items()}
+
+    def evidence(self, key: str) -> float:
+        got = self.known.get(key)
+        if got is None:
+            got = self.known[key] = evidence_weight(key, self.counts)
+        return got
+
+    def tag(self, name: str, state: str) -> float:
+        got = self.tags.get(f"{name}|{state}")
+        if got is None:
+            got = self.tags.get(f"|{state}", HIGHEST) if state else min(HIGHEST, self.tags.get(name, 0.0) / 2)
+        return got
+
+
+#: What is known without any page: the fixed names only.
+UNTAUGHT = Weights({}, {})
+
+
+class _Open:
+    """An open element: the evidence down to it, whether anything above speaks for content, and the keys nearest to it."""
+
+    __slots__ = ("keys", "marked", "name", "never", "spoken", "sum")
+
+    def __init__(self, name: str, total: float, spoken: bool, marked: bool, never: bool, keys: list[tuple[str, float]]) -> None:
+        self.name, self.sum, self.spoken, self.marked, self.never, self.keys = name, total, spoken, marked, never, keys
+
+
+def events(page: str, weights: Weights) -> Iterator[tuple[str, str, _Open]]:
+    """(kind, value, element) in page order; kind is text, open or close, value the text or the tag's name, element the one
+    that it stands in (a tag: the element itself).
+
+    Unclosed elements end with their parent; a text that no tag ends, as of a page cut short, counts as it stands.
     """
-    stack: list[tuple[str, str, bool]] = []  # name, key, begins a container that isn't content
-    out = marked = 0
+    root = _Open("", 0.0, False, False, False, [])
+    stack = [root]
     at = 0
     while at <= len(page):
         m = _TOKEN.search(page, at)
         if m is None or m.start() > at:
             text = page[at : m.start() if m else len(page)]
             if text:
-                yield "text", text, "", out > 0, marked > 0
+                yield "text", text, stack[-1]
         if m is None:
             return
         at = m.end() if m.end() > m.start() else m.start() + 1
@@ -87,99 +148,108 @@ def events(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
             continue
         name = m[2].lower()
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is None:
-                yield "tag", name, f"/{name}", out > 0, marked > 0
-                continue
-            key = f"/{stack[depth][1]}"
-            for n, _, bad in stack[depth:]:
-                out -= bad
-                marked -= n in MARKS
-            del stack[depth:]
-            yield "tag", name, key, out > 0, marked > 0
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), None)
+            yield "close", name, stack[depth or -1]
+            if depth is not None:
+                del stack[depth:]
             continue
-        hints = _named(m[3])
-        key = ".".join([name, *sorted(set(hints))[:2]])
-        bad = name in OUTSIDE or _hinted(name, m[3], hints, marked > 0, name in CODE or any(s[0] in CODE for s in stack[-16:])) or (name == "header" and not marked)
-        while stack and stack[-1][0] in _CLOSES.get(name, ()):
-            n, _, was = stack.pop()
-            out -= was
-        if name in BLOCKS and name not in ("br", "p", "hr") and any(s[0] == "p" for s in stack[-3:]):
-            while stack and stack[-1][0] != "p":  # a block ends an open paragraph and what is open in it
-                n, _, was = stack.pop()
-                out -= was
-                marked -= n in MARKS
-            _, _, was = stack.pop()
-            out -= was
-        elif name == "p" and any(s[0] == "p" for s in stack[-3:]):
-            while stack[-1][0] != "p":
-                _, _, was = stack.pop()
-                out -= was
-            _, _, was = stack.pop()
-            out -= was
-        if name in MARKS and out and not any(s[0] in ("form", "dialog", "footer") for s in stack):
-            stack, out = [(n, k, False) for n, k, _ in stack], 0  # an article doesn't lie in an unclosed menu
-        yield "tag", name, key, out > 0, marked > 0
+        while stack[-1].name in _CLOSES.get(name, ()):
+            stack.pop()
+        if name == "p" or (name in BLOCKS and name not in VOID):  # a block ends an open paragraph and what is open in it
+            near = next((i for i in range(len(stack) - 1, max(0, len(stack) - 4), -1) if stack[i].name == "p"), None)
+            if near is not None:
+                del stack[near:]
+        top = stack[-1]
+        if name in MARKS and top.sum < 0 and not top.never and (name == "main" or any(e.name == "nav" for e in stack)):
+            for e in stack:  # an article doesn't lie in a menu: that is one that was never closed
+                e.sum = max(e.sum, 0.0)
+        total, keys = top.sum, []
+        if name in ("html", "body") or name in HEADINGS or name in CODE or any(e.name in CODE for e in stack[-16:]):
+            keys = []
+        elif m[3] or name in OUTSIDE or name in MARKS or name == "header":
+            keys = evidence(name, m[3])
+            own = sum(share * weights.evidence(k) for k, share in keys)
+            total = max(-SUM, min(SUM, total + max(-EVIDENCE, min(EVIDENCE, own))))
+        never = top.never or name in NEVER
+        made = _Open(name, -SUM if never else total, top.spoken or (total > 0 and not never), top.marked or name in MARKS, never, keys or top.keys)
+        yield "open", name, made
         if name in VOID:
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
-            yield "tag", name, f"/{key}", out > 0, marked > 0
+            yield "close", name, made
             continue
-        if m[3].rstrip().endswith("/") and name == "svg":
+        if name == "svg" and m[3].rstrip().endswith("/"):
             continue
-        stack.append((name, key, bad))
-        out += bad
-        marked += name in MARKS
+        stack.append(made)
+
 
+def _state(e: _Open) -> str:
+    return "in" if e.spoken else "out" if e.sum < 0 else ""
 
-def tag_counts(page: str) -> Counter:
-    """(key, inside) -> number, for pages that mark their article; other pages teach nothing, nor do named menus and the like."""
-    seen = [(key, marked) for kind, name, key, outside, marked in events(page) if kind == "tag" and name not in MARKS and not outside]
-    return Counter(seen) if any(inside for _, inside in seen) else Counter()
 
+def counted(page: str) -> tuple[Counter, Counter]:
+    """(evidence key, inside) -> words and (tag key, inside) -> tags of a page that marks its article; others teach nothing.
 
-def learn_weights(pages: DataFrame, html: str = "html", max_pages: int = MAX_PAGES) -> dict[str, float]:
-    """Weights of tag keys from at most about `max_pages` labelled pages."""
+    Words are inside if the article holds them and no fixed name speaks against it; an article's tags all are.
+    """
+    words, tags, any_inside = Counter(), Counter(), False
+    for kind, value, e in events(page, UNTAUGHT):
+        if kind == "text":
+            n = len(value.split())
+            inside = e.marked and e.sum >= 0
+            any_inside |= inside and n > 0
+            for key, _ in e.keys if n and not e.never else ():
+                words[key, inside] += n
+        elif value not in MARKS:
+            tags[f"{value}|{_state(e)}", e.marked] += 1
+    return (words, tags) if any_inside else (Counter(), Counter())
+
+
+def learn_weights(pages: DataFrame, html: str = "html", max_pages: int = MAX_PAGES) -> Weights:
+    """Weights from at most about `max_pages` labelled pages. The driver gets at most MAX_KEYS counts of either kind."""
     small_batches(pages.sparkSession)
     n = pages.count()
     share = min(1.0, max_pages / max(1, n))
     drawn = pages.select(F.coalesce(F.col(html), F.lit("")).alias("html")).filter(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        totals = (Counter(), Counter())
         for b in batches:
             for t in text_column(b, "html").to_pylist():
-                total.update(tag_counts(t))
-        keys = list(total)
-        yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in keys], pa.string()), "inside": pa.array([total[k] if k[1] else 0 for k in keys], pa.int64()), "outside": pa.array([0 if k[1] else total[k] for k in keys], pa.int64())})
-
-    sums = drawn.mapInArrow(run, "key string, inside long, outside long").groupBy("key").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    rows = sums.orderBy(F.desc(F.col("inside") + F.col("outside")), "key").limit(MAX_KEYS).collect()
-    counts: dict[str, list[int]] = {r["key"]: [r["inside"], r["outside"]] for r in rows}
-    for page in EXAMPLES:
-        for (key, inside), k in tag_counts(page).items():
-            counts.setdefault(key, [0, 0])[0 if inside else 1] += k
-    return {k: max(LOWEST, min(HIGHEST, math.log((a + 0.5) / (b + 0.5)))) for k, (a, b) in counts.items()}
-
-
-def main_text(page: str, weights: dict[str, float]) -> str:
-    """The text of the best region: blocks in page order, one per line."""
-    seq = list(events(page))
-    best, best_range = 0.0, (0, 0)
+                for total, own in zip(totals, counted(t), strict=True):
+                    total.update(own)
+        for kind, total in enumerate(totals):
+            keys = list(total)
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(keys), pa.int32()), "key": pa.array([k for k, _ in keys], pa.string()), "inside": pa.array([total[k] if k[1] else 0 for k in keys], pa.int64()), "outside": pa.array([0 if k[1] else total[k] for k in keys], pa.int64())})
+
+    sums = drawn.mapInArrow(run, "kind int, key string, inside long, outside long").groupBy("kind", "key").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    counts: tuple[dict, dict] = ({}, {})
+    for kind in (0, 1):
+        for r in sums.filter(F.col("kind") == kind).orderBy(F.desc(F.col("inside") + F.col("outside")), "key").limit(MAX_KEYS).collect():
+            counts[kind][r["key"]] = [r["inside"], r["outside"]]
+    return Weights(*counts)
+
+
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """First and end of the contiguous run of the greatest positive sum (the leftmost at a tie; empty if there is none)."""
+    best, at = 0.0, (0, 0)
     total, start = 0.0, 0
-    for i, (kind, value, key, outside, marked) in enumerate(seq):
-        if kind == "text":
-            total += 0.0 if outside else float(len(value.split()))
-        elif marked or outside:  # what lies outside is left out of the region's text, so it need not part the region
-            total += MARKED
-        else:
-            total += weights.get(key, weights.get(key.split(".")[0], HIGHEST))
+    for i, x in enumerate(scores):
+        total += x
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
-            best, best_range = total, (start, i + 1)
+            best, at = total, (start, i + 1)
+    return at
+
+
+def main_text(page: str, weights: Weights) -> str:
+    """The text of the best region: blocks in page order, one per line."""
+    seq = list(events(page, weights))
+    scores = [(float(len(value.split())) if e.sum >= 0 else 0.0) if kind == "text" else weights.tag(value, _state(e)) for kind, value, e in seq]
+    first, end = best_region(scores)
     blocks: list[str] = []
     now: list[str] = []
 
@@ -189,9 +259,9 @@ def main_text(page: str, weights: dict[str, float]) -> str:
             blocks.append(text)
         now.clear()
 
-    for kind, value, _, outside, _ in seq[slice(*best_range)]:
+    for kind, value, e in seq[first:end]:
         if kind == "text":
-            if not outside:
+            if e.sum >= 0:
                 now.append(value)
         elif value in BLOCKS:
             close()
@@ -199,9 +269,10 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     return "\n".join(blocks)
 
 
-def extract_text(pages: DataFrame, weights: dict[str, float], page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def extract_text(pages: DataFrame, weights: Weights, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url and text of every page. Null and empty pages, and pages without words outside menus and the like, give
-    an empty text. Repeated rows each give a row."""
+    an empty text; a page of any length is read whole, and one that is malformed as far as it can be read. Repeated rows each
+    give a row, equal pages equal texts. Other columns don't matter, whatever their names. An empty table gives no rows."""
     small_batches(pages.sparkSession)
     lean = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
 

@@ -1,4 +1,10 @@
-from sediment.llm.op6_html import EXAMPLES, extract_text, learn_weights, main_text
+import random
+
+import pytest
+
+from sediment.llm.op6_html import UNTAUGHT, Weights, best_region, extract_text, learn_weights, main_text
+
+SF = "/root/testdata/sf0.01"
 
 PAGE = """<html><head><title>no</title><style>p{}</style></head><body><nav><a href=x>Menu</a></nav><div class="ad">Buy now</div>
 <article><h1>Head &amp; line</h1><p>First  para <b>bold</b>.</p><ul><li>one item</li><li>two items</li></ul></article>
@@ -19,7 +25,7 @@ def test_article_without_surroundings(spark):
 def test_weights_without_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     weights = learn_weights(pages)
-    assert weights["p"] > weights["a"] and len(EXAMPLES) > 0
+    assert main_text(PAGE, weights) == "Head & line\nFirst para bold.\none item\ntwo items"
     assert extract_text(pages, weights).collect() == []
 
 
@@ -32,4 +38,52 @@ def test_sections_named_by_their_subject_stay():
 <div class="box related"><a>Other page</a></div><div role="navigation"><a>Next</a></div><p>Last words of it.</p></article>
 <div id="related-posts"><a>Elsewhere</a></div></body>"""
     want = ["Title", "First words of it.", "Search results explained", "More words here.", "Related work", "Others did it too.", "A history of it.", "x = 1 # one", "Last words of it."]
-    assert main_text(page, {}).split("\n") == want
+    assert main_text(page, UNTAUGHT).split("\n") == want
+
+
+def test_best_region_equals_brute_force():
+    rng = random.Random(2)
+    for _ in range(300):
+        scores = [rng.choice([-3.0, -1.5, -0.25, 0.0, 1.0, 2.0, 5.0]) for _ in range(rng.randrange(12))]
+        a, z = best_region(scores)
+        sums = {(i, j): sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)}
+        assert sum(scores[a:z]) == max([0.0, *sums.values()])
+
+
+def test_weights_decide_the_region(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    weights = learn_weights(pages)
+    none = Weights({}, {})
+    none.evidence = none.tag = lambda *_: 0.0
+    for r in pages.limit(50).collect():
+        text = main_text(r["html"], weights)
+        assert text and text != main_text(r["html"], none)
+        assert "<article" in r["html"] and len(text) < len(r["html"])
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<body><div class="main has-sidebar"><p>one two three</p></div><div class="sidebar">x y</div></body>', "one two three"),
+        ('<body><ul class="menu"><li>a</li></ul><div class="post no-comments"><p>one two three</p><div class="comments">bad</div></div></body>', "one two three"),
+        ("<article><p>see <a href=don't>link</a> and <b title=5\">more</b></p></article>", "see link and more"),
+        ('<p title=5">one two</p>', "one two"),
+        ("<article><p>one<p>two <ul><li>a<li>b</ul></article><footer>no", "one\ntwo\na\nb"),
+        ("<nav><a>Menu</a><main><p>one two three</p></main>", "one two three"),
+        ("<article><header><h1>Title</h1></header><p>one</p><footer>by me</footer><aside>see also</aside><form>name</form></article>", "Title\none"),
+        ("<header>Site</header><article>text &lt;b&gt; &#233;</article>", "text <b> \u00e9"),
+        ("<article>one<script>var x = '</p>';</script><style>p{}</style><!-- no --> two</article>", "one two"),
+    ],
+)
+def test_malformed_and_plainly_classed_pages(spark, page, want, held=[]):  # noqa: B006  learned once
+    if not held:
+        held.append(learn_weights(spark.read.parquet(f"{SF}/pages.parquet")))
+    assert main_text(page, UNTAUGHT) == want
+    assert main_text(page, held[0]) == want
+
+
+def test_very_long_page_and_clashing_columns(spark):
+    long = "<article>" + "<p>word word</p>" * 50_000 + "</article><footer>no</footer>"
+    pages = spark.createDataFrame([(None, None, long, 1), (2, "u", "<article>a</article>", 2)], "page_id long, url string, html string, text int")
+    got = {r["page_id"]: r["text"] for r in extract_text(pages, learn_weights(pages)).collect()}
+    assert got == {None: "\n".join(["word word"] * 50_000), 2: "a"}
