@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +32,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a temporary one serves local mode (tests);
+    on a cluster that is an error, since executors would write to disks of their own."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = "file://" + tempfile.mkdtemp(prefix="spark-sediment-")
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
@@ -43,12 +48,48 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Owner of the tables written while it is open: all but the kept ones are deleted when it closes.
+
+    What leaves the block must be written (and kept) itself, since it may not read the others any more.
+    """
+
+    _open: ClassVar[list[Scratch]] = []
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folders = spark, {}
+
+    def __enter__(self) -> Scratch:
+        self._open.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Leave this table of `written` to the next owner outside, if any."""
+        at = self.folders.pop(id(df))
+        if len(self._open) > 1:
+            self._open[self._open.index(self) - 1].folders[id(df)] = at
+        return df
+
+    def __exit__(self, *_: object) -> None:
+        self._open.remove(self)
+        for at, _df in self.folders.values():
+            delete_folder(self.spark, at)
+
+
+def delete_folder(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write `df` as Parquet in the shared folder and read it back."""
+    """Cut the lineage: write `df` as Parquet in the shared folder and read it back. An open Scratch owns the table."""
     spark = df.sparkSession
     at = new_folder(spark, label)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    got = spark.read.schema(df.schema).parquet(at)
+    if Scratch._open:
+        Scratch._open[-1].folders[id(got)] = at, got
+    return got
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -11,7 +11,8 @@ Candidates meet the least set of their bucket first, are screened by whole parit
 lower bound of the symmetric difference) and verified on the sets. Components of these links settle most buckets. In the
 buckets that still hold several components all pairs across components are screened, in blocks of bounded size and without
 writing pairs out. Of what passes, the closest pair of each two components is verified first, which joins nearly all that
-belong together; whatever still passes across components after that is verified in full, so no link is lost.
+belong together; blocks in which a pair still passes after that get the sets themselves and are verified on the spot, so that
+no link is lost and no row is written for a pair that is none.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import shuffle_partitions, small_batches, table, text_column, written
+from ._common import Scratch, shuffle_partitions, small_batches, table, text_column, written
 from ._components import components
 from ._shingles import mixed, shingle_sets
 
@@ -87,7 +88,7 @@ def shown_blocks(s: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (null without words), sketch."""
+    """doc_id, row_key, n_shingles, node (null without words), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,10 +97,10 @@ def _sets(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 ids.append(set_id(s) if len(s) else None)
                 sk.append(sketch(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(sk, pa.binary())], names=["doc_id", "n_shingles", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(sk, pa.binary())], names=["doc_id", "row_key", "n_shingles", "node", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, sketch binary")
+    return docs.select("doc_id", "row_key", "text").mapInArrow(run, f"doc_id {kind}, row_key long, n_shingles long, node long, sketch binary")
 
 
 def _shown(docs: DataFrame, threshold: int) -> DataFrame:
@@ -120,7 +121,7 @@ def _shown(docs: DataFrame, threshold: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "block long, node long")
 
 
-def _met(shown: DataFrame) -> DataFrame:
+def met_in_blocks(shown: DataFrame) -> DataFrame:
     """block, leader, node: members of blocks that several sets show, beside the least of them; one pass over sorted rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,25 +161,39 @@ def _screened(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(left, "leader").join(right, "node").filter(near).mapInArrow(run, "leader long, node long")
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
-    """Those of the pairs (leader, node) whose sets reach the threshold."""
-    spark = docs.sparkSession
-    pairs = written(pairs, "jaccard-pairs")
-    wanted = written(pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).distinct().join(nodes, "node").select("node", F.col("first_doc").alias("doc_id")), "jaccard-wanted")
-    held = wanted.select("doc_id").distinct()
+def _fetched(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, shingles of the wanted nodes, made again from one text of each."""
+    wanted = written(wanted.join(nodes, "node").select("node", F.col("first_key").alias("row_key")), "jaccard-wanted")
+    held = wanted.select("row_key").distinct()
     few = wanted.count() <= BROADCAST_SETS
-    texts = docs.select("doc_id", "text").join(F.broadcast(held) if few else held, "doc_id", "left_semi")
+    texts = docs.select("row_key", "text").join(F.broadcast(held) if few else held, "row_key", "left_semi")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # repeated rows: one of them in a task
         for b in batches:
             ids, sets = [], []
             for s in shingle_sets(text_column(b, "text")):
-                if len(s):
-                    ids.append(set_id(s))
+                if len(s) and (i := set_id(s)) not in seen:
+                    seen.add(i)
+                    ids.append(i)
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    sets = written(texts.mapInArrow(fetch, "node long, shingles binary"), "jaccard-sets")
+    return written(texts.mapInArrow(fetch, "node long, shingles binary"), "jaccard-sets")
+
+
+def _alike(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    at = np.searchsorted(a, b)
+    common = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+    return 100 * common >= threshold * (len(a) + len(b) - common)
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+    """Those of the pairs (leader, node) whose sets reach the threshold."""
+    spark = docs.sparkSession
+    pairs = written(pairs, "jaccard-pairs")
+    sets = _fetched(docs, nodes, pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).distinct())
     sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("members"))
     dealt = pairs.join(sizes, "leader").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / CHUNK)).cast("int"))
     members = dealt.select("leader", "part", "node").join(sets, "node").select("leader", "part", "node", "shingles", F.lit(1).alias("rank"))
@@ -193,9 +208,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: in
                 if rank == 0:
                     held = s
                     continue
-                at = np.searchsorted(held, s)
-                common = int((held[np.minimum(at, len(held) - 1)] == s).sum())
-                if 100 * common >= threshold * (len(held) + len(s) - common):
+                if _alike(held, s, threshold):
                     a.append(leader)
                     c.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["leader", "node"])
@@ -205,70 +218,140 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: in
     return rows.mapInArrow(compare, "leader long, node long")
 
 
-def _open_pairs(met: DataFrame, nodes: DataFrame, labels: DataFrame, threshold: int, closest: bool) -> DataFrame:
-    """Pairs (leader, node) of members of one block that aren't in one component yet and pass the screen; leaders have been
-    compared with all members already.
-
-    With `closest` only the pair of the least sketch distance for each two components.
-    """
+def _open_blocks(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """block, i, j, own, node, label: members of buckets that still hold several components, in groups of two parts of a
+    bucket, of which each pair of parts meets once; leaders have been compared with all members already."""
     held = met.select("block", "node").join(labels, "node", "left").select("block", "node", F.coalesce("label", "node").alias("label"))
     counts = held.groupBy("block").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     still = counts.filter("members >= 2 and lo <> hi").select("block", F.ceil(F.col("members") / BLOCK).cast("int").alias("parts"))
-    rows = held.join(still, "block").join(nodes.select("node", "n", "sketch"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    keyed = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "sketch")
+    rows = held.join(still, "block").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
+
+
+def _across(group: list[list], key: tuple, threshold: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each member of a group (own, node, label, n, sketch, …) the later ones of other components that pass the screen,
+    and their sketch distances."""
+    own, _, label, n = (np.array([g[k] for g in group], np.int64) for k in range(4))
+    w = min(len(g[4]) for g in group) // 8
+    bits = np.stack([_folded(g[4], w) for g in group])
+    across = key[1] != key[2]
+    for k in range(len(group) - 1):
+        rest = slice(k + 1, None)
+        fit = (label[rest] != label[k]) & (100 * np.minimum(n[rest], n[k]) >= threshold * np.maximum(n[rest], n[k]))
+        if across:  # pairs within a part are the business of its own group
+            fit &= own[rest] != own[k]
+        at = np.flatnonzero(fit) + k + 1
+        if not len(at):
+            continue
+        apart = np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1, dtype=np.int64)
+        near = apart <= (100 - threshold) * (n[at] + n[k]) // (100 + threshold)
+        if near.any():
+            yield k, at[near], apart[near]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], fields: list[str]) -> Iterator[tuple[tuple, list[list]]]:
+    """Rows of one (block, i, j), which follow one another."""
+    key, group = None, []
+    for b in batches:
+        for x, i, j, *row in zip(*(b.column(k).to_pylist() for k in ("block", "i", "j", *fields)), strict=True):
+            if (x, i, j) != key:
+                if len(group) > 1:
+                    yield key, group
+                key, group = (x, i, j), []
+            group.append(row)
+    if len(group) > 1:
+        yield key, group
+
+
+def _closest_pairs(blocks: DataFrame, nodes: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (leader, node) of the least sketch distance for each two components that pass the screen, and the groups
+    (block, i, j) that hold such pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, []
-        found: dict[tuple[int, int], tuple[int, int, int]] = {}  # two labels (or nodes): distance and pair
-
-        def close() -> None:
-            if len(group) < 2:
-                return
-            own, node, label, n = (np.array([g[k] for g in group], np.int64) for k in range(4))
-            w = min(len(g[4]) for g in group) // 8
-            bits = np.stack([_folded(g[4], w) for g in group])
-            across = key[1] != key[2]
-            for k in range(len(group) - 1):
-                rest = slice(k + 1, None)
-                fit = (label[rest] != label[k]) & (100 * np.minimum(n[rest], n[k]) >= threshold * np.maximum(n[rest], n[k]))
-                if across:  # pairs within a part are the business of its own group
-                    fit &= own[rest] != own[k]
-                at = np.flatnonzero(fit) + k + 1
-                if not len(at):
-                    continue
-                apart = np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1, dtype=np.int64)
-                near = apart <= (100 - threshold) * (n[at] + n[k]) // (100 + threshold)
-                for m, d in zip(at[near].tolist(), apart[near].tolist(), strict=True):
-                    pair = (int(min(node[k], node[m])), int(max(node[k], node[m])))
-                    of = (int(min(label[k], label[m])), int(max(label[k], label[m]))) if closest else pair
-                    if of not in found or (d, *pair) < found[of]:
-                        found[of] = (d, *pair)
+        found: dict[tuple[int, int], tuple[int, int, int]] = {}  # two labels: distance and pair
+        groups: list[tuple] = []
+        names = ["lo", "hi", "apart", "leader", "node", "block", "i", "j"]
 
         def flush() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array([x[k] for x in src], pa.int64()) for src, k in ((found.keys(), 0), (found.keys(), 1), (found.values(), 0), (found.values(), 1), (found.values(), 2))], names=["lo", "hi", "apart", "leader", "node"])
+            rows = [(*of, *best, None, None, None) for of, best in found.items()] + [(None,) * 5 + key for key in groups]
             found.clear()
-            return got
-
-        for b in batches:
-            for x, i, j, *row in zip(*(b.column(k).to_pylist() for k in ("block", "i", "j", "own", "node", "label", "n", "sketch")), strict=True):
-                if (x, i, j) != key:
-                    close()
-                    key, group = (x, i, j), []
-                    if len(found) > 100_000:
-                        yield flush()
-                group.append(row)
-        close()
+            groups.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if n in "ij" else pa.int64()) for k, n in enumerate(names)], names=names)
+
+        for key, group in _groups(batches, ["own", "node", "label", "n", "sketch"]):
+            any_here = False
+            for k, at, apart in _across(group, key, threshold):
+                any_here = True
+                for m, d in zip(at.tolist(), apart.tolist(), strict=True):
+                    of = (min(group[k][2], group[m][2]), max(group[k][2], group[m][2]))
+                    best = (d, min(group[k][1], group[m][1]), max(group[k][1], group[m][1]))
+                    if of not in found or best < found[of]:
+                        found[of] = best
+            if any_here:
+                groups.append(key)
+            if len(found) + len(groups) > 100_000:
+                yield flush()
         yield flush()
 
-    n = shuffle_partitions(met.sparkSession)
-    pairs = keyed.repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(run, "lo long, hi long, apart long, leader long, node long")
+    n = shuffle_partitions(nodes.sparkSession)
+    rows = blocks.join(nodes.select("node", "n", "sketch"), "node").repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j")
+    got = written(rows.mapInArrow(run, "lo long, hi long, apart long, leader long, node long, block long, i int, j int"), "jaccard-closest")
     best = F.min(F.struct("apart", "leader", "node")).alias("best")
-    return pairs.groupBy("lo", "hi").agg(best).select("best.leader", "best.node")
+    return got.filter("lo is not null").groupBy("lo", "hi").agg(best).select("best.leader", "best.node"), got.filter("block is not null").select("block", "i", "j")
+
+
+def _verified_here(lean: DataFrame, nodes: DataFrame, blocks: DataFrame, threshold: int) -> DataFrame:
+    """Links (leader, node) between components, at most one for each two of them and group: the groups' members come with
+    their sets, and pairs are verified where they meet."""
+    sets = _fetched(lean, nodes, blocks.select("node").distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, group in _groups(batches, ["own", "node", "label", "n", "sketch", "shingles"]):
+            raw = [np.frombuffer(g[5], np.uint64) for g in group]
+            linked: set[tuple[int, int]] = set()
+            out: list[tuple[int, int]] = []
+            for k, at, apart in _across(group, key, threshold):
+                for m in at[np.argsort(apart, kind="stable")].tolist():
+                    of = (min(group[k][2], group[m][2]), max(group[k][2], group[m][2]))
+                    if of not in linked and _alike(raw[k], raw[m], threshold):
+                        linked.add(of)
+                        out.append((group[k][1], group[m][1]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["leader", "node"])
+
+    n = shuffle_partitions(lean.sparkSession)
+    rows = blocks.join(nodes.select("node", "n", "sketch"), "node").join(sets, "node").repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j")
+    return rows.mapInArrow(run, "leader long, node long")
+
+
+def settled(lean: DataFrame, nodes: DataFrame, met: DataFrame, threshold: int) -> DataFrame:
+    """node, label (the least node of its component) of all linked nodes, from those that met in a bucket."""
+    pairs = written(_screened(met.select("leader", "node").distinct(), nodes, threshold), "jaccard-screened")
+    links = written(_verified(lean, nodes, pairs, threshold), "jaccard-links")
+    labels = components(links, "leader", "node")
+    blocks = written(_open_blocks(met, labels), "jaccard-blocks")
+    closest, _ = _closest_pairs(blocks, nodes, threshold)
+    more = written(closest.join(pairs, ["leader", "node"], "left_anti"), "jaccard-open")
+    if more.isEmpty():
+        return labels
+    links = written(links.unionByName(_verified(lean, nodes, more, threshold)), "jaccard-links")
+    labels = components(links, "leader", "node")
+    blocks = written(_open_blocks(met, labels), "jaccard-blocks")
+    _, open_groups = _closest_pairs(blocks, nodes, threshold)
+    if open_groups.isEmpty():
+        return labels
+    rest = _verified_here(lean, nodes, blocks.join(open_groups, ["block", "i", "j"], "left_semi"), threshold)
+    return components(written(links.unionByName(rest), "jaccard-links"), "leader", "node")
+
+
+def least_of_component(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, of_node: the smallest doc_id of each node's component (null where no row of it has an id)."""
+    least = labels.join(nodes, "node").groupBy("label").agg(F.min("first_doc").alias("least"))
+    return nodes.select("node", "first_doc").join(labels.join(least, "label").select("node", "least"), "node", "left").select("node", F.coalesce("least", "first_doc").alias("of_node"))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of each row.
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and row_key of each row.
 
     Words are runs of characters other than space and 0x09-0x0D, A-Z lowered; a text of one to four words is one shingle.
     Null texts and texts without words have no shingles and are their own component. Equal sets link, also those of
@@ -276,37 +359,42 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     by 64-bit hashes.
     """
     small_batches(docs.sparkSession)
+    with Scratch(docs.sparkSession) as scratch:
+        lean = keyed(docs, doc_id, text)
+        rows = written(_sets(lean), "jaccard-rows")
+        nodes = written(distinct_nodes(rows), "jaccard-nodes")
+        met = written(met_in_blocks(_shown(lean, threshold)), "jaccard-met")
+        of_node = least_of_component(nodes, settled(lean, nodes, met, threshold))
+        own = F.when(F.col("node").isNull() | F.col("of_node").isNull(), F.col("doc_id")).otherwise(F.col("of_node"))
+        out = rows.select("doc_id", "row_key", "n_shingles", "node").join(of_node, "node", "left").select("doc_id", "n_shingles", own.alias("component_id"), "row_key")
+        return scratch.keep(written(out, "jaccard-components"))
+
+
+def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text and row_key, which tells rows apart by id and text (repeated rows share it)."""
     lean = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = written(_sets(lean), "jaccard-rows")
-    nodes = written(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "jaccard-nodes")
-    met = written(_met(_shown(lean, threshold)), "jaccard-met")
-    tested = written(_screened(met.select("leader", "node").distinct(), nodes, threshold), "jaccard-screened")
-    links = written(_verified(lean, nodes, tested, threshold), "jaccard-links")
-    labels = components(links, "leader", "node")
-    for closest in (True, False):
-        more = written(_open_pairs(met, nodes, labels, threshold, closest).join(tested, ["leader", "node"], "left_anti"), "jaccard-open")
-        if more.isEmpty():
-            if closest:
-                continue
-            break
-        links = written(links.unionByName(_verified(lean, nodes, more, threshold)), "jaccard-links")
-        tested = tested.unionByName(more)
-        labels = components(links, "leader", "node")
-    least = labels.join(nodes, "node").groupBy("label").agg(F.min("first_doc").alias("least"))
-    of_node = nodes.select("node", "first_doc").join(labels.join(least, "label").select("node", "least"), "node", "left").select("node", F.coalesce("least", "first_doc").alias("of_node"))
-    return rows.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("of_node")).alias("component_id"))
+    return lean.withColumn("row_key", F.xxhash64("doc_id", "text"))
+
+
+def distinct_nodes(rows: DataFrame) -> DataFrame:
+    """node, first_doc (its smallest doc_id), first_key (a row to read its text from), n, sketch."""
+    return rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.min("row_key").alias("first_key"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
 
 
 def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of `docs`, every column kept, whose doc_id is the smallest of its component.
+    """The rows of `docs`, every column kept, that are the first of their component: those of its smallest doc_id.
 
-    Rows are known by doc_id: repeated rows of a kept id all stay, and so do rows of a null id.
+    A row is known by its doc_id and text: where one doc_id is on several texts of one component all these stay, and so do
+    repeated rows of a row that stays. Of a component in which no row has an id, all rows stay; other rows of a null id go if
+    their component has an id.
     """
     got = jaccard_components(docs, doc_id, text, threshold)
-    others = written(got.filter("component_id <> doc_id").select(F.col("doc_id").alias(doc_id)).distinct(), "jaccard-others")
-    return docs.join(F.broadcast(others) if others.count() <= BROADCAST_SETS else others, doc_id, "left_anti")
+    others = written(got.filter("component_id is not null and not component_id <=> doc_id").select("row_key").distinct(), "jaccard-others")
+    marked = docs.withColumn("jaccard row key", F.xxhash64(F.col(doc_id), F.col(text)))
+    others = others.withColumnRenamed("row_key", "jaccard row key")
+    return marked.join(F.broadcast(others) if others.count() <= BROADCAST_SETS else others, "jaccard row key", "left_anti").drop("jaccard row key")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at similarity 0.8 over five-word shingles."""
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("row_key")
