@@ -1,8 +1,12 @@
-"""Document fingerprints: MinHash over five-word shingles, signature bands, verified near-duplicates.
+"""Document fingerprints: MinHash over five-word shingles, signature bands joined in Spark, verified near-duplicates.
 
 A signature holds, for each of PERMUTATIONS universal hash permutations x -> a*x + b (mod 2**32, a odd), the lowest
 value over the text's shingles; the fingerprint keeps the low 16 bits of each (b-bit MinHash) as hex. The likeness
 of two fingerprints is the share of equal places, freed of the chance agreement of 16 bits.
+
+Distinct shingle sets that share a band of the signature meet in a bucket: each member with the least one first, then all that
+are still in different components, closest pairs before others. Whatever passes a screen is verified on the sets by exact
+Jaccard similarity, so that classes hold true links only, and all of those whose sets met.
 """
 
 from __future__ import annotations
@@ -15,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import shuffle_partitions, small_batches, table, text_column
-from ._shingles import SHINGLE, _PLACES, mixed, rolled, word_hashes
+from ._common import Scratch, shuffle_partitions, small_batches, table, text_column, written
+from ._shingles import SHINGLE, _PLACES, mixed, rolled, shingle_sets, word_hashes
+from .op3_jaccard import THRESHOLD, distinct_nodes, keyed, least_of_component, met_in_blocks, set_id, settled, sketch
 
 PERMUTATIONS = 128
 #: Bands of a signature: two texts of Jaccard 0.8 share one with probability 1 - (1 - 0.8**8)**16 > 0.94,
@@ -80,34 +85,68 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     return lean.mapInArrow(run, f"doc_id {lean.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """Verified near-duplicate pairs (left_id < right_id, jaccard) of different texts, by banded signatures.
+def band_keys(sigs: np.ndarray) -> np.ndarray:
+    """A row for each signature, a 64-bit key for each of BANDS bands."""
+    parts = np.ascontiguousarray(sigs).view(np.uint64).reshape(len(sigs), BANDS, -1)
+    out = np.broadcast_to(mixed(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(sigs), BANDS)).copy()
+    for k in range(parts.shape[2]):
+        out = mixed(out + parts[:, :, k])
+    return out
+
+
+def _banded(lean: DataFrame) -> DataFrame:
+    """doc_id, row_key, n_shingles, node (null without words), sketch and bands of each row; a task gives the sketch and the
+    bands of a set once, however many copies it holds."""
 
-    Equal texts are one class, held by their smallest doc_id; `class_members` gives the rest. In a band's bucket
-    every member meets the smallest id there and its next neighbour in order, never all others; the exact Jaccard
-    similarity of the shingle sets is then computed. Texts without words pair with nothing.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            col = text_column(b, "text")
+            keys = band_keys(signatures(col)).view(np.int64)
+            n, ids, sk, bands = [], [], [], []
+            for k, s in enumerate(shingle_sets(col)):
+                i = set_id(s) if len(s) else None
+                new = i is not None and i not in seen
+                seen.add(i)
+                n.append(len(s))
+                ids.append(i)
+                sk.append(sketch(s) if len(s) else None)
+                bands.append(keys[k] if new else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(sk, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "row_key", "n_shingles", "node", "sketch", "bands"])
+
+    kind = lean.schema["doc_id"].dataType.simpleString()
+    return lean.mapInArrow(run, f"doc_id {kind}, row_key long, n_shingles long, node long, sketch binary, bands array<long>")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, row_key and near_class of each row: the smallest doc_id of the near-duplicates that verified links (Jaccard
+    similarity of five-word shingle sets, in hundredths) lead to from it, itself included.
+
+    Links are those between sets that share a band: of all links of similarity 0.8 more than 94 in a hundred, of 0.9 nearly
+    all. Texts of equal sets are one class. Texts without words are their own class; a class of rows without an id has none.
+    Other columns don't matter; an empty table gives no rows.
     """
-    lean = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    heads = lean.groupBy(F.sha2("text", 256).alias("class")).agg(F.min("doc_id").alias("doc_id"))
-    kept = lean.join(heads.select("doc_id"), "doc_id", "left_semi")
-    prints = fingerprint_documents(kept).filter(F.col("fingerprint") != "ffff" * PERMUTATIONS)
-    width = 4 * PERMUTATIONS // BANDS
-    bands = prints.select("doc_id", F.posexplode(F.array(*(F.substring("fingerprint", k * width + 1, width) for k in range(BANDS)))).alias("band", "key"))
-    heads_of = bands.groupBy("band", "key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).filter("head < tail")
-    pairs = bands.join(heads_of, ["band", "key"]).filter("doc_id <> head").select(F.col("head").alias("left_id"), F.col("doc_id").alias("right_id")).distinct()
-    words = F.filter(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    runs = F.when(F.size("w") < SHINGLE, F.array(F.concat_ws(" ", "w"))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - SHINGLE + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("w", i, SHINGLE))))
-    sets = kept.withColumn("w", words).select("doc_id", F.transform(F.array_distinct(runs), lambda s: F.xxhash64(s)).alias("s"))
-    both = pairs.join(sets.select(F.col("doc_id").alias("left_id"), F.col("s").alias("a")), "left_id").join(sets.select(F.col("doc_id").alias("right_id"), F.col("s").alias("b")), "right_id")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.withColumn("jaccard", common / (F.size("a") + F.size("b") - common)).filter(F.col("jaccard") >= threshold).select("left_id", "right_id", "jaccard")
-
-
-def _by_successor(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return _classes(keyed(docs, doc_id, text), threshold)
+
+
+def _classes(lean: DataFrame, threshold: int) -> DataFrame:
+    with Scratch(lean.sparkSession) as scratch:
+        rows = written(_banded(lean), "minhash-rows")
+        nodes = written(distinct_nodes(rows), "minhash-nodes")
+        met = written(met_in_blocks(rows.filter("bands is not null").select(F.explode("bands").alias("block"), "node")), "minhash-met")
+        of_node = least_of_component(nodes, settled(lean, nodes, met, threshold))
+        own = F.when(F.col("node").isNull() | F.col("of_node").isNull(), F.col("doc_id")).otherwise(F.col("of_node"))
+        out = rows.select("doc_id", "row_key", "node").join(of_node, "node", "left").select("doc_id", "row_key", own.alias("near_class"))
+        return scratch.keep(written(out, "minhash-classes"))
+
+
+def _by_successor(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """Rows dealt to runs of consecutive doc_id, sorted; each run ends with a copy of the next run's first row.
 
     Runs are bounded by real ids, found over the id column alone by a range partitioning: the driver gets one id per
-    partition. Adds run and follower (true for the copy). The last run is followed by the first row of all.
+    partition. Adds run, follower (true for the copy) and near_class (null). The last run is followed by the first row of all.
+    `classes` (doc_id, row_key, near_class) go to the same runs, before the row of their row_key, without a text.
     """
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
@@ -130,30 +169,50 @@ def _by_successor(docs: DataFrame) -> DataFrame:
     heads = F.element_at(bounds, F.col("run") + 1) == F.col("doc_id")
     copies = F.when(heads, F.array(F.struct(F.col("run").alias("run"), F.lit(False).alias("follower")), F.struct(before.cast("int").alias("run"), F.lit(True).alias("follower"))))
     own = F.array(F.struct(F.col("run").alias("run"), F.lit(False).alias("follower")))
-    dealt = at.select("doc_id", "text", F.inline(F.coalesce(copies, own)))
-    return dealt.repartitionById(len(firsts), "run").sortWithinPartitions("run", "follower", "doc_id", "text")
+    dealt = at.select("doc_id", "row_key", "text", F.lit(None).cast("long").alias("near_class"), F.inline(F.coalesce(copies, own)))
+    if classes is not None:
+        run = F.size(F.filter(bounds, lambda first: first <= F.col("doc_id"))) - 1
+        dealt = dealt.unionByName(classes.select("doc_id", "row_key", F.lit(None).cast("string").alias("text"), "near_class", run.alias("run"), F.lit(False).alias("follower")))
+    return dealt.repartitionById(len(firsts), "run").sortWithinPartitions("run", "follower", "doc_id", "row_key", F.col("text").asc_nulls_first())
 
 
-def compare_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document's fingerprint beside those of its edited text and of the next document.
+def compare_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classes: bool = True) -> DataFrame:
+    """Each document's fingerprint beside those of its edited text and of the next document, and its class of near-duplicates.
 
     Edited: the last floor(n/4) of n code points give way to the first as many (or all) of the next document's text,
-    by ascending doc_id, after the last the first; a document alone follows itself. Null texts are empty. Null ids
-    are left to the caller's choice: they sort first, as one below the smallest long. Repeated ids follow one another by text.
+    by ascending doc_id, after the last the first; a document alone follows itself. Null texts are empty. Null ids sort first,
+    as one below the smallest long; all of them follow one another, in one task. Repeated ids follow one another by a hash of
+    the text, and each row gives one. near_class is that of near_duplicates (left out without `classes`). Very long texts are
+    read whole. Other columns don't matter, whatever their names; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    lean = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    runs = _by_successor(lean)
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    lean = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    found = None
+    if classes:
+        true_ids = lean.withColumn("doc_id", F.when(F.col("doc_id") > -(1 << 63), F.col("doc_id")))
+        found = _classes(true_ids, THRESHOLD).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    runs = _by_successor(lean, found)
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_class"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the last row, until its successor is known
+        key = near = None  # the last class row
         for b in batches:
+            text = b.column("text").is_valid()
+            of_row = []
+            for is_text, k, c in zip(text.to_pylist(), b.column("row_key").to_pylist(), b.column("near_class").to_pylist(), strict=True):
+                if is_text:
+                    of_row.append(near if k == key else None)
+                else:
+                    key, near = k, c
+            b = b.filter(text)
             ids, texts, follower = b.column("doc_id").to_pylist(), text_column(b, "text").to_pylist(), b.column("follower").to_pylist()
             prints = signatures(text_column(b, "text"))
             if held is not None:
-                ids, texts, follower, prints = [held[0], *ids], [held[1], *texts], [held[2], *follower], np.concatenate([held[3][None], prints])
-            held = (ids[-1], texts[-1], follower[-1], prints[-1])
+                ids, texts, follower, of_row, prints = [held[0], *ids], [held[1], *texts], [held[2], *follower], [held[3], *of_row], np.concatenate([held[4][None], prints])
+            if not ids:
+                continue
+            held = (ids[-1], texts[-1], follower[-1], of_row[-1], prints[-1])
             # several copies may follow (repeated first ids): only the first of them is a successor
             rows = [i for i in range(len(ids) - 1) if not follower[i]]
             if not rows:
@@ -164,13 +223,13 @@ def compare_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                 edited.append(texts[i][: len(texts[i]) - cut] + texts[i + 1][:cut])
             changed = signatures(pa.array(edited, pa.string()))
             own = prints[rows]
-            out = [pa.array([ids[i] for i in rows], pa.int64()), pa.array([len(texts[i]) for i in rows], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()), pa.array(_hex(own), pa.string()), pa.array(_hex(changed), pa.string()), pa.array(likeness(own, changed), pa.float64()), pa.array(likeness(own, prints[[i + 1 for i in rows]]), pa.float64())]
+            out = [pa.array([ids[i] for i in rows], pa.int64()), pa.array([len(texts[i]) for i in rows], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()), pa.array(_hex(own), pa.string()), pa.array(_hex(changed), pa.string()), pa.array(likeness(own, changed), pa.float64()), pa.array(likeness(own, prints[[i + 1 for i in rows]]), pa.float64()), pa.array([of_row[i] for i in rows], pa.int64())]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    out = runs.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = runs.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_class long")
     return out.withColumn("doc_id", F.when(F.col("doc_id") > -(1 << 63), F.col("doc_id")))
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited texts."""
+    """Fingerprints of all documents and of their edited texts, and their classes of near-duplicates."""
     return compare_with_edits(table(spark, sf_dir, "documents"))
