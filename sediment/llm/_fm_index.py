@@ -22,15 +22,20 @@ class _Bits:
 
 
 class FMIndex:
-    """Counts occurrences of patterns of up to `depth` symbols; suffixes are sorted by so many symbols only."""
+    """Counts occurrences of patterns of up to `depth` symbols; suffixes are sorted by so many symbols only.
 
-    def __init__(self, text: np.ndarray, depth: int) -> None:
+    A place of the text may stand for several equal ones (`times`): occurrences are then counted with them.
+    """
+
+    def __init__(self, text: np.ndarray, depth: int, times: np.ndarray | None = None) -> None:
         rank, k = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
         while k < depth:
             key = rank << np.int64(32)
             key[: len(rank) - k] |= rank[k:] + 1
             rank, k = np.unique(key, return_inverse=True)[1].astype(np.int64), 2 * k
         order = np.argsort(rank, kind="stable")
+        mass = np.ones(len(text), np.int64) if times is None else times[order]
+        self.mass = np.concatenate(([0], np.cumsum(mass)))
         last = text[order - 1]  # the Burrows-Wheeler transform; the text is taken as a circle
         self.n, symbols = len(text), int(text.max()) + 1
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=symbols)))).astype(np.int64)
@@ -54,16 +59,45 @@ class FMIndex:
         return base + self._mapped(symbol, lo), base + self._mapped(symbol, hi)
 
 
-def repeated(index: FMIndex, text: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """Whether the `width` symbols from each start occur at least twice; a search ends once one occurrence is left."""
-    alive = np.arange(len(starts))
-    lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), index.n, np.int64)
-    for k in range(width - 1, -1, -1):
-        lo, hi = index.extend(text[starts[alive] + k], lo, hi)
-        more = hi - lo > 1
+def matching_statistics(index: FMIndex, text: np.ndarray, ends: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """For each place the length, `most` at the greatest, of the longest run of symbols ending there that occurs elsewhere too.
+
+    A place of the text is streamed through backward search: each step puts one more symbol before the match, until only the
+    occurrence at the place itself is left. All places go on in step.
+    """
+    out = np.zeros(len(ends), np.int64)
+    alive = np.flatnonzero(most > 0)
+    lo, hi = np.zeros(len(alive), np.int64), np.full(len(alive), index.n, np.int64)
+    length = 0
+    while len(alive):
+        lo, hi = index.extend(text[ends[alive] - length], lo, hi)
+        more = index.mass[hi] - index.mass[lo] > 1
         alive, lo, hi = alive[more], lo[more], hi[more]
-        if not len(alive):
-            break
-    out = np.zeros(len(starts), bool)
-    out[alive] = True
+        length += 1
+        out[alive] = length
+        further = most[alive] > length
+        alive, lo, hi = alive[further], lo[further], hi[further]
     return out
+
+
+def repeated_windows(index: FMIndex, text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of documents (document, first and last window) whose windows of `width` symbols occur elsewhere too.
+
+    Documents are runs of the text. The matching statistic at a document's end tells of all windows that it covers. Before
+    those, windows are taken from the left; a match of length m < width ending at a window's end means that no window holds the
+    m + 1 last symbols of this one, so the next to be looked at starts behind the first of them.
+    """
+    tail = matching_statistics(index, text, starts + lengths - 1, lengths)
+    doc = np.flatnonzero(tail >= width)
+    found = [(doc, lengths[doc] - tail[doc], lengths[doc] - width)]
+    last = np.minimum(lengths - tail - 1, lengths - width - (tail < width))  # the last window that isn't decided
+    at, lane = np.zeros(len(starts), np.int64), np.arange(len(starts))
+    while True:
+        lane = lane[at[lane] <= last[lane]]
+        if not len(lane):
+            break
+        m = matching_statistics(index, text, starts[lane] + at[lane] + width - 1, np.full(len(lane), width))
+        hit = lane[m == width]
+        found.append((hit, at[hit], at[hit]))
+        at[lane] += np.where(m == width, 1, width - m)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))

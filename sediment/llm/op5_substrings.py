@@ -3,9 +3,10 @@
 A window is WIDTH consecutive words of one document. Each window has an anchor, the run of ANCHOR words in it with the
 least hash, so equal windows have equal anchors; consecutive windows of one anchor make a segment. Only anchors that occur
 twice or more can belong to repeated windows (one shuffle of anchors finds them). Segments of such anchors are dealt to
-shards by anchor; a shard keeps one copy of each distinct segment in a compressed FM-index (a wavelet matrix over its
-words) and streams all its segments through backward search, which tells for every window whether it starts elsewhere.
-All occurrences of a window meet in one shard, so no shard is searched for another's documents.
+shards by anchor. A shard holds its segments in a compressed FM-index (a wavelet matrix over their words, in which equal
+segments are one with its number of copies) and streams each of them through backward search, which gives matching statistics:
+how long a match with any other place, copies included, ends at a word. Intervals of 35 words and more are reported. All
+occurrences of a window meet in one shard, so no shard is searched for another's documents.
 
 An anchor whose segments are more than ANCHOR_BYTES together (a short passage in ever different contexts) isn't given to a
 shard: its windows are dealt one by one by the hash of all their words, so equal windows still meet and no task or index
@@ -22,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import shuffle_partitions, small_batches, table, text_column, written
-from ._fm_index import FMIndex, repeated
+from ._common import Scratch, shuffle_partitions, small_batches, table, text_column, written
+from ._fm_index import FMIndex, repeated_windows
 from ._shingles import mixed, rolled, word_hashes
 
 WIDTH, ANCHOR = 35, 12
@@ -183,18 +184,12 @@ def _searched(segments: DataFrame, shards: int, width: int) -> DataFrame:
         place = np.ones(len(text), bool)
         place[starts + lengths] = False
         text[place] = np.unique(np.concatenate(words), return_inverse=True)[1] + 1
-        owner = np.repeat(np.arange(len(starts)), lengths - width + 1)
-        windows = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(lengths - width + 1)[:-1])), lengths - width + 1) + starts[owner]
-        hit = times[owner] > 1
-        alone = np.flatnonzero(~hit)
-        if len(alone):
-            hit[alone] = repeated(FMIndex(text, width), text, windows[alone], width)
+        copies = np.zeros(len(text), np.int64)
+        copies[place] = np.repeat(times, lengths)
+        doc, first, last = repeated_windows(FMIndex(text, int(lengths.max()), copies), text, starts, lengths, width)
         found: dict[int, list[dict]] = {}
-        edges = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (hit[1:] != hit[:-1]))))
-        for a, z in zip(edges.tolist(), [*edges[1:].tolist(), len(owner)], strict=True):
-            if hit[a]:
-                k = int(owner[a])
-                found.setdefault(k, []).append({"a": int(windows[a] - starts[k]), "z": int(windows[z - 1] - starts[k]) + width})
+        for k, a, z in zip(doc.tolist(), first.tolist(), last.tolist(), strict=True):
+            found.setdefault(k, []).append({"a": a, "z": z + width})
         return [ids[k] for k in found], list(found.values())
 
     schema = pa.schema([("segment_id", pa.int64()), ("ranges", pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))), ("deal", pa.int64()), ("known", pa.bool_()), ("first", pa.int32())])
@@ -278,21 +273,24 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     lean = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    flagged = written(_repeated_anchors(lean, width), "repeat-anchors")
-    parts = written(_parts(lean, flagged, width), "repeat-parts")
-    pieces = parts.filter("kind = 2")
-    size = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # of the anchors above the bound there are at most size / ANCHOR_BYTES, so their hashes can be broadcast
-    frequent = written(pieces.groupBy("anchor").agg(F.sum(F.octet_length("text")).alias("bytes")).filter(F.col("bytes") > ANCHOR_BYTES).select("anchor"), "repeat-frequent")
-    distinct = pieces.groupBy("anchor", "text").agg(F.count(F.lit(1)).alias("times"))
-    marked = distinct.join(F.broadcast(frequent.withColumn("often", F.lit(True))), "anchor", "left").withColumn("often", F.coalesce("often", F.lit(False)))
-    found = _searched(marked, max(1, -(-size // SHARD_BYTES)), width)
-    where = pieces.select("row_key", "first", F.xxhash64("anchor", "text").alias("segment_id")).join(found, "segment_id")
-    moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["z"] + F.col("first")).alias("z")))
-    drops = where.select("row_key", moved.alias("ranges")).groupBy("row_key").agg(F.flatten(F.collect_set("ranges")).alias("ranges"))
-    changed = parts.filter("kind = 1").select("doc_id", "row_key", "text").join(drops, "row_key", "left")
-    whole = parts.filter("kind = 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
-    return whole.unionByName(_kept(changed))
+    with Scratch(spark) as scratch:
+        flagged = written(_repeated_anchors(lean, width), "repeat-anchors")
+        parts = written(_parts(lean, flagged, width), "repeat-parts")
+        pieces = parts.filter("kind = 2")
+        size = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        # of the anchors above the bound there are at most size / ANCHOR_BYTES, so their hashes can be broadcast
+        frequent = written(pieces.groupBy("anchor").agg(F.sum(F.octet_length("text")).alias("bytes")).filter(F.col("bytes") > ANCHOR_BYTES).select("anchor"), "repeat-frequent")
+        distinct = pieces.groupBy("anchor", "text").agg(F.count(F.lit(1)).alias("times"))
+        marked = distinct.join(F.broadcast(frequent.withColumn("often", F.lit(True))), "anchor", "left").withColumn("often", F.coalesce("often", F.lit(False)))
+        found = _searched(marked, max(1, -(-size // SHARD_BYTES)), width)
+        where = pieces.select("row_key", "first", F.xxhash64("anchor", "text").alias("segment_id")).join(found, "segment_id")
+        moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["z"] + F.col("first")).alias("z")))
+        drops = written(where.select("row_key", moved.alias("ranges")).groupBy("row_key").agg(F.flatten(F.collect_set("ranges")).alias("ranges")), "repeat-drops")
+        changed = parts.filter("kind = 1").select("doc_id", "row_key", "text").join(drops, "row_key", "left")
+        whole = parts.filter("kind = 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
+        for df in (parts, drops):
+            scratch.keep(df)
+        return whole.unionByName(_kept(changed))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sediment.llm import op5_substrings
+from sediment.llm._fm_index import FMIndex, matching_statistics, repeated_windows
 from sediment.llm.op5_substrings import remove_repeats
 
 from .corpus import SCHEMA, documents
@@ -40,6 +42,32 @@ def test_repeats_within_one_text_and_overlaps(spark):
     assert got == {1: 70, 2: 35, 3: 90, 4: 0}
 
 
+def test_matching_statistics_equal_brute_force():
+    rng = np.random.default_rng(6)
+    for width in (3, 5):
+        for _ in range(30):
+            docs = [rng.integers(1, 4, rng.integers(width, 14)) for _ in range(rng.integers(1, 6))]
+            times = rng.integers(1, 3, len(docs))
+            lengths = np.array([len(d) for d in docs])
+            starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
+            text, copies = np.zeros(int((lengths + 1).sum()), np.int64), np.zeros(int((lengths + 1).sum()), np.int64)
+            for d, s, t in zip(docs, starts, times, strict=True):
+                text[s : s + len(d)], copies[s : s + len(d)] = d, t
+            index = FMIndex(text, int(lengths.max()), copies)
+
+            def occurs(run):
+                return sum(int(t) for d, t in zip(docs, times, strict=True) for i in range(len(d) - len(run) + 1) if (d[i : i + len(run)] == run).all())
+
+            ends = np.concatenate([s + np.arange(n) for s, n in zip(starts, lengths, strict=True)])
+            most = np.concatenate([np.arange(n) + 1 for n in lengths])
+            got = matching_statistics(index, text, ends, most)
+            want = [max((m for m in range(1, top + 1) if occurs(text[e - m + 1 : e + 1]) > 1), default=0) for e, top in zip(ends.tolist(), most.tolist(), strict=True)]
+            assert got.tolist() == want
+            doc, first, last = repeated_windows(index, text, starts, lengths, width)
+            hits = {(k, i) for k, a, z in zip(doc.tolist(), first.tolist(), last.tolist(), strict=True) for i in range(a, z + 1)}
+            assert hits == {(k, i) for k, d in enumerate(docs) for i in range(len(d) - width + 1) if occurs(d[i : i + width]) > 1}
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
 
