@@ -10,7 +10,7 @@ from ..functions import text as T
 
 def secret_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, line_number (from 1), category of lines in which a preview would hide something."""
-    lines = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\r?\n")).alias("at", "line"))
+    lines = docs.filter(T.may_hide(F.lower(text))).select(key, F.posexplode(F.split(F.col(text), "\r?\n")).alias("at", "line")).filter(T.may_hide(F.lower("line")))
     found = F.filter(F.array(*(F.when(F.col("line").rlike(p), F.lit(c)) for c, p in T.PREVIEW_REDACTIONS.items())), lambda c: c.isNotNull())
     return lines.select(key, (F.col("at") + 1).alias("line_number"), F.explode(found).alias("category"))
 

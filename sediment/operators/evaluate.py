@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,18 +61,62 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, per_stratum: int, s
     return df.withColumn("place", place).filter(F.col("place") <= per_stratum)
 
 
+#: Vectors and queries of one block: a block of vectors meets a block of queries in one task.
+VECTOR_BLOCK, QUERY_BLOCK = 1 << 16, 1 << 12
+
+
 def cosine_neighbours(queries: DataFrame, vectors: DataFrame, least: float, limit: int) -> DataFrame:
-    """query_id, vec_id, cosine: for each query its `limit` nearest other vectors of a cosine of `least` or more.
+    """query_id, vec_id, cosine, place: for each query its `limit` nearest other vectors of a cosine of `least` or more.
 
-    The stated query set is held against all rows; Spark broadcasts it below its threshold. Zero vectors match nothing.
+    The stated query set is held against all rows, in blocks of bounded size: each pair of a block of queries and one of
+    vectors is a matrix product in one task, which gives at most `limit` rows a query. Zero, null and odd-sized vectors match
+    nothing; ties go to the smaller vec_id.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda c: F.sqrt(dot(c, c))
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"), norm("embedding").alias("_qn"))
-    v = vectors.select("vec_id", "embedding", norm("embedding").alias("_vn"))
-    both = v.join(q, F.col("query_id") != F.col("vec_id")).withColumn("cosine", F.when(F.col("_qn") * F.col("_vn") > 0, dot("_q", "embedding") / (F.col("_qn") * F.col("_vn"))))
+    blocks = lambda df, size: max(1, -(-df.count() // size))
+    n_vectors, n_queries = blocks(vectors, VECTOR_BLOCK), blocks(queries, QUERY_BLOCK)
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(block(n_queries).alias("q"), every(n_vectors).alias("v"), F.lit(0).alias("rank"), "vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    right = vectors.select(every(n_queries).alias("q"), block(n_vectors).alias("v"), F.lit(1).alias("rank"), "vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, rows, matrix = None, [], [], None
+
+        def unit(found: list) -> np.ndarray:
+            x = np.array(found, np.float64)
+            norm = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+            return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+        for b in batches:
+            out: list[tuple[int, int, float]] = []
+            at = list(zip(b.column("q").to_pylist(), b.column("v").to_pylist(), strict=True))
+            rank, vec, emb = b.column("rank").to_pylist(), b.column("vec_id").to_pylist(), b.column("embedding").to_pylist()
+            k = 0
+            while k < len(at):
+                if at[k] != key:
+                    key, ids, rows, matrix = at[k], [], [], None
+                z = k
+                while z < len(at) and at[z] == key and rank[z] == rank[k]:
+                    z += 1
+                good = [i for i in range(k, z) if emb[i] and None not in emb[i] and (not rows or len(emb[i]) == len(rows[0]))]
+                if rank[k] == 0:
+                    ids += [vec[i] for i in good]
+                    rows += [emb[i] for i in good]
+                    matrix = None
+                elif good and rows:
+                    matrix = unit(rows) if matrix is None else matrix
+                    cosine = np.round(unit([emb[i] for i in good]) @ matrix.T, 12)
+                    own = np.array([vec[i] for i in good])
+                    for j, query in enumerate(ids):
+                        near = np.flatnonzero((cosine[:, j] >= least) & (own != query))
+                        best = near[np.lexsort((own[near], -cosine[near, j]))[:limit]]
+                        out += [(query, int(own[i]), float(cosine[i, j])) for i in best]
+                k = z
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "cosine"])
+
+    both = left.unionByName(right).repartition("q", "v").sortWithinPartitions("q", "v", "rank", "vec_id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
-    return both.filter(F.col("cosine") >= least).withColumn("place", place).filter(F.col("place") <= limit).select("query_id", "vec_id", "cosine", "place")
+    return both.mapInArrow(run, "query_id long, vec_id long, cosine double").withColumn("place", place).filter(F.col("place") <= limit)
 
 
 def score_buckets(hits: DataFrame) -> DataFrame:

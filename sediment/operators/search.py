@@ -110,12 +110,15 @@ def prune_layers(hits: DataFrame, preferred: str, *query: str) -> DataFrame:
 
 
 def prune_tails(hits: DataFrame, *query: str) -> DataFrame:
-    """Against each query's first hit: other topics of its layer go, and so do weak hits of its topic in another scope."""
-    first = F.first(F.struct("id", "layer", "scope", "topic")).over(Window.partitionBy(*query).orderBy(F.desc("score"), F.desc("id")))
+    """Against each query's first hit: other topics of its layer go, and, if that hit is of a memory, so do weak hits of its
+    topic in another scope. A hit is weak if it is an automatic memory of medium confidence, one support and without all of the
+    query's required tokens (strict)."""
+    first = F.first(F.struct("id", "kind", "layer", "scope", "topic")).over(Window.partitionBy(*query).orderBy(F.desc("score"), F.desc("id")))
     full = lambda x: (x("layer") != "") & (x("scope") != "") & (x("topic") != "")
     a = lambda c: F.col(f"_first.{c}")
     same_layer, same_topic = F.col("layer") == a("layer"), F.col("topic") == a("topic")
-    weak = F.col("weak") & same_layer & same_topic & (F.col("scope") != a("scope"))
+    frail = (F.col("kind") == "memory") & (F.col("source") == "automatic") & (F.col("confidence") == "medium") & (F.col("support_count") == 1) & ~F.col("strict")
+    weak = (a("kind") == "memory") & F.coalesce(frail, F.lit(False)) & same_layer & same_topic & (F.col("scope") != a("scope"))
     stays = (F.col("id") == a("id")) | ~full(a) | ~full(F.col) | (~weak & (~same_layer | same_topic))
     return hits.withColumn("_first", first).filter(stays).drop("_first")
 
@@ -132,10 +135,12 @@ def merged_hits(hits: DataFrame) -> DataFrame:
 def rank_passages(queries: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
     """item_id, doc_id, score, place: documents by the weighted tokens that they share with each item.
 
-    Tokens join by equality, partial sums come before the shuffle, and each task keeps its best `limit` of an item only.
+    Tokens that no item asks for go before anything is shuffled; partial sums come before the shuffle, and each task keeps its
+    best `limit` of an item only.
     """
     asked = queries.select("item_id", F.explode(T.query_tokens(F.col("text"))).alias("token"))
-    counted = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(T.TOKEN), 0)).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("times"))
+    every = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(T.TOKEN), 0)).alias("token"))
+    counted = every.join(asked.select("token").distinct(), "token", "left_semi").groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("times"))
     weight = F.least("times", F.lit(5)) * T.token_importance(F.col("token"))
     scored = counted.join(asked, "token").groupBy("item_id", "doc_id").agg(F.sum(weight).alias("score"))
     place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), F.desc("doc_id")))

@@ -52,20 +52,23 @@ NODES = [
 ]
 LINKS = ["supersedes", "superseded_by", "contradicts", "contradicted_by", "deprecates", "deprecated_by", "derived_from"]
 _NODE_FIELDS = ["id", "text", "layer", "source", "confidence", "support_count", "scope", "topic", "first_seen", "last_seen", *LINKS]
-#: query_id, id, path, kind, layer, scope, topic, score, weak, low, fielded
+#: query_id, id, path, kind, layer, scope, topic, score, source, confidence, support_count, strict, low, fielded
 HITS = [
-    (1, "a", "p/a", "memory", "project", "s1", "t1", 1000, False, False, True),
-    (1, "b", "p/b", "memory", "project", "s1", "t1", 995, False, False, True),
-    (1, "c", "p/c", "memory", "project", "s2", "t1", 992, True, False, True),
-    (1, "d", "p/d", "memory", "global", "g", "t2", 990, False, False, False),
-    (1, "e", "p/a", "index", "", "", "", 989, False, False, False),
-    (1, "f", "p/f", "markdown", "", "", "", 500, False, True, False),
-    (2, "g", "p/g", "memory", "global", "g", "t2", 70, False, False, True),
-    (2, "h", "p/g", "index", "project", "s1", "t3", 70, True, True, False),
-    (2, "i", "p/g", "markdown", "project", "s1", "t3", 69, True, False, False),
-    (2, "j", "p/j", "memory", "global", "g", "t4", 70, False, False, True),
+    (1, "a", "p/a", "memory", "project", "s1", "t1", 1000, "automatic", "high", 3, True, False, True),
+    (1, "b", "p/b", "memory", "project", "s1", "t1", 995, "automatic", "high", 1, False, False, True),
+    (1, "c", "p/c", "memory", "project", "s2", "t1", 992, "automatic", "medium", 1, False, False, True),
+    (1, "d", "p/d", "memory", "global", "g", "t2", 990, "explicit", "high", 1, True, False, False),
+    (1, "e", "p/a", "index", "", "", "", 989, "", "", 0, False, False, False),
+    (1, "f", "p/f", "markdown", "", "", "", 500, "", "", 0, False, True, False),
+    (2, "g", "p/g", "memory", "global", "g", "t2", 70, "explicit", "high", 1, True, False, True),
+    (2, "h", "p/g", "index", "project", "s1", "t3", 70, "automatic", "medium", 1, False, True, False),
+    (2, "i", "p/g", "markdown", "project", "s1", "t3", 69, "automatic", "medium", 1, False, False, False),
+    (2, "j", "p/j", "memory", "global", "g", "t4", 70, "automatic", "low", 1, False, False, True),
+    (3, "k", "p/k", "index", "project", "s1", "t5", 90, "", "", 0, True, False, True),
+    (3, "l", "p/l", "memory", "project", "s2", "t5", 80, "automatic", "medium", 1, False, False, True),
+    (3, "m", "p/m", "memory", "project", "s2", "t6", 70, "automatic", "medium", 1, False, False, True),
 ]
-_HIT_FIELDS = ["query_id", "id", "path", "kind", "layer", "scope", "topic", "score", "weak", "low", "fielded"]
+_HIT_FIELDS = ["query_id", "id", "path", "kind", "layer", "scope", "topic", "score", "source", "confidence", "support_count", "strict", "low", "fielded"]
 ANSWERS = [
     (1, "The port is 8080.", "8080"),
     (2, "it uses   UV, for installs", "uses uv for installs"),
@@ -105,7 +108,7 @@ def nodes_sql() -> str:
 
 
 def hits(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(HITS, "query_id long, id string, path string, kind string, layer string, scope string, topic string, score long, weak boolean, low boolean, fielded boolean")
+    return spark.createDataFrame(HITS, "query_id long, id string, path string, kind string, layer string, scope string, topic string, score long, source string, confidence string, support_count long, strict boolean, low boolean, fielded boolean")
 
 
 def hits_sql() -> str:

@@ -496,8 +496,8 @@ def preferred_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.prune_layers(X.hits(spark), "global", "query_id").select("query_id", "id", "score")
 
 
-@_query(f"""WITH h AS (SELECT *, {_KEYED} AS keyed FROM {X.hits_sql()}), a AS (SELECT query_id, id AS aid, layer AS al, scope AS asc_, topic AS at_, keyed AS ak FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) = 1)
-SELECT query_id, id, score FROM h JOIN a USING (query_id) WHERE id = aid OR NOT ak OR NOT keyed OR (NOT (weak AND layer = al AND topic = at_ AND scope <> asc_) AND (layer <> al OR topic = at_))""")
+@_query(f"""WITH h AS (SELECT *, {_KEYED} AS keyed FROM {X.hits_sql()}), a AS (SELECT query_id, id AS aid, layer AS al, scope AS asc_, topic AS at_, kind AS akind, keyed AS ak FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) = 1)
+SELECT query_id, id, score FROM h JOIN a USING (query_id) WHERE id = aid OR NOT ak OR NOT keyed OR (NOT (akind = 'memory' AND kind = 'memory' AND source = 'automatic' AND confidence = 'medium' AND support_count = 1 AND NOT strict AND layer = al AND topic = at_ AND scope <> asc_) AND (layer <> al OR topic = at_))""")
 def tail_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.prune_tails(X.hits(spark), "query_id").select("query_id", "id", "score")
 

@@ -15,10 +15,14 @@ def folder(tmp_path):
         {"type": "response_item", "payload": {"role": "user", "content": [{"text": "hello"}, {"text": "there"}]}},
         {"role": "assistant", "content": "an answer", "phase": "commentary"},
         {"role": "assistant", "content": "an answer"},
-        {"type": "x", "payload": {"type": "function_call", "name": "run", "arguments": "{\"cmd\": 1}"}},
+        {"type": "x", "payload": {"type": "function_call", "name": "run", "arguments": "{\"cmd\": \"ls -l\"}"}},
         {"type": "x", "payload": {"type": "function_call_output", "output": "done"}},
         {"role": "human", "text": "again"},
         {"role": "tool", "content": "noted"},
+        {"role": "Assistant", "payload": {"content": [{"content": [{"text": "deep"}]}, "flat"]}},
+        {"content": "no role"},
+        {"payload": {"type": "function_call", "arguments": "plain words"}},
+        {"payload": {"type": "function_call_output", "output": "Chunk ID: 1\nWall time: 2\nOutput:\nall well"}},
     ]
     text = "\n".join(json.dumps(r) for r in rows) + "\r\n\nnot json\n[1]\n"
     (tmp_path / "a").mkdir()
@@ -34,13 +38,13 @@ def test_files_lines_and_events(spark, folder):
     assert files.count() == 1
     assert inventory(files).first()["length"] > 0
     lines = record_lines(files)
-    assert [r["line_number"] for r in lines.orderBy("line_number").collect()] == list(range(1, 13))
+    assert [r["line_number"] for r in lines.orderBy("line_number").collect()] == list(range(1, 17))
     good = json_rows(lines, "role string")
-    assert good.count() == 8
+    assert good.count() == 12
     with pytest.raises(Exception, match="not a JSON object"):
         json_rows(lines, "role string", strict=True).collect()
     got = [(r["line_number"], r["kind"], r["text"]) for r in session_events(good).orderBy("line_number").collect()]
-    assert got == [(2, "user", "hello\nthere"), (4, "assistant", "an answer"), (5, "command", '{"cmd": 1}'), (6, "command_output", "done"), (7, "user", "again"), (8, "record", "noted")]
+    assert got == [(2, "user", "hello\nthere"), (4, "assistant", "an answer"), (5, "command", "run: ls -l"), (6, "command_output", "done"), (7, "user", "again"), (8, "record", "noted"), (9, "assistant", "deep\nflat"), (10, "record", "no role"), (11, "command", "tool: plain words"), (12, "command_output", "all well")]
 
 
 def test_sinks(spark, tmp_path):
