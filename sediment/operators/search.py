@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
+from ..functions import filters as P
 from ..functions import text as T
 
 
@@ -37,17 +41,169 @@ def score_text(df: DataFrame, query: list[str], text: str = "text", weight: int
     return out.withColumn("kept", keeps_match(query, F.col("matched")))
 
 
-def keeps_match(query: list[str], matched: Column) -> Column:
-    """A match must hold a specific token if the query has any, and then an important one (or any that isn't generic)."""
-    meaningful = [t for t in query if t not in T.GENERIC_WORDS]
+def keeps_match(query: list[str], matched: Column, context: list[str] | None = None) -> Column:
+    """A match must hold a specific token if the query has any, and then an important one (or any that isn't generic).
+
+    Tokens of the context's terms count nothing; a query of such tokens only keeps every match.
+    """
+    content = content_tokens(query, context)
+    if not content and context:
+        return F.lit(True)
+    meaningful = [t for t in content if t not in T.GENERIC_WORDS]
     specific = [t for t in meaningful if _importance(t) >= 4]
-    needed = [t for t in query if is_important(t)] or meaningful
+    needed = [t for t in content if is_important(t)] or meaningful
     if not meaningful or not needed:
         return F.lit(False)
     any_of = lambda some: F.arrays_overlap(matched, T.words(some))
     return any_of(specific) & any_of(needed) if specific else any_of(needed)
 
 
+def context_terms(project_path: str) -> list[str]:
+    """A project's path and its last part, lower-case."""
+    low = project_path.lower()
+    return list(dict.fromkeys(x for x in (low, low.rstrip("/").rsplit("/", 1)[-1]) if x))
+
+
+def content_tokens(query: list[str], context: list[str] | None) -> list[str]:
+    known = {t for term in context or [] for t in re.findall(r"[\w.-]+", term)}
+    return [t for t in query if t not in known]
+
+
+def phrases(query: list[str]) -> list[str]:
+    """Runs of four, three and two tokens of a query, the longer first, that hold an important token."""
+    runs = [query[i : i + n] for n in (4, 3, 2) for i in range(len(query) - n + 1)]
+    telling = [r for r in runs if any(_importance(t) >= 2 or any(c.isdigit() for c in t) and len(t) >= 3 for t in r)]
+    return list(dict.fromkeys(" ".join(r) for r in telling))
+
+
+#: Fields of a record and their weights, in the order in which phrases are looked for, and those that carry a match by themselves.
+FIELD_WEIGHTS = {"text": 15, "decision": 14, "decisions": 14, "task": 12, "summary": 12, "reusable_facts": 12, "unresolved_tasks": 10, "rationale": 8, "user_intent": 7, "topic": 6, "scope": 6, "title": 5, "layer": 4, "project": 3, "repository": 3, "tags": 2, "memory_id": 1, "files_touched": 2, "source_agent": 1, "summary_path": 1, "evidence_path": 1, "date": 1}
+TELLING_FIELDS = {"decision", "decisions", "task", "summary", "text", "rationale", "topic", "reusable_facts", "unresolved_tasks", "user_intent"}
+CONTEXT_FIELDS = ("project_path", "cwd", "repository", "project")
+_SIGNAL_FIELDS = ("title", "summary", "user_intent", "decision", "task")
+#: Phrases that count, and what a project's context adds.
+MOST_PHRASES, CONTEXT_BONUS = 3, 1200
+
+
+def field_texts(df: DataFrame, name: str) -> Column:
+    """The texts of a field (a string or a list of them) that aren't blank; none if the table hasn't got it."""
+    if name not in df.columns:
+        return F.array().cast("array<string>")
+    c = F.col(name)
+    listed = F.transform(c, lambda x: F.trim(x.cast("string"))) if isinstance(df.schema[name].dataType, ArrayType) else F.array(c.cast("string"))
+    return F.coalesce(F.filter(listed, lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""), F.array().cast("array<string>"))
+
+
+def generic_title(text: Column) -> Column:
+    low = F.trim(F.lower(text))
+    return (low == "") | low.rlike(r"\brollout-\d{4}-\d{2}-\d{2}t") | (low.rlike(r"\.(?:jsonl|json|log|txt|md)\b") & low.contains(":"))
+
+
+def in_context(df: DataFrame, terms: list[str]) -> Column:
+    """Whether a record's project, in whatever form it is given, is that of the terms."""
+    last = lambda c: F.regexp_extract(F.rtrim(c, F.lit("/")), "[^/]*$", 0)
+    plain = lambda c: F.regexp_replace(c, "[^a-z0-9]+", "")
+
+    def same(value: Column) -> Column:
+        out, own = F.lit(False), last(value)
+        for term in terms:
+            name = term.rstrip("/").rsplit("/", 1)[-1]
+            key = re.sub("[^a-z0-9]+", "", name)
+            out = out | (value == term) | value.endswith(f"/{name}") | F.lit(term).endswith(F.concat(F.lit("/"), own)) | ((own != "") & (own == name))
+            if len(key) >= 4:
+                out = out | (plain(own) == key)
+            if name:
+                out = out | value.rlike(rf"(^|[/\s:_-]){re.escape(name)}($|[/\s:_-])")
+        return out
+
+    values = F.flatten(F.array(*(F.transform(field_texts(df, f), F.lower) for f in CONTEXT_FIELDS if f in df.columns)))
+    return F.exists(values, same) if terms and any(f in df.columns for f in CONTEXT_FIELDS) else F.lit(False)
+
+
+def score_records(df: DataFrame, query: list[str], context: list[str] | None = None) -> DataFrame:
+    """Adds score, matched and strict to records of any of FIELD_WEIGHTS' columns, for a query's distinct tokens.
+
+    Each text of a field scores by its tokens and the field's weight; up to three phrases add to that, in the fields' order.
+    Coverage of the query raises the sum, missing specific or important tokens divide it, and so do matches in no telling field.
+    A telling match in the project's context gains a bonus. Talk of search results, and matches that the gate drops, score 0.
+    strict: all of the query's required important (or specific) tokens are there. Null and blank fields match nothing.
+    """
+    content = content_tokens(query, context)
+    # a title that names a source counts little: it is a field of its own
+    fields = [(f"{n}:{kind}", n, w if kind == "" else 1) for n, w in FIELD_WEIGHTS.items() if n in df.columns for kind in (("", "generic") if n == "title" else ("",))]
+
+    def texts(name: str, kind: str) -> Column:
+        own = field_texts(df, name)
+        return own if name != "title" else F.filter(own, generic_title if kind == "generic" else lambda x: ~generic_title(x))
+
+    def hits(text: Column) -> Column:
+        low = F.lower(text)
+        seen = F.array(*(F.struct(F.lit(t).alias("token"), F.lit(_importance(t)).alias("importance"), occurrences(low, t).alias("times")) for t in query))
+        said = F.array(*(F.when(F.contains(low, F.lit(p)), F.lit(sum(map(_importance, p.split())) * 18)) for p in phrases(query))) if phrases(query) else F.array().cast("array<int>")
+        return F.struct(F.filter(seen, lambda h: h["times"] > 0).alias("hits"), F.filter(said, lambda x: x.isNotNull()).alias("said"))
+
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    out = df.withColumn("_f", F.struct(*(F.transform(texts(n, label.split(":")[1]), hits).alias(label) for label, n, _ in fields)))
+    tokens_of = lambda label: F.array_distinct(F.flatten(F.transform(F.col("_f")[label], lambda x: F.transform(x["hits"], lambda h: h["token"]))))
+
+    def points(label: str, w: int) -> Column:
+        return total(F.flatten(F.transform(F.col("_f")[label], lambda x: F.transform(x["hits"], lambda h: (F.least(h["times"], F.lit(5)) * h["importance"] * w).cast("long")))))
+
+    def said(label: str, w: int) -> Column:
+        with_hits = F.filter(F.col("_f")[label], lambda x: F.size(x["hits"]) > 0)
+        return F.flatten(F.transform(with_hits, lambda x: F.transform(x["said"], lambda p: (p * max(1, w // 4)).cast("long"))))
+
+    base, spoken = sum((points(label, w) for label, _, w in fields), F.lit(0).cast("long")), [said(label, w) for label, _, w in fields]
+    telling = [label for label, n, _ in fields if n in TELLING_FIELDS]
+    no_tokens = F.array().cast("array<string>")
+    out = out.withColumns(
+        {
+            "_base": base + total(F.slice(F.flatten(F.array(*spoken)), 1, MOST_PHRASES)),
+            "matched": F.array_distinct(F.flatten(F.array(*(tokens_of(label) for label, _, _ in fields)))),
+            "_telling": F.array_distinct(F.flatten(F.array(no_tokens, *(tokens_of(label) for label in telling)))),
+            "_places": sum((F.size(tokens_of(label)) for label in telling), F.lit(0)),
+        }
+    )
+    matched = F.col("matched")
+    held = lambda some: F.array_intersect(matched, T.words(some)) if some else no_tokens
+    worth = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, t: s + T.token_importance(t))
+    less = lambda x, by: F.greatest(F.lit(1), F.floor(x / by))
+    now = F.col("_base") + worth(matched) * 6 + F.when(F.size(matched) == len(query), 20).otherwise(0) + F.when(F.col("_places") >= 2, 20 + F.col("_places") * 3).otherwise(0)
+    out = out.withColumn("_now", now)
+    if specific := [t for t in content if _importance(t) >= 4]:
+        n, gained = F.size(held(specific)), F.col("_now") + worth(held(specific)) * 25
+        out = out.withColumn("_now", F.when(n == 0, less(F.col("_now"), 8)).when(n < len(specific), less(gained, 2 + len(specific) - n)).otherwise(gained))
+    if important := [t for t in content if is_important(t)]:
+        n, required = F.size(held(important)), max(1, (len(important) + 1) // 2)
+        out = out.withColumn("_now", F.when(n >= required, F.col("_now") + worth(held(important)) * 12 + n * 8).otherwise(less(F.col("_now"), 2 + (required - n) * 2)))
+    alone = F.size("_telling") == 0
+    broad = alone & (F.size(F.array_except(matched, T.words(T.GENERIC_WORDS))) == 0) & F.lit(any(t not in T.GENERIC_WORDS for t in query))
+    quartered = F.when(alone, less(F.col("_now"), 4)).otherwise(F.col("_now"))
+    out = out.withColumn("_now", F.when(broad, less(quartered, 4)).otherwise(quartered))
+    bonus = F.when((F.size("_telling") > 0) & in_context(df, context or []), CONTEXT_BONUS).otherwise(0)
+    signal = [field_texts(df, f) for f in _SIGNAL_FIELDS if f in df.columns]
+    talk = P.search_talk(T.compact_whitespace(F.array_join(F.flatten(F.array(*signal)), " "))) if signal else F.lit(False)
+    score = F.when((F.size(matched) == 0) | talk | ~keeps_match(query, matched, context), 0).otherwise(F.col("_now") + bonus)
+    strict = strict_tokens(query)
+    full = F.size(held(strict)) == len(strict) if strict else F.lit(False)
+    return out.withColumns({"score": score.cast("long"), "strict": full}).drop("_f", "_base", "_telling", "_places", "_now")
+
+
+def strict_tokens(query: list[str]) -> list[str]:
+    """The important tokens that aren't generic, if there are three or more; else the specific ones, if two or more."""
+    meaningful = [t for t in query if t not in T.GENERIC_WORDS]
+    important, specific = [t for t in meaningful if is_important(t)], [t for t in meaningful if _importance(t) >= 4]
+    return important if len(important) >= 3 else specific if len(specific) >= 2 else []
+
+
+def repeats_query(df: DataFrame, query: list[str]) -> Column:
+    """Whether a record says a query's tokens three times and more: two of them, or one of a query of one or two."""
+    some = [t for t in query if t not in T.GENERIC_WORDS] or query
+    low = F.lower(T.compact_whitespace(F.array_join(F.flatten(F.array(*(field_texts(df, f) for f in (*_SIGNAL_FIELDS, "text") if f in df.columns))), " ")))
+    times = sum((F.when(occurrences(low, t) >= 3, 1).otherwise(0) for t in some), F.lit(0))
+    return times >= (1 if len(some) <= 2 else 2)
+
+
 def required_tokens(query: list[str]) -> list[str]:
     """What a hit must hold to support a query: one to five meaningful tokens, else the important or the specific ones."""
     meaningful = [t for t in query if t not in T.GENERIC_WORDS]
