@@ -22,25 +22,21 @@ def _uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def _poisson_steps(rate: Column) -> Column:
-    """The distribution function of Poisson(rate) at 0, 1, 2, … as an array, far into the upper tail.
+def _poisson_count(rate: Column, u: Column) -> Column:
+    """The number of values 0, 1, 2, … at which the distribution function of Poisson(rate) is at most u: its inverse at u.
 
-    Terms are made from logarithms, so that a large rate doesn't underflow.
+    Terms are made from logarithms, so that a large rate doesn't underflow; values far into the upper tail end the search.
+    A row costs as many steps as it can have copies, and nothing but its rate is carried along.
     """
     last = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
-    logs = F.aggregate(
-        F.sequence(F.lit(1), last),
-        F.struct(F.array(F.lit(0.0)).alias("seen"), F.lit(0.0).alias("sum")),
-        lambda s, k: F.struct(F.concat(s["seen"], F.array(s["sum"] + F.ln(k.cast("double")))).alias("seen"), (s["sum"] + F.ln(k.cast("double"))).alias("sum")),
-        lambda s: s["seen"],
-    )
-    terms = F.transform(logs, lambda x, k: F.exp(k * F.ln(rate) - rate - x))
-    return F.aggregate(
-        terms,
-        F.struct(F.array().cast("array<double>").alias("seen"), F.lit(0.0).alias("sum")),
-        lambda s, t: F.struct(F.concat(s["seen"], F.array(s["sum"] + t)).alias("seen"), (s["sum"] + t).alias("sum")),
-        lambda s: s["seen"],
-    )
+    start = F.struct(F.lit(0.0).alias("below"), F.lit(0.0).alias("factorial"), F.lit(0).alias("n"))
+
+    def step(s: Column, k: Column) -> Column:
+        factorial = s["factorial"] + F.when(k > 0, F.ln(k.cast("double"))).otherwise(0.0)
+        upto = s["below"] + F.exp(k * F.ln(rate) - rate - factorial)
+        return F.struct(upto.alias("below"), factorial.alias("factorial"), (s["n"] + F.when(upto <= u, 1).otherwise(0)).alias("n"))
+
+    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(0), last), start, step, lambda s: s["n"])).otherwise(0)
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, epochs: float = 1.0, source: str = "source", text: str = "text") -> DataFrame:
@@ -64,20 +60,20 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, power
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, epochs: float = 1.0, seed: str = SEED, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """Every column of `docs`, each row as often as drawn, with mix_copy (from 0) and mix_key, in shuffled order.
 
-    Rows of one doc_id draw alike (repeated rows repeat together); a null doc_id or source counts as ''. Null and
-    empty texts are mixed like others. An empty table gives no rows. Columns of `docs` named mix_* are replaced.
+    Rows of one doc_id draw alike (repeated rows repeat together); a null doc_id or source counts as ''. Null, empty and very
+    long texts are mixed like others. An empty table gives no rows. Columns of `docs` named mix_copy and mix_key are replaced;
+    no other is touched, whatever its name.
     """
     spark = docs.sparkSession
-    rates = source_rates(docs, weights, power, epochs, source, text).withColumn("mix_steps", F.when(F.col("mix_rate") > 0, _poisson_steps(F.col("mix_rate"))).otherwise(F.array().cast("array<double>")))
-    rates = written(rates.drop("mix_rate"), "mix-rates")  # as a file its size is known: Spark broadcasts it below its threshold, and joins by shuffle beyond
-    plain = docs.drop("mix_source", "mix_rate", "mix_steps", "mix_copy", "mix_key")
-    keyed = plain.withColumn("mix_source", F.coalesce(F.col(source).cast("string"), F.lit("")))
-    u = _uniform(F.lit(seed), F.col(doc_id))
-    drawn = keyed.join(rates, "mix_source").withColumn("mix_u", u)
-    times = F.size(F.filter("mix_steps", lambda c: c <= F.col("mix_u")))
-    copies = drawn.withColumn("mix_times", times).drop("mix_steps", "mix_u").filter("mix_times > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_times") - 1)))
+    own = "mix of sources "  # before the names of columns made here, so that no column of the caller is hidden
+    rates = source_rates(docs, weights, power, epochs, source, text)
+    rates = written(rates.select(F.col("mix_source").alias(f"{own}source"), F.col("mix_rate").alias(f"{own}rate")), "mix-rates")  # as a file its size is known: Spark broadcasts it below its threshold, and joins by shuffle beyond
+    keyed = docs.drop("mix_copy", "mix_key").withColumn(f"{own}source", F.coalesce(F.col(source).cast("string"), F.lit("")))
+    drawn = keyed.join(rates, f"{own}source").withColumn(f"{own}u", _uniform(F.lit(seed), F.col(doc_id)))
+    times = _poisson_count(F.col(f"`{own}rate`"), F.col(f"`{own}u`"))
+    copies = drawn.withColumn(f"{own}times", times).filter(F.col(f"`{own}times`") > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col(f"`{own}times`") - 1)))
     key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col("mix_copy").cast("string"))), 1, 15), 16, 10).cast("long")
-    out = copies.withColumn("mix_key", key).drop("mix_times", "mix_source")
+    out = copies.withColumn("mix_key", key).drop(*(f"{own}{c}" for c in ("source", "rate", "u", "times")))
     return out.repartition(shuffle_partitions(spark), "mix_key").sortWithinPartitions("mix_key")
 
 
