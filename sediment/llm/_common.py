@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import ClassVar
 
 import pyarrow as pa
@@ -109,3 +111,12 @@ def chunks(col: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
         b = min(max(b, a + 1), len(col))
         yield a, b
         a = b
+
+
+def held_by_worker(key: object, make: Callable[[], object]) -> object:
+    """What `make` gives, kept by a Python worker from task to task until another key is asked for."""
+    held = sys.modules.setdefault("sediment_worker_cache", types.ModuleType("sediment_worker_cache"))
+    if getattr(held, "key", None) != key:
+        held.key = held.value = None  # the old one goes before the new one is made
+        held.value, held.key = make(), key
+    return held.value

@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import small_batches, table, text_column, written
+from ._common import held_by_worker, small_batches, table, text_column, written
 
 WINDOW = 10
-#: Windows in one automaton. More windows are split into blocks by item, each scanned against all rows.
-BLOCK_WINDOWS = 200_000
+#: Windows in one automaton, and bytes of the texts they come from (a state of the automaton is a byte of a window: about ten
+#: states a byte of text, and some ten bytes a state). More items are split into blocks, each scanned against all rows.
+BLOCK_WINDOWS, BLOCK_BYTES = 50_000, 1 << 20
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
@@ -36,19 +37,39 @@ def windows_of(words: list[bytes], width: int = WINDOW) -> set[bytes]:
     return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
 
 
-def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", most: int = BLOCK_WINDOWS) -> Iterator[list[tuple[str, str]]]:
-    """The (item, text) rows in blocks of bounded size, streamed to the driver; null ids are the item ''."""
-    block, windows, some = [], 0, False
+def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", most: int = BLOCK_WINDOWS, most_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
+    """The (item, text) rows in blocks of bounded size, streamed to the driver; null ids are the item ''. An item longer than
+    a block's bytes goes in pieces that overlap by a window less one word."""
+    block, windows, size, some = [], 0, 0, False
     for r in items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))).toLocalIterator():
-        block.append((r[0], r[1]))
-        windows += max(0, len(words_of(r[1])) - WINDOW) + 1
-        if windows >= most:
-            yield block
-            block, windows, some = [], 0, True
+        for piece in _pieces(r[1], most_bytes):
+            block.append((r[0], piece))
+            windows += max(0, len(words_of(piece)) - WINDOW) + 1
+            size += len(piece)
+            if windows >= most or size >= most_bytes:
+                yield block
+                block, windows, size, some = [], 0, 0, True
     if block or not some:
         yield block
 
 
+def _pieces(text: str, most_bytes: int) -> Iterator[str]:
+    if len(text) <= most_bytes:
+        yield text
+        return
+    words = words_of(text)
+    held, size, first = [], 0, 0
+    for k, w in enumerate(words):
+        held.append(w)
+        size += len(w) + 1
+        if size >= most_bytes and k - first >= WINDOW or k == len(words) - 1:
+            yield b" ".join(held).decode("utf-8", "surrogatepass")
+            held = held[-WINDOW + 1 :]
+            size, first = sum(map(len, held)), k
+    if not words:
+        yield ""
+
+
 def _automaton(block: list[tuple[str, str]]):
     import ahocorasick
 
@@ -63,6 +84,10 @@ def _automaton(block: list[tuple[str, str]]):
     return auto
 
 
+def _digest(block: list[tuple[str, str]]) -> str:
+    return hashlib.sha256("\0".join(f"{i}\1{t}" for i, t in block).encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def scan_text(auto, text: str) -> tuple[int, np.ndarray, set[int]]:
     """Number of words, a flag for each word that lies in a hit, and the items that were hit."""
     words = words_of(text)
@@ -97,7 +122,7 @@ def _scan(df: DataFrame, block: list[tuple[str, str]], doc_id: str, text: str, s
     keep = [c for c in df.columns if c != text]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = _automaton(block)
+        auto = held_by_worker(_digest(block), lambda: _automaton(block))
         for batch in batches:
             n_words, n_hit, items, where = [], [], [], []
             for t in text_column(batch, text).to_pylist():
@@ -122,8 +147,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     A window is ten consecutive words of an item; an item of fewer words (but not none) is one window. A document
     word inside any occurrence of a window is hit; spans are code-point runs of hit words in the original text.
     Null and empty texts have no words and no hits; an empty benchmark hits nothing. Repeated document rows each
-    give a row; items that share an id count once. Overlong benchmarks are scanned in blocks of BLOCK_WINDOWS
-    windows: hits of blocks are united as spans before words are counted, so blocks don't change the result.
+    give a row; items that share an id count once. Columns but these two don't matter, whatever their
+    names; texts of any length are read whole. Benchmarks of more than BLOCK_WINDOWS windows or BLOCK_BYTES are scanned in
+    blocks: hits of blocks are united as spans before words are counted, so blocks don't change the result.
     """
     small_batches(docs.sparkSession)
     lean = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -169,7 +195,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text") -> Da
             docs = written(docs, "clean-block")
 
         def clean(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
-            auto = _automaton(block)
+            auto = held_by_worker(_digest(block), lambda: _automaton(block))
             for batch in batches:
                 keep = [not len(auto) or next(auto.iter(f" {b' '.join(words_of(t)).decode('latin-1')} "), None) is None for t in text_column(batch, text).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))

@@ -35,7 +35,7 @@ def test_hits_equal_brute_force_in_one_block_and_several(spark, monkeypatch):
     want = brute_force(DOCS, ITEMS)
     seen = []
     for most in (op.BLOCK_WINDOWS, 1):
-        monkeypatch.setattr(op.item_blocks, "__defaults__", ("item_id", "text", most))
+        monkeypatch.setattr(op.item_blocks, "__defaults__", ("item_id", "text", most, op.BLOCK_BYTES))
         got = op.decontaminate(docs, items).collect()
         assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], sorted(r["items"])) for r in got), key=str) == want
         seen.append(sorted([(r["doc_id"], [tuple(s) for s in r["spans"]]) for r in got], key=str))
@@ -48,6 +48,14 @@ def test_clean_documents_stay_whole(spark, monkeypatch):
     kept = op.clean_documents(docs, items)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 6]
     assert op.clean_documents(docs, items.limit(0)).count() == len(DOCS)
-    monkeypatch.setattr(op.item_blocks, "__defaults__", ("item_id", "text", 1))
+    monkeypatch.setattr(op.item_blocks, "__defaults__", ("item_id", "text", 1, op.BLOCK_BYTES))
     assert sorted(map(tuple, op.clean_documents(docs, items).collect()), key=str) == sorted(map(tuple, kept.collect()), key=str)
     assert op.clean_documents(docs.limit(0), items).count() == 0
+
+
+def test_a_long_item_goes_in_pieces(spark, monkeypatch):
+    item = " ".join(f"w{k}" for k in range(400))
+    docs = [(1, " ".join(f"w{k}" for k in range(a, a + 10)), "x") for a in range(0, 391, 13)] + [(2, "w1 w2 w3 w4 w5 w6 w7 w8 w9 x10", "y")]
+    monkeypatch.setattr(op.item_blocks, "__defaults__", ("item_id", "text", op.BLOCK_WINDOWS, 100))
+    got = op.decontaminate(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_hit"], tuple(r["items"])) for r in got) == sorted((i, 10 if i == 1 else 0, ("7",) if i == 1 else ()) for i, _, _ in docs)
