@@ -118,3 +118,64 @@ def reached(links: DataFrame, depth: int) -> DataFrame:
         front = front.join(now.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst")).distinct()
         out = out.unionByName(front.withColumn("steps", F.lit(k)))
     return out.groupBy("src", "dst").agg(F.min("steps").alias("steps"))
+
+
+def apply_links(nodes: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """The nodes with their forward links written back: a replaced node names the last (by id) of those that replace it, has
+    low confidence, and each that replaces it derives from it. Contradictions name all. Links to unknown ids and to oneself
+    change nothing. `more` (current, old) are further supersessions, as those found by text.
+
+    Edges are a table: they join nodes by id and are summed up per node, so neither a hub nor the nodes' order matters.
+    """
+    ids = nodes.select(F.col("id").alias("dst"))
+    given = {}
+    for field in LINKS:
+        one = nodes.select(F.col("id").alias("src"), F.explode(field).alias("dst"))
+        if field == "supersedes" and more is not None:
+            one = one.unionByName(more.select(F.col("current").alias("src"), F.col("old").alias("dst")))
+        given[field] = one.filter("src <> dst").distinct().join(ids, "dst", "left_semi")
+    out = nodes
+    every = None
+    for field, back in LINKS.items():
+        named = F.array_sort(F.collect_set("src")) if field == "contradicts" else F.array(F.max("src"))
+        out = out.join(given[field].groupBy(F.col("dst").alias("id")).agg(named.alias(f"_{back}")), "id", "left")
+        out = out.join(given[field].groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set("dst")).alias(f"_{field}")), "id", "left")
+        every = given[field] if every is None else every.unionByName(given[field])
+    none = F.array().cast("array<string>")
+    out = out.join(every.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set("dst")).alias("_from")), "id", "left")
+    low = F.lit(False)
+    changed = {}
+    for field, back in LINKS.items():
+        low = low | F.col(f"_{back}").isNotNull()
+        changed[field] = F.array_union(field, F.coalesce(f"_{field}", none))
+        changed[back] = F.array_union(back, F.coalesce(f"_{back}", none)) if field == "contradicts" else F.coalesce(f"_{back}", back)
+    changed["confidence"] = F.when(low, "low").otherwise(F.col("confidence"))
+    changed["derived_from"] = F.array_union("derived_from", F.coalesce("_from", none))
+    return out.withColumns(changed).select(*nodes.columns)
+
+
+def text_links(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """current, old: pairs of nodes where a fact (text, target) of the first's text aims at the second's, by their text keys."""
+    key = lambda c: T.text_key(F.col(c))
+    aims = targets.filter("target is not null").select(key("text").alias("k"), key("target").alias("t")).filter("k <> t and k <> '' and t <> ''").distinct()
+    current = nodes.select(key("text").alias("k"), F.col("id").alias("current"))
+    old = nodes.select(key("text").alias("t"), F.col("id").alias("old"))
+    return current.join(aims, "k").join(old, "t").filter("current <> old").select("current", "old").distinct()
+
+
+def link_integrity(nodes: DataFrame) -> DataFrame:
+    """One row: links by relation, how many have their counterpart (reciprocity, 1 without links), how many lead nowhere, and
+    the shares of nodes with sources and with evidence."""
+    ids = nodes.select(F.col("id").alias("dst"), F.lit(True).alias("_there"))
+    parts = []
+    for field, back in LINKS.items():
+        forward = nodes.select(F.col("id").alias("src"), F.explode(field).alias("dst"), F.lit(field).alias("relation"))
+        backward = nodes.select(F.explode(back).alias("src"), F.col("id").alias("dst"), F.lit(field).alias("relation"))
+        parts.append(forward.withColumn("way", F.lit(1)).unionByName(backward.withColumn("way", F.lit(2))))
+    links = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    pairs = links.groupBy("relation", "src", "dst").agg(F.bit_or("way").alias("ways"), F.count(F.lit(1)).alias("n"))
+    known = pairs.join(ids, "dst", "left").join(ids.select(F.col("dst").alias("src"), F.col("_there").alias("_from")), "src", "left")
+    sums = known.agg(*(F.coalesce(F.sum(F.when((F.col("relation") == f), F.col("n"))), F.lit(0)).alias(f"n_{f}") for f in LINKS), F.coalesce(F.sum(F.when(F.col("ways") == 3, F.col("n")).otherwise(0)) / F.sum("n"), F.lit(1.0)).alias("reciprocity"), F.coalesce(F.sum(F.when(F.col("_there").isNull() | F.col("_from").isNull(), F.col("n"))), F.lit(0)).alias("n_broken"))
+    share = lambda c: F.coalesce(F.avg(F.when(c, 1.0).otherwise(0.0)), F.lit(0.0))
+    cover = nodes.agg(F.count(F.lit(1)).alias("n_nodes"), share(F.size("derived_from") > 0).alias("derived_share"), share(F.size("drill_paths") > 0).alias("evidence_share"))
+    return sums.crossJoin(cover)  # one row each

@@ -121,12 +121,12 @@ def in_context(df: DataFrame, terms: list[str]) -> Column:
 
 
 def score_records(df: DataFrame, query: list[str], context: list[str] | None = None) -> DataFrame:
-    """Adds score, matched and strict to records of any of FIELD_WEIGHTS' columns, for a query's distinct tokens.
+    """Adds score, matched, telling and strict to records of any of FIELD_WEIGHTS' columns, for a query's distinct tokens.
 
     Each text of a field scores by its tokens and the field's weight; up to three phrases add to that, in the fields' order.
     Coverage of the query raises the sum, missing specific or important tokens divide it, and so do matches in no telling field.
     A telling match in the project's context gains a bonus. Talk of search results, and matches that the gate drops, score 0.
-    strict: all of the query's required important (or specific) tokens are there. Null and blank fields match nothing.
+    telling: a telling field matched; strict: all of the query's required important (or specific) tokens are there. Null and blank fields match nothing.
     """
     content = content_tokens(query, context)
     # a title that names a source counts little: it is a field of its own
@@ -186,7 +186,9 @@ def score_records(df: DataFrame, query: list[str], context: list[str] | None = N
     score = F.when((F.size(matched) == 0) | talk | ~keeps_match(query, matched, context), 0).otherwise(F.col("_now") + bonus)
     strict = strict_tokens(query)
     full = F.size(held(strict)) == len(strict) if strict else F.lit(False)
-    return out.withColumns({"score": score.cast("long"), "strict": full}).drop("_f", "_base", "_telling", "_places", "_now")
+    # a generator of one row: filters on the score are not pushed down into its parts, where they would be worked out again and again
+    found = F.struct(score.cast("long").alias("score"), matched.alias("matched"), full.alias("strict"), (F.size("_telling") > 0).alias("telling"))
+    return out.select(*df.columns, F.inline(F.array(found)))
 
 
 def strict_tokens(query: list[str]) -> list[str]:
@@ -235,12 +237,16 @@ def top_hits(scored: DataFrame, limit: int, *tie: str) -> DataFrame:
     return scored.filter("kept and score > 0").orderBy(F.desc("score"), *(F.desc(t) for t in tie)).limit(limit)
 
 
-def rank_priors(source: Column, confidence: Column, layer: Column, support: Column, preferred: str = "") -> Column:
-    """What a node's origin, confidence, layer and support add to its score."""
+def rank_priors(source: Column, confidence: Column, layer: Column, support: Column, preferred: str = "", process: Column | None = None, repeated: Column | None = None) -> Column:
+    """What a node's origin, confidence, layer and support add to its score; automatic ones of little support lose if they
+    narrate a process or repeat the query's words."""
     prior = F.when(source == "explicit", 350).otherwise(0)
     prior += F.when(confidence == "high", 110).when(confidence == "medium", 40).when(confidence == "low", -100).otherwise(0)
     prior += F.when((source == "automatic") & (support == 0), -40).otherwise(0)
     prior += F.when(layer == "global", 120).when(layer == "domain", 80).when(layer == "project", 40).otherwise(0)
+    if process is not None and repeated is not None:
+        prior += F.when((source == "automatic") & process & ((support <= 1) | repeated), -900).otherwise(0)
+        prior += F.when((source == "automatic") & (support <= 1) & confidence.isin("", "low", "medium") & repeated, -350).otherwise(0)
     if preferred in ("global", "domain", "project"):
         prior += F.when(layer == preferred, 240).when(layer.isin("global", "domain", "project"), -900).otherwise(0)
     return prior
@@ -253,30 +259,76 @@ def prune_topics(hits: DataFrame, *query: str) -> DataFrame:
     return hits.withColumn("_place", place).filter(~F.coalesce(keyed, F.lit(False)) | (F.col("_place") == 1)).drop("_place")
 
 
-def prune_low_scores(hits: DataFrame, *query: str) -> DataFrame:
-    """Hits of at least 99 % of the query's best score, rounded down."""
-    best = F.max("score").over(Window.partitionBy(*query))
-    return hits.withColumn("_best", best).filter(F.col("score") >= F.floor(F.col("_best").cast("double") * F.lit(0.99))).drop("_best")
+def prune_low_scores(hits: DataFrame, query: str) -> DataFrame:
+    """Hits of at least 99 % of the query's best score, rounded down; the best are summed up before the join."""
+    best = hits.groupBy(query).agg(F.floor(F.max("score").cast("double") * F.lit(0.99)).alias("_floor"))
+    return hits.join(best, query).filter(F.col("score") >= F.col("_floor")).drop("_floor")
 
 
-def prune_layers(hits: DataFrame, preferred: str, *query: str) -> DataFrame:
+def prune_layers(hits: DataFrame, preferred: str, query: str) -> DataFrame:
     """If any hit of a query is of the preferred layer, only those."""
-    found = F.max((F.col("layer") == preferred).cast("int")).over(Window.partitionBy(*query))
-    return hits.withColumn("_found", found).filter((F.col("_found") == 0) | (F.col("layer") == preferred)).drop("_found")
+    found = hits.filter(F.col("layer") == preferred).select(query, F.lit(True).alias("_found")).distinct()
+    return hits.join(found, query, "left").filter(F.col("_found").isNull() | (F.col("layer") == preferred)).drop("_found")
 
 
-def prune_tails(hits: DataFrame, *query: str) -> DataFrame:
+def prune_tails(hits: DataFrame, query: str) -> DataFrame:
     """Against each query's first hit: other topics of its layer go, and, if that hit is of a memory, so do weak hits of its
     topic in another scope. A hit is weak if it is an automatic memory of medium confidence, one support and without all of the
     query's required tokens (strict)."""
-    first = F.first(F.struct("id", "kind", "layer", "scope", "topic")).over(Window.partitionBy(*query).orderBy(F.desc("score"), F.desc("id")))
+    first = hits.groupBy(query).agg(F.max(F.struct("score", "id", "kind", "layer", "scope", "topic")).alias("_first"))
     full = lambda x: (x("layer") != "") & (x("scope") != "") & (x("topic") != "")
     a = lambda c: F.col(f"_first.{c}")
     same_layer, same_topic = F.col("layer") == a("layer"), F.col("topic") == a("topic")
     frail = (F.col("kind") == "memory") & (F.col("source") == "automatic") & (F.col("confidence") == "medium") & (F.col("support_count") == 1) & ~F.col("strict")
     weak = (a("kind") == "memory") & F.coalesce(frail, F.lit(False)) & same_layer & same_topic & (F.col("scope") != a("scope"))
     stays = (F.col("id") == a("id")) | ~full(a) | ~full(F.col) | (~weak & (~same_layer | same_topic))
-    return hits.withColumn("_first", first).filter(stays).drop("_first")
+    return hits.join(first, query).filter(stays).drop("_first")
+
+
+#: What a hit's kind adds to its score.
+MEMORY_BONUS, INDEX_BONUS = 30, 10
+
+
+def memory_hits(nodes: DataFrame, gone: DataFrame, query: list[str], context: list[str] | None = None, preferred: str = "") -> DataFrame:
+    """query_id (1), id, kind, layer, scope, topic, score, matched, strict and what else the prunes need, of active nodes.
+
+    `gone` are the ids of inactive nodes. Nodes that match in no telling field go; a node's score is that of its record and its
+    rank priors, 1 at least. Then only hits of the preferred layer stay (if there are any), the best of a topic and scope, those
+    close to the best, and no weak tails.
+    """
+    active = nodes.join(gone, "id", "left_anti")
+    scored = score_records(active, query, context).filter("score > 0 and telling")
+    flat = T.compact_whitespace(F.coalesce(F.col("text"), F.lit("")))
+    prior = rank_priors(F.col("source"), F.col("confidence"), F.col("layer"), F.col("support_count"), preferred, P.process_memory(flat), repeats_query(scored, query))
+    hits = scored.withColumn("score", F.greatest(F.lit(1), F.col("score") + prior) + MEMORY_BONUS).withColumn("kind", F.lit("memory")).withColumn("query_id", F.lit(1))
+    if preferred in ("global", "domain", "project"):
+        hits = prune_layers(hits, preferred, "query_id")
+    return prune_tails(prune_low_scores(prune_topics(hits, "query_id"), "query_id"), "query_id")
+
+
+def inactive_matches(nodes: DataFrame, gone: DataFrame, query: list[str], context: list[str] | None = None) -> DataFrame:
+    """n_matches: how many inactive nodes the query would have found."""
+    return score_records(nodes.join(gone, "id", "left_semi"), query, context).agg(F.count_if(F.col("score") > 0).alias("n_matches"))
+
+
+def context_package(hits: DataFrame, query: list[str], limit: int) -> DataFrame:
+    """rank, id, kind, score, status, reason of the first `limit` hits of a package: memories before others, by score.
+
+    Hits have drill_paths. A hit supports the query if it is a memory with a way down to its evidence and holds all that the
+    query requires.
+    """
+    top = hits.orderBy(F.desc(F.col("kind") == "memory"), F.desc("score"), F.desc("id")).limit(limit)
+    rank = F.row_number().over(Window.orderBy(F.desc(F.col("kind") == "memory"), F.desc("score"), F.desc("id")))  # over `limit` rows
+    support = query_support(query, F.col("matched"))
+    memory, backed = F.col("kind") == "memory", F.size("drill_paths") > 0
+    reason = (
+        F.when(~memory, "not_active_memory_node")
+        .when(~backed, "missing_support_drilldown")
+        .when(support != "complete", "insufficient_query_support")
+        .otherwise("active_current_memory_with_drilldown_and_query_support")
+    )
+    status = F.when(memory & backed & (support == "complete"), "supported").otherwise("unsupported")
+    return top.select(rank.alias("rank"), "id", "kind", "score", status.alias("status"), reason.alias("reason"))
 
 
 def merged_hits(hits: DataFrame) -> DataFrame:

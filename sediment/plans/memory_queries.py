@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import filters as P
 from ..functions import text as T
-from ..operators import search
+from ..operators import consolidate, search
 from . import fixtures as X
-from .queries import SPECIFIC_QUERY, _compact, _importance, _list, _query, _table
+from .queries import _VALID, SPECIFIC_QUERY, _compact, _importance, _list, _query, _table
 
 #: Texts that every predicate tells apart: at least one that it accepts, and near ones that it doesn't.
 TEXTS = [
@@ -95,11 +95,11 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", "text", F.left(F.coalesce("text", F.lit("")), F.lit(80)).alias("summary"), title.alias("title"), F.concat(F.lit("p"), (F.col("conv_id") % 5).cast("string")).alias("project"), F.array("role", F.concat(F.lit("les turn-"), F.col("turn").cast("string"))).alias("tags"))
 
 
-def record_scores_sql(query: list[str], project: str) -> str:
+def scored_sql(relation: str, query: list[str], project: str, texts: dict[str, tuple[int, str]], telling: tuple[str, ...], prefix: str = "") -> str:
+    """CTEs that end in {prefix}z: the relation's columns with score, m (matched), tm (matched in telling fields) and strict, of
+    the rows that a query finds. The relation has project and talk."""
     context = search.context_terms(project)
     content = search.content_tokens(query, context)
-    texts = {"text": (15, "text"), "summary": (12, "summary"), "title": (5, "CASE WHEN NOT gt THEN title END"), "named": (1, "CASE WHEN gt THEN title END"), "project": (3, "project"), "tag1": (2, "tags[1]"), "tag2": (2, "tags[2]")}
-    telling = ("text", "summary")
 
     def times(f: str, t: str) -> str:
         if t.isascii() and t.isalnum():
@@ -118,24 +118,142 @@ def record_scores_sql(query: list[str], project: str) -> str:
     required = max(1, (len(important) + 1) // 2)
     meaningful = [t for t in content if t not in T.GENERIC_WORDS]
     held = lambda some: f"list_intersect(m, {_list(some)})"
-    name = context[-1]
     strict = search.strict_tokens(query)
-    return f"""WITH r AS (SELECT *, regexp_matches(lower(title), '\\.(?:jsonl|json|log|txt|md)\\b') AND contains(title, ':') AS gt FROM {_RECORDS}),
-l AS (SELECT *, {', '.join(f'lower({c}) AS {f}_l' for f, (_, c) in texts.items())} FROM r),
-c AS (SELECT *, {counts} FROM l),
-a AS (SELECT *, {base} + coalesce(list_sum((list_filter([{said}], lambda x: x IS NOT NULL))[1:3]), 0) AS base, {found(texts)} AS m, {found(telling)} AS tm, {places} AS places FROM c),
-b AS (SELECT *, base + {worth('m')} * 6 + CASE WHEN len(m) = {len(query)} THEN 20 ELSE 0 END + CASE WHEN places >= 2 THEN 20 + places * 3 ELSE 0 END AS s1, len({held(specific)}) AS ns, len({held(important)}) AS ni FROM a),
-d AS (SELECT *, CASE WHEN ns = 0 THEN greatest(1, s1 // 8) WHEN ns < {len(specific)} THEN greatest(1, (s1 + {worth(held(specific))} * 25) // (2 + {len(specific)} - ns)) ELSE s1 + {worth(held(specific))} * 25 END AS s2 FROM b),
-e AS (SELECT *, CASE WHEN ni >= {required} THEN s2 + {worth(held(important))} * 12 + ni * 8 ELSE greatest(1, s2 // (2 + ({required} - ni) * 2)) END AS s3 FROM d),
-f AS (SELECT *, CASE WHEN len(tm) = 0 THEN greatest(1, s3 // 4) ELSE s3 END AS s4 FROM e),
-g AS (SELECT *, CASE WHEN len(tm) = 0 AND len(list_filter(m, lambda x: NOT list_contains({_list(T.GENERIC_WORDS)}, x))) = 0 THEN greatest(1, s4 // 4) ELSE s4 END + CASE WHEN len(tm) > 0 AND project = '{name}' THEN {search.CONTEXT_BONUS} ELSE 0 END AS s5,
-regexp_matches(lower(title || ' ' || summary), '{P.SEARCH_TALK}') OR (regexp_matches(lower(title || ' ' || summary), '{P.SEARCH_CLAIM}') AND regexp_matches(lower(title || ' ' || summary), '{P.SEARCH_SUBJECT}')) AS talk FROM f)
-SELECT conv_id, turn, CAST(s5 AS BIGINT) AS score, array_to_string(list_sort(m), ' ') AS matched, {f'len({held(strict)}) = {len(strict)}' if strict else 'false'} AS strict FROM g
-WHERE len(m) > 0 AND NOT talk AND list_has_any(m, {_list([t for t in meaningful if search._importance(t) >= 4])}) AND list_has_any(m, {_list(important)})"""
-
-
-@_query(record_scores_sql(RECORD_QUERY, PROJECT))
+    p = prefix
+    return f"""{p}l AS (SELECT *, {', '.join(f'lower({c}) AS {f}_l' for f, (_, c) in texts.items())} FROM {relation}),
+{p}c AS (SELECT *, {counts} FROM {p}l),
+{p}a AS (SELECT *, {base} + coalesce(list_sum((list_filter([{said}], lambda x: x IS NOT NULL))[1:3]), 0) AS base, {found(texts)} AS m, {found(telling)} AS tm, {places} AS places FROM {p}c),
+{p}b AS (SELECT *, base + {worth('m')} * 6 + CASE WHEN len(m) = {len(query)} THEN 20 ELSE 0 END + CASE WHEN places >= 2 THEN 20 + places * 3 ELSE 0 END AS s1, len({held(specific)}) AS ns, len({held(important)}) AS ni FROM {p}a),
+{p}d AS (SELECT *, CASE WHEN ns = 0 THEN greatest(1, s1 // 8) WHEN ns < {len(specific)} THEN greatest(1, (s1 + {worth(held(specific))} * 25) // (2 + {len(specific)} - ns)) ELSE s1 + {worth(held(specific))} * 25 END AS s2 FROM {p}b),
+{p}e AS (SELECT *, CASE WHEN ni >= {required} THEN s2 + {worth(held(important))} * 12 + ni * 8 ELSE greatest(1, s2 // (2 + ({required} - ni) * 2)) END AS s3 FROM {p}d),
+{p}f AS (SELECT *, CASE WHEN len(tm) = 0 THEN greatest(1, s3 // 4) ELSE s3 END AS s4 FROM {p}e),
+{p}z AS (SELECT *, CAST(CASE WHEN len(tm) = 0 AND len(list_filter(m, lambda x: NOT list_contains({_list(T.GENERIC_WORDS)}, x))) = 0 THEN greatest(1, s4 // 4) ELSE s4 END + CASE WHEN len(tm) > 0 AND project = '{context[-1]}' THEN {search.CONTEXT_BONUS} ELSE 0 END AS BIGINT) AS score,
+{f'len({held(strict)}) = {len(strict)}' if strict else 'false'} AS strict FROM {p}f
+WHERE len(m) > 0 AND NOT talk AND list_has_any(m, {_list([t for t in meaningful if search._importance(t) >= 4])}) AND list_has_any(m, {_list(important)}))"""
+
+
+_RECORD_TEXTS = {"text": (15, "text"), "summary": (12, "summary"), "title": (5, "CASE WHEN NOT gt THEN title END"), "named": (1, "CASE WHEN gt THEN title END"), "project": (3, "project"), "tag1": (2, "tags[1]"), "tag2": (2, "tags[2]")}
+_TALK = f"regexp_matches(lower(title || ' ' || summary), '{P.SEARCH_TALK}') OR (regexp_matches(lower(title || ' ' || summary), '{P.SEARCH_CLAIM}') AND regexp_matches(lower(title || ' ' || summary), '{P.SEARCH_SUBJECT}'))"
+_RECORD_CTES = f"r AS (SELECT *, regexp_matches(lower(title), '\\.(?:jsonl|json|log|txt|md)\\b') AND contains(title, ':') AS gt, {_TALK} AS talk FROM {_RECORDS}),\n" + scored_sql("r", RECORD_QUERY, PROJECT, _RECORD_TEXTS, ("text", "summary"), "r_")
+
+
+@_query(f"WITH {_RECORD_CTES} SELECT conv_id, turn, score, array_to_string(list_sort(m), ' ') AS matched, strict FROM r_z")
 def record_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn that a query finds, as a record of weighted fields in the context of a project."""
     got = search.score_records(_records(spark, sf_dir), RECORD_QUERY, search.context_terms(PROJECT)).filter("score > 0")
     return got.select("conv_id", "turn", "score", F.array_join(F.array_sort("matched"), " ").alias("matched"), "strict")
+
+
+# Recall over memory nodes made of all turns.
+
+_ID = "'m' || conv_id || '-' || ({})"
+_TURN_NODES = f"""(SELECT {_ID.format('turn')} AS id, {_ID.format('turn')} AS memory_id, text, ['project', 'domain', 'global'][1 + conv_id % 3] AS layer, 's' || (conv_id % 4) AS scope, 't' || (turn % 3) AS topic,
+CASE WHEN turn % 4 = 0 THEN 'explicit' ELSE 'automatic' END AS source, ['high', 'medium', 'low', ''][1 + (conv_id + turn) % 4] AS confidence, turn % 3 AS support_count, 'p' || (conv_id % 5) AS project,
+'2025-01-01T00:00:00Z' AS first_seen, CASE WHEN conv_id % 13 = 0 AND turn % 5 = 1 THEN '2024-01-01T00:00:00Z' ELSE '2025-06-01T00:00:00Z' END AS last_seen,
+CASE WHEN turn % 6 = 5 THEN [{_ID.format('turn - 1')}, 'missing'] ELSE [] END AS supersedes, CASE WHEN turn % 6 = 4 AND conv_id % 2 = 0 THEN [{_ID.format('turn + 1')}] ELSE [] END AS superseded_by,
+CASE WHEN turn % 7 = 6 THEN [{_ID.format('turn - 2')}] ELSE [] END AS contradicts, CAST([] AS VARCHAR[]) AS contradicted_by, CASE WHEN turn = 7 THEN [{_ID.format('1')}] ELSE [] END AS deprecates, CAST([] AS VARCHAR[]) AS deprecated_by,
+CASE WHEN turn > 0 THEN [{_ID.format('turn - 1')}] ELSE [] END AS derived_from, CASE WHEN turn % 2 = 0 THEN ['sessions/' || conv_id] ELSE [] END AS drill_paths, false AS talk FROM conversations)"""
+
+
+def _turn_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv, turn = F.col("conv_id"), F.col("turn")
+    node = lambda t: F.concat(F.lit("m"), conv.cast("string"), F.lit("-"), t.cast("string"))
+    pick = lambda values, k: F.element_at(T.words(values), (k + 1).cast("int"))
+    links = lambda when, *some: F.when(when, F.array(*some)).otherwise(F.array().cast("array<string>"))
+    never = F.array().cast("array<string>")
+    tag = lambda c, k: F.concat(F.lit(c), k.cast("string"))
+    return _table(spark, sf_dir, "conversations").select(
+        node(turn).alias("id"), node(turn).alias("memory_id"), "text", pick(["project", "domain", "global"], conv % 3).alias("layer"), tag("s", conv % 4).alias("scope"), tag("t", turn % 3).alias("topic"),
+        F.when(turn % 4 == 0, "explicit").otherwise("automatic").alias("source"), pick(["high", "medium", "low", ""], (conv + turn) % 4).alias("confidence"), (turn % 3).alias("support_count"), tag("p", conv % 5).alias("project"),
+        F.lit("2025-01-01T00:00:00Z").alias("first_seen"), F.when((conv % 13 == 0) & (turn % 5 == 1), "2024-01-01T00:00:00Z").otherwise("2025-06-01T00:00:00Z").alias("last_seen"),
+        links(turn % 6 == 5, node(turn - 1), F.lit("missing")).alias("supersedes"), links((turn % 6 == 4) & (conv % 2 == 0), node(turn + 1)).alias("superseded_by"),
+        links(turn % 7 == 6, node(turn - 2)).alias("contradicts"), never.alias("contradicted_by"), links(turn == 7, node(F.lit(1))).alias("deprecates"), never.alias("deprecated_by"),
+        links(turn > 0, node(turn - 1)).alias("derived_from"), links(turn % 2 == 0, tag("sessions/", conv)).alias("drill_paths"),
+    )
+
+
+_NODE_TEXTS = {"text": (15, "text"), "topic": (6, "topic"), "scope": (6, "scope"), "layer": (4, "layer"), "project": (3, "project"), "mid": (1, "memory_id")}
+_GONE = f"nodes AS (FROM {_TURN_NODES}), gone AS (SELECT id FROM nodes WHERE NOT {_VALID} UNION SELECT id FROM nodes WHERE len(deprecates) > 0" + "".join(f" UNION SELECT dst FROM (SELECT id, unnest({f}) AS dst FROM nodes WHERE {_VALID}) WHERE id <> dst AND dst IN (SELECT id FROM nodes)" for f in consolidate.LINKS) + ")"
+_REPEATED = " + ".join((f"CAST(len(list_filter(string_split_regex(text_l, '[^a-z0-9_]+'), lambda x: x = '{t}')) >= 3 AS INTEGER)" if t.isascii() else f"CAST((length(text_l) - length(replace(text_l, '{t}', ''))) // {len(t)} >= 3 AS INTEGER)") for t in RECORD_QUERY if t not in T.GENERIC_WORDS)
+_MEMORY_HITS = f"""{_GONE}, act AS (FROM nodes WHERE id NOT IN (SELECT id FROM gone)), {scored_sql('act', RECORD_QUERY, PROJECT, _NODE_TEXTS, ('text', 'topic'), 'n_')},
+adj AS (SELECT *, coalesce({_m("lower(" + _compact("coalesce(text, '')") + ")", P.PROCESS_MEMORY)}, false) AS process, {_REPEATED} >= 2 AS repeated FROM n_z WHERE len(tm) > 0),
+pri AS (SELECT * REPLACE (greatest(1, score + CASE WHEN source = 'explicit' THEN 350 ELSE 0 END + CASE confidence WHEN 'high' THEN 110 WHEN 'medium' THEN 40 WHEN 'low' THEN -100 ELSE 0 END
+ + CASE WHEN source = 'automatic' AND support_count = 0 THEN -40 ELSE 0 END + CASE layer WHEN 'global' THEN 120 WHEN 'domain' THEN 80 WHEN 'project' THEN 40 ELSE 0 END
+ + CASE WHEN source = 'automatic' AND process AND (support_count <= 1 OR repeated) THEN -900 ELSE 0 END
+ + CASE WHEN source = 'automatic' AND support_count <= 1 AND confidence IN ('', 'low', 'medium') AND repeated THEN -350 ELSE 0 END) + {search.MEMORY_BONUS} AS score) FROM adj),
+top AS (FROM pri QUALIFY row_number() OVER (PARTITION BY layer, scope, topic ORDER BY score DESC, id DESC) = 1),
+near AS (FROM top QUALIFY score >= floor(CAST(max(score) OVER () AS DOUBLE) * CAST(0.99 AS DOUBLE))),
+anchor AS (SELECT id AS aid, layer AS al, scope AS asc_, topic AS at_ FROM near ORDER BY score DESC, id DESC LIMIT 1),
+hits AS (SELECT near.* FROM near, anchor WHERE id = aid OR (NOT (source = 'automatic' AND confidence = 'medium' AND support_count = 1 AND NOT strict AND layer = al AND topic = at_ AND scope <> asc_) AND (layer <> al OR topic = at_)))"""
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _turn_nodes(spark, sf_dir)
+    return search.memory_hits(nodes, consolidate.inactive_ids(nodes), RECORD_QUERY, search.context_terms(PROJECT))
+
+
+@_query(f"WITH {_MEMORY_HITS} SELECT id, score, array_to_string(list_sort(m), ' ') AS matched, strict FROM hits")
+def memory_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a query recalls of active memory nodes, ranked by priors and pruned."""
+    return _hits(spark, sf_dir).select("id", "score", F.array_join(F.array_sort("matched"), " ").alias("matched"), "strict")
+
+
+@_query(f"WITH {_GONE}, off AS (FROM nodes WHERE id IN (SELECT id FROM gone)), {scored_sql('off', RECORD_QUERY, PROJECT, _NODE_TEXTS, ('text', 'topic'), 'o_')} SELECT count(*) AS n_matches FROM o_z WHERE score > 0")
+def inactive_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many inactive nodes the query would have found."""
+    nodes = _turn_nodes(spark, sf_dir)
+    return search.inactive_matches(nodes, consolidate.inactive_ids(nodes), RECORD_QUERY, search.context_terms(PROJECT))
+
+
+_NEED = search.required_tokens(RECORD_QUERY)
+
+
+@_query(f"""WITH {_MEMORY_HITS}, {_RECORD_CTES},
+every AS (SELECT id, 'memory' AS kind, score, m, len(drill_paths) > 0 AS backed FROM hits UNION ALL SELECT 'r' || conv_id || '-' || turn, 'index', score + {search.INDEX_BONUS}, m, false FROM r_z)
+SELECT row_number() OVER (ORDER BY kind = 'memory' DESC, score DESC, id DESC) AS rank, id, kind, score, CASE WHEN kind = 'memory' AND backed AND full_ THEN 'supported' ELSE 'unsupported' END AS status,
+CASE WHEN kind <> 'memory' THEN 'not_active_memory_node' WHEN NOT backed THEN 'missing_support_drilldown' WHEN NOT full_ THEN 'insufficient_query_support' ELSE 'active_current_memory_with_drilldown_and_query_support' END AS reason
+FROM (SELECT *, {f"len(list_intersect(m, {_list(_NEED)})) = {len(_NEED)}" if _NEED else "false"} AS full_ FROM every) QUALIFY rank <= 12""")
+def context_package(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twelve hits of a package, memories before index records, each with whether it supports the query."""
+    memories = _hits(spark, sf_dir).select("id", "kind", "score", "matched", "drill_paths")
+    records = search.score_records(_records(spark, sf_dir), RECORD_QUERY, search.context_terms(PROJECT)).filter("score > 0")
+    others = records.select(F.concat(F.lit("r"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"), F.lit("index").alias("kind"), (F.col("score") + search.INDEX_BONUS).alias("score"), "matched", F.array().cast("array<string>").alias("drill_paths"))
+    return search.context_package(memories.unionByName(others), RECORD_QUERY, 12)
+
+
+# Lifecycle links.
+
+_FACTS = [(1, "Updated fact: the old plan => the new plan"), (2, "Deleted fact: the lost plan"), (3, "the new plan"), (4, "The  old plan -"), (5, "the lost plan"), (6, "Deleted fact: the lost plan"), (7, None)]
+
+
+@_query(f"""WITH nodes AS (FROM {_TURN_NODES}), e AS ({' UNION ALL '.join(f"SELECT DISTINCT '{f}' AS f, src, dst FROM (SELECT id AS src, unnest({f}) AS dst FROM nodes) WHERE src <> dst AND dst IN (SELECT id FROM nodes)" for f in consolidate.LINKS)}),
+b AS (SELECT dst AS id, max(src) FILTER (f = 'supersedes') AS s, list_sort(list(src) FILTER (f = 'contradicts')) AS c, max(src) FILTER (f = 'deprecates') AS d FROM e GROUP BY 1),
+g AS (SELECT src AS id, list_distinct(list(dst)) AS froms FROM e GROUP BY 1)
+SELECT n.id, CASE WHEN b.id IS NOT NULL THEN 'low' ELSE confidence END AS confidence, CASE WHEN s IS NOT NULL THEN s ELSE array_to_string(superseded_by, ',') END AS superseded_by, coalesce(array_to_string(c, ','), '') AS contradicted_by, coalesce(d, '') AS deprecated_by,
+array_to_string(list_sort(list_distinct(list_concat(derived_from, coalesce(froms, [])))), ',') AS derived_from FROM nodes n LEFT JOIN b ON n.id = b.id LEFT JOIN g ON n.id = g.id""")
+def linked_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of all turns with their links written back."""
+    got = consolidate.apply_links(_turn_nodes(spark, sf_dir))
+    joined = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
+    return got.select("id", "confidence", joined("superseded_by"), joined("contradicted_by"), joined("deprecated_by"), joined("derived_from"))
+
+
+@_query(f"""WITH f AS (SELECT id, text FROM {X.values_sql(_FACTS, ['id', 'text'])} UNION ALL SELECT 1000 + doc_id, left(text, 40) FROM documents),
+k AS (SELECT id, lower(trim({_compact('text')}, ' -')) AS key FROM f),
+t AS (SELECT DISTINCT a, b FROM (VALUES ('the new plan', 'the old plan'), ('deleted fact: the lost plan', 'the lost plan')) v(a, b))
+SELECT DISTINCT x.id AS current, y.id AS old FROM k x JOIN t ON x.key = t.a JOIN k y ON y.key = t.b WHERE x.id <> y.id""")
+def text_supersessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts that replace others by their texts, among the beginnings of all documents."""
+    facts = spark.createDataFrame(_FACTS, "id long, text string")
+    docs = _table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("id"), F.left("text", F.lit(40)).alias("text"))
+    targets = facts.select(T.refresh_targets(F.col("text")).alias("r")).select("r.text", "r.target")
+    return consolidate.text_links(facts.unionByName(docs), targets)
+
+
+@_query(f"""WITH nodes AS (FROM {_TURN_NODES}), l AS ({' UNION ALL '.join(f"SELECT '{f}' AS f, id AS src, unnest({f}) AS dst, 1 AS way FROM nodes UNION ALL SELECT '{f}', unnest({b}), id, 2 FROM nodes" for f, b in consolidate.LINKS.items())}),
+p AS (SELECT f, src, dst, bit_or(way) AS ways, count(*) AS n FROM l GROUP BY ALL)
+SELECT {', '.join(f"CAST(coalesce(sum(n) FILTER (f = '{f}'), 0) AS BIGINT) AS n_{f}" for f in consolidate.LINKS)}, coalesce(sum(CASE WHEN ways = 3 THEN n ELSE 0 END) / sum(n), 1.0) AS reciprocity,
+CAST(coalesce(sum(n) FILTER (dst NOT IN (SELECT id FROM nodes) OR src NOT IN (SELECT id FROM nodes)), 0) AS BIGINT) AS n_broken, (SELECT count(*) FROM nodes) AS n_nodes, (SELECT avg(CASE WHEN len(derived_from) > 0 THEN 1.0 ELSE 0.0 END) FROM nodes) AS derived_share, (SELECT avg(CASE WHEN len(drill_paths) > 0 THEN 1.0 ELSE 0.0 END) FROM nodes) AS evidence_share FROM p""")
+def link_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How whole the links and sources of the nodes of all turns are."""
+    return consolidate.link_integrity(_turn_nodes(spark, sf_dir))
