@@ -68,8 +68,8 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         """Leave this table of `written` to the next owner outside, if any."""
         at = self.folders.pop(id(df))
-        if len(self._open) > 1:
-            self._open[self._open.index(self) - 1].folders[id(df)] = at
+        if (place := self._open.index(self)) > 0:
+            self._open[place - 1].folders[id(df)] = at
         return df
 
     def __exit__(self, *_: object) -> None:
