@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import filters as P
+from ..functions import forms
 from ..functions import text as T
 from ..operators import consolidate, search
 from . import fixtures as X
-from .queries import _VALID, SPECIFIC_QUERY, _compact, _importance, _list, _query, _table
+from .queries import _VALID, SPECIFIC_QUERY, _compact, _importance, _list, _query, _table, _tokens
 
 #: Texts that every predicate tells apart: at least one that it accepts, and near ones that it doesn't.
 TEXTS = [
@@ -257,3 +258,59 @@ CAST(coalesce(sum(n) FILTER (dst NOT IN (SELECT id FROM nodes) OR src NOT IN (SE
 def link_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How whole the links and sources of the nodes of all turns are."""
     return consolidate.link_integrity(_turn_nodes(spark, sf_dir))
+
+
+# Texts brought into form.
+
+FORM_TEXTS = [
+    "$skill [a](b) do it", "<oai-mem-citation>x\ny</oai-mem-citation> kept <rollout_ids>z", "line\nMEMORY.md:1|note=[x]\nmore", "please remember: the port is 8080, then run it", "Remember that A uses B", "do not remember this: x", "记住：端口是八千。现在开始", "I prefer short answers", "i want it done", "my preference is that x",
+    "records/a.md#L1#x", "plain/path", "a **b " + "word " * 60, "First one. Second one! third " + "tail " * 60, "- bullet one. Next.\n* two？三", "my preference and the roadmap", "logs/2026-05-14T12-30-05Z_x.jsonl", "logs/2026-05-14/x.md", "One\n\n  ", "", None,
+]
+_FORMS = list(enumerate(FORM_TEXTS))
+
+
+def _gone(c: str, patterns: tuple[str, ...]) -> str:
+    for p in patterns:
+        c = f"regexp_replace({c}, '{p}', '', 'g')"
+    return c
+
+
+def _bounded(c: str) -> str:
+    head = f"rtrim(left({c}, 237))"
+    return f"(CASE WHEN length(regexp_extract({head}, '^(.*[{forms.SENTENCE_END}])', 1)) > 120 THEN regexp_extract({head}, '^(.*[{forms.SENTENCE_END}])', 1) WHEN length(regexp_extract({head}, '^(.*) ', 1)) >= 120 THEN rtrim(regexp_extract({head}, '^(.*) ', 1)) ELSE {head} END || '...')"
+
+
+_ASKED = "coalesce(" + ", ".join(f"nullif(regexp_extract(text, '{p}', 1), '')" for p in forms.EXPLICIT) + ")"
+
+
+@_query(f"""WITH b AS (SELECT 'sample' AS origin, id, text FROM {X.values_sql(_FORMS, ['id', 'text'])} UNION ALL SELECT 'document', doc_id, text FROM documents),
+f AS (SELECT *, {_compact('text')} AS flat FROM b)
+SELECT origin, id, sha256(trim(regexp_replace(flat, '{forms.SKILL_PREFIX}', ''))) AS without_skill, sha256(trim({_gone('text', forms.CITATIONS)}, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))) AS without_citations,
+CASE WHEN length(flat) <= 240 THEN flat WHEN (length({_bounded('flat')}) - length(replace({_bounded('flat')}, '**', ''))) % 4 = 2 THEN {_bounded("replace(flat, '**', '')")} ELSE {_bounded('flat')} END AS daily,
+sha256(lower(left(trim(text), 1)) || substr(trim(text), 2)) AS lower_first,
+CASE WHEN NOT {_m('text', P.NEGATED)} THEN nullif(trim({_compact(f"regexp_replace({_ASKED}, '{forms.TASK_TAIL}', '')")}, ' -'), '') END AS explicit_memory,
+coalesce({', '.join(f"CASE WHEN regexp_extract(text, '{p}', 1) <> '' THEN '{h}' || regexp_extract(text, '{p}', 1) END" for p, h in forms.NATURAL.items())}) AS natural_memory,
+sha256(trim(CASE WHEN contains(text, '#') THEN left(text, instr(text, '#') - 1) ELSE text END)) AS ref_path, sha256(CASE WHEN contains(text, '#') THEN trim(substr(text, instr(text, '#') + 1)) ELSE '' END) AS ref_anchor,
+len(list_filter(list_distinct({_tokens('text')}), lambda x: NOT list_contains({_list(T.QUERY_STOP_WORDS + T.GENERIC_WORDS)}, x))) > 5 OR {' + '.join(f"CAST(coalesce({_m('text', p)}, false) AS INTEGER)" for p in forms.FACETS)} >= 2 AS ask_in_parts
+FROM f""")
+def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample texts and all documents in every form."""
+    samples = spark.createDataFrame(_FORMS, "id long, text string").select(F.lit("sample").alias("origin"), "id", "text")
+    rows = samples.unionByName(_table(spark, sf_dir, "documents").select(F.lit("document").alias("origin"), F.col("doc_id").alias("id"), "text"))
+    t, ref = F.col("text"), forms.source_ref(F.col("text"))
+    return rows.select("origin", "id", F.sha2(forms.without_skill(t), 256).alias("without_skill"), F.sha2(forms.without_citations(t), 256).alias("without_citations"), forms.clip_daily(t).alias("daily"), F.sha2(forms.lower_first(t), 256).alias("lower_first"), forms.explicit_memory(t).alias("explicit_memory"), forms.natural_memory(t).alias("natural_memory"), F.sha2(F.when(t.isNotNull(), ref["path"]), 256).alias("ref_path"), F.sha2(ref["anchor"], 256).alias("ref_anchor"), forms.ask_in_parts(t).alias("ask_in_parts"))
+
+
+_PATHS = [(1, "logs/2026-05-14T12-30-05Z_x.jsonl"), (2, "logs/2026-05-14/x.md"), (3, "a/2025_01_01.txt"), (4, "x/2024-02-30/y"), (5, "2024-01-02T03:04:05/2026-01-01"), (6, ""), (7, None)]
+_FULL = f"regexp_extract(path, '{forms.FILE_TIME}', 0)"
+
+
+@_query(f"""WITH b AS (SELECT id, path FROM {X.values_sql(_PATHS, ['id', 'path'])} UNION ALL SELECT 100 + event_id, 'logs/' || strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%dT%H-%M-%S') || 'Z.jsonl' FROM events),
+t AS (SELECT *, coalesce(CASE WHEN {_FULL} <> '' THEN try_cast(regexp_extract(path, '{forms.FILE_TIME}', 1) || ' ' || regexp_extract(path, '{forms.FILE_TIME}', 2) || ':' || regexp_extract(path, '{forms.FILE_TIME}', 3) || ':' || regexp_extract(path, '{forms.FILE_TIME}', 4) AS TIMESTAMP) END,
+CASE WHEN regexp_extract(path, '\\d{{4}}-\\d{{2}}-\\d{{2}}', 0) <> '' THEN try_cast(regexp_extract(path, '\\d{{4}}-\\d{{2}}-\\d{{2}}', 0) AS TIMESTAMP) END) AS tm FROM b)
+SELECT id, 'sessions/' || strftime(tm, '%Y/%m/%d') || '/' || strftime(tm, '%Y-%m-%dT%H%M%SZ') || '_x_' || left(sha256(path), 10) AS folder FROM t""")
+def record_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where records go by the time in their paths: sample paths, and one of each event."""
+    name = F.concat(F.lit("logs/"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH-mm-ss"), F.lit("Z.jsonl"))
+    rows = spark.createDataFrame(_PATHS, "id long, path string").unionByName(_table(spark, sf_dir, "events").select((F.col("event_id") + 100).alias("id"), name.alias("path")))
+    return rows.select("id", forms.record_folder(forms.time_of_path(F.col("path")), F.lit("x"), F.sha2("path", 256)).alias("folder"))
