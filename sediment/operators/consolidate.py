@@ -49,15 +49,35 @@ def relation(current: Column, old: Column, current_polarity: Column, old_polarit
     )
 
 
+def _told(nodes: DataFrame) -> DataFrame:
+    """id, tokens, polarity of facts that say enough to be related."""
+    return nodes.select("id", F.array_sort(T.semantic_tokens(F.col("text"))).alias("tokens"), T.semantic_polarity(F.col("text")).alias("polarity")).filter(F.size("tokens") >= 4)
+
+
+def fact_classes(nodes: DataFrame) -> DataFrame:
+    """id, class_id, n_facts: facts (id, text) of equal tokens and polarity are one class, known by its smallest id.
+
+    With `related_classes` this gives every link: a fact relates to the older facts of each class that its own relates to.
+    """
+    told = _told(nodes).withColumn("key", F.xxhash64("tokens", "polarity"))
+    sizes = told.groupBy("key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_facts"))
+    return told.select("id", "key").join(sizes, "key").select("id", "class_id", "n_facts")
+
+
 def related_pairs(nodes: DataFrame) -> DataFrame:
-    """current_id, old_id, relation of nodes (id, text), current newer than old by id.
+    """current_id, old_id, relation of nodes (id, text): of two related classes the newest and the oldest node."""
+    return related_classes(nodes).select("current_id", "old_id", "relation")
+
+
+def related_classes(nodes: DataFrame) -> DataFrame:
+    """current_class, old_class, relation, current_id, old_id of classes of nodes (id, text), some of the first newer than some
+    of the second by id; current_id is the newest and old_id the oldest of them.
 
     A related pair shares at least 45 % of its tokens or has one inside the other. By rarity of tokens, one of the newer
     node's first n - ceil(0.45 n) + 1 tokens is then in the older one, so only these rare tokens are joined on: no pairs
-    of a frequent word, and no pair is lost. A set of equal tokens is one class per polarity and pairs as one.
+    of a frequent word, and no pair is lost.
     """
-    told = nodes.select("id", F.array_sort(T.semantic_tokens(F.col("text"))).alias("tokens"), T.semantic_polarity(F.col("text")).alias("polarity")).filter(F.size("tokens") >= 4)
-    known = told.groupBy("tokens", "polarity").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    known = _told(nodes).groupBy("tokens", "polarity").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
     each = known.select("tokens", "polarity", F.explode("tokens").alias("token"))
     seen = each.groupBy("token").agg(F.count(F.lit(1)).alias("times"))
     ranked = each.join(seen, "token").groupBy("tokens", "polarity").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("by_rarity"))
@@ -67,9 +87,10 @@ def related_pairs(nodes: DataFrame) -> DataFrame:
     pairs = probes.join(old, "token").select("tokens", "polarity", "old_tokens", "old_polarity").distinct()
     kind = relation(F.col("tokens"), F.col("old_tokens"), F.col("polarity"), F.col("old_polarity"))
     rated = pairs.withColumn("relation", kind).filter("relation <> ''")
-    newer = known.select("tokens", "polarity", F.col("last_id").alias("current_id"))
-    older = known.select(F.col("tokens").alias("old_tokens"), F.col("polarity").alias("old_polarity"), F.col("first_id").alias("old_id"))
-    return rated.join(newer, ["tokens", "polarity"]).join(older, ["old_tokens", "old_polarity"]).filter("old_id < current_id").select("current_id", "old_id", "relation")
+    newer = known.select("tokens", "polarity", F.col("first_id").alias("current_class"), F.col("last_id").alias("current_id"))
+    older = known.select(F.col("tokens").alias("old_tokens"), F.col("polarity").alias("old_polarity"), F.col("first_id").alias("old_class"), F.col("first_id").alias("old_id"))
+    both = rated.join(newer, ["tokens", "polarity"]).join(older, ["old_tokens", "old_polarity"]).filter("old_id < current_id")
+    return both.select("current_class", "old_class", "relation", "current_id", "old_id")
 
 
 def edges(nodes: DataFrame, field: str) -> DataFrame:
