@@ -264,47 +264,60 @@ def _groups(batches: Iterator[pa.RecordBatch], fields: list[str]) -> Iterator[tu
         yield key, group
 
 
-def _closest_pairs(blocks: DataFrame, nodes: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (leader, node) of the least sketch distance for each two components that pass the screen, and the groups
-    (block, i, j) that hold such pairs."""
+def _closest_pairs(blocks: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
+    """leader, node: the pairs of the least sketch distance for each two components that pass the screen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, int], tuple[int, int, int]] = {}  # two labels: distance and pair
-        groups: list[tuple] = []
-        names = ["lo", "hi", "apart", "leader", "node", "block", "i", "j"]
 
         def flush() -> pa.RecordBatch:
-            rows = [(*of, *best, None, None, None) for of, best in found.items()] + [(None,) * 5 + key for key in groups]
+            rows = [(*of, *best) for of, best in found.items()]
             found.clear()
-            groups.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if n in "ij" else pa.int64()) for k, n in enumerate(names)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=["lo", "hi", "apart", "leader", "node"])
 
         for key, group in _groups(batches, ["own", "node", "label", "n", "sketch"]):
-            any_here = False
             for k, at, apart in _across(group, key, threshold):
-                any_here = True
                 for m, d in zip(at.tolist(), apart.tolist(), strict=True):
                     of = (min(group[k][2], group[m][2]), max(group[k][2], group[m][2]))
                     best = (d, min(group[k][1], group[m][1]), max(group[k][1], group[m][1]))
                     if of not in found or best < found[of]:
                         found[of] = best
-            if any_here:
-                groups.append(key)
-            if len(found) + len(groups) > 100_000:
+            if len(found) > 100_000:
                 yield flush()
         yield flush()
 
-    n = shuffle_partitions(nodes.sparkSession)
-    rows = blocks.join(nodes.select("node", "n", "sketch"), "node").repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j")
-    got = written(rows.mapInArrow(run, "lo long, hi long, apart long, leader long, node long, block long, i int, j int"), "jaccard-closest")
+    got = _grouped(blocks, nodes).mapInArrow(run, "lo long, hi long, apart long, leader long, node long")
     best = F.min(F.struct("apart", "leader", "node")).alias("best")
-    return got.filter("lo is not null").groupBy("lo", "hi").agg(best).select("best.leader", "best.node"), got.filter("block is not null").select("block", "i", "j")
+    return got.groupBy("lo", "hi").agg(best).select("best.leader", "best.node")
+
+
+def _grouped(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
+    n = shuffle_partitions(nodes.sparkSession)
+    return blocks.join(nodes.select("node", "n", "sketch"), "node").repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j")
+
+
+def _open_members(blocks: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
+    """The rows of `blocks` (with n and sketch) of members that pass the screen with one of another component."""
+    fields = ["own", "node", "label", "n", "sketch"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, group in _groups(batches, fields):
+            there: set[int] = set()
+            for k, at, _ in _across(group, key, threshold):
+                there.add(k)
+                there.update(at.tolist())
+            rows = [group[k] for k in sorted(there)]
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            heads = [pa.array([x] * len(rows), t) for x, t in zip(key, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*heads, *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=["block", "i", "j", *fields])
+
+    return _grouped(blocks, nodes).mapInArrow(run, "block long, i int, j int, own int, node long, label long, n long, sketch binary")
 
 
-def _verified_here(lean: DataFrame, nodes: DataFrame, blocks: DataFrame, threshold: int) -> DataFrame:
+def _verified_here(lean: DataFrame, nodes: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
     """Links (leader, node) between components, at most one for each two of them and group: the groups' members come with
     their sets, and pairs are verified where they meet."""
-    sets = _fetched(lean, nodes, blocks.select("node").distinct())
+    sets = _fetched(lean, nodes, members.select("node").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, group in _groups(batches, ["own", "node", "label", "n", "sketch", "shingles"]):
@@ -320,7 +333,7 @@ def _verified_here(lean: DataFrame, nodes: DataFrame, blocks: DataFrame, thresho
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["leader", "node"])
 
     n = shuffle_partitions(lean.sparkSession)
-    rows = blocks.join(nodes.select("node", "n", "sketch"), "node").join(sets, "node").repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j")
+    rows = members.join(sets, "node").repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j")
     return rows.mapInArrow(run, "leader long, node long")
 
 
@@ -330,17 +343,16 @@ def settled(lean: DataFrame, nodes: DataFrame, met: DataFrame, threshold: int) -
     links = written(_verified(lean, nodes, pairs, threshold), "jaccard-links")
     labels = components(links, "leader", "node")
     blocks = written(_open_blocks(met, labels), "jaccard-blocks")
-    closest, _ = _closest_pairs(blocks, nodes, threshold)
-    more = written(closest.join(pairs, ["leader", "node"], "left_anti"), "jaccard-open")
+    more = written(_closest_pairs(blocks, nodes, threshold).join(pairs, ["leader", "node"], "left_anti"), "jaccard-open")
     if more.isEmpty():
         return labels
     links = written(links.unionByName(_verified(lean, nodes, more, threshold)), "jaccard-links")
     labels = components(links, "leader", "node")
     blocks = written(_open_blocks(met, labels), "jaccard-blocks")
-    _, open_groups = _closest_pairs(blocks, nodes, threshold)
-    if open_groups.isEmpty():
+    members = written(_open_members(blocks, nodes, threshold), "jaccard-open")
+    if members.isEmpty():
         return labels
-    rest = _verified_here(lean, nodes, blocks.join(open_groups, ["block", "i", "j"], "left_semi"), threshold)
+    rest = _verified_here(lean, nodes, members, threshold)
     return components(written(links.unionByName(rest), "jaccard-links"), "leader", "node")
 
 
