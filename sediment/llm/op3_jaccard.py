@@ -343,12 +343,14 @@ def settled(lean: DataFrame, nodes: DataFrame, met: DataFrame, threshold: int) -
     links = written(_verified(lean, nodes, pairs, threshold), "jaccard-links")
     labels = components(links, "leader", "node")
     blocks = written(_open_blocks(met, labels), "jaccard-blocks")
-    more = written(_closest_pairs(blocks, nodes, threshold).join(pairs, ["leader", "node"], "left_anti"), "jaccard-open")
-    if more.isEmpty():
+    closest = written(_closest_pairs(blocks, nodes, threshold), "jaccard-open")
+    if closest.isEmpty():  # no pair of two components passes the screen
         return labels
-    links = written(links.unionByName(_verified(lean, nodes, more, threshold)), "jaccard-links")
-    labels = components(links, "leader", "node")
-    blocks = written(_open_blocks(met, labels), "jaccard-blocks")
+    more = written(closest.join(pairs, ["leader", "node"], "left_anti"), "jaccard-open")
+    if not more.isEmpty():
+        links = written(links.unionByName(_verified(lean, nodes, more, threshold)), "jaccard-links")
+        labels = components(links, "leader", "node")
+        blocks = written(_open_blocks(met, labels), "jaccard-blocks")
     members = written(_open_members(blocks, nodes, threshold), "jaccard-open")
     if members.isEmpty():
         return labels

@@ -83,3 +83,37 @@ def test_links_share_a_block_and_sketches_bound_differences():
                 x, y = (np.frombuffer(sketch(s), np.uint64) for s in (a, b))
                 if len(x) == len(y):
                     assert np.bitwise_count(x ^ y).sum() <= len(a) + len(b) - 2 * both
+
+
+def test_a_failed_closest_pair_hides_no_other_pair(spark):
+    """The closest pair of two components (by sketch) has been tested in another bucket and is no link; another pair is one."""
+    w = "w202968415388 w78565662211 w663705369129 w9670513493 w57819048933 w429466709257 w198904794790 w730870644034 w305719891961 w265888931156 w606383104154 w576951854798".split()
+    two = [*w, "w929909773700", "w902372292745"]
+    three = ["w932379846368", *two[1:]]
+    texts = [["w187416768243", *w, "w286890062103"], two, three, [*three[:-1], "w480246107707"]]
+    rows = [(k + 1, " ".join(t)) for k, t in enumerate(texts)]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).drop("row_key").collect()
+    assert sorted(map(tuple, got), key=str) == brute_force(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got}[4] == 2
+
+
+def test_many_small_sets_in_overlapping_buckets(spark):
+    """Short texts changed at either end, again and again: similarities lie around the threshold, buckets overlap."""
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        rows = []
+        for _ in range(12):
+            family = [[f"w{rng.randrange(10**9)}" for _ in range(rng.randrange(12, 24))]]
+            for _ in range(24):
+                t = list(rng.choice(family))
+                for _ in range(rng.choice((1, 1, 2))):
+                    at = rng.choice((0, -1, rng.randrange(len(t))))
+                    t[at] = f"w{rng.randrange(10**9)}"
+                if rng.random() < 0.3:
+                    t.append(f"w{rng.randrange(10**9)}")
+                family.append(t)
+            rows += [" ".join(t) for t in family]
+        rng.shuffle(rows)
+        rows = list(enumerate(rows))
+        got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).drop("row_key").collect()
+        assert sorted(map(tuple, got), key=str) == brute_force(rows)
