@@ -18,6 +18,7 @@ _QUERIES = {
     "op10_decontaminate": ("op10_decontamination", "op10_decontaminate"),
     "op11_packing": ("op11_packing", "op11_packing"),
     "op12_runs": ("op12_runs", "op12_runs"),
+    "op13_alignment": ("op13_alignment", "op13_alignment"),
 }
 _SQL = {"op2_mix": ("op2_mixing", "OP2_SQL"), "op9_warc": ("op9_warc", "OP9_SQL"), "op10_decontaminate": ("op10_decontamination", "OP10_SQL")}
 
