@@ -13,7 +13,9 @@ and a pair that all documents hold is one row a block.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import Scratch, chunks, held_by_worker, small_batches, table, text_column, written
-from ._tokens import CUT_BYTES, Encoder, gather_index, stretches, tokenizer_file
+from ._tokens import CUT_BYTES, gather_index, stretches, tokenizer_file
 
 #: Files of the tokenizers A (byte-level BPE) and B (BPE with byte fallback, which adds a space in front).
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text whose pairs are counted together, and words encoded in one line.
 BLOCK_BYTES, WORDS = 32 << 20, 200
+#: Stretches that a worker keeps between batches.
+HELD = 400_000
 _LOW = (1 << 32) - 1
 
 
@@ -52,22 +56,26 @@ class _Side:
         ends = np.cumsum(sizes)
         return self.flat[np.repeat(self.first[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of stretches. Words of letters behind one space go in lines of many: each begins with a token that begins with a space."""
-        out: list = [None] * len(texts)
-        words = [k for k, t in enumerate(texts) if t[:1] == " " and t[1:].isalpha()]
+    def ids(self, words: list[str], rest: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stretches, one after another, and how many each has. Words of letters behind one space go in lines of many:
+        each begins with a token that begins with a space."""
+        flat, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a in range(0, len(words), WORDS):
             here = words[a : a + WORDS]
-            got = np.array(self.line("".join([texts[k] for k in here])), np.int64)
+            got = np.array(self.line("".join(here)), np.int64)
             at = np.flatnonzero(self.spaced[got])
             if len(at) == len(here) and at[0] == 0:
-                at = [*at.tolist(), len(got)]
-                for k, x, y in zip(here, at, at[1:], strict=False):
-                    out[k] = got[x:y]
-        rest = [k for k, x in enumerate(out) if x is None]
-        for k, x in zip(rest, self.each([texts[k] for k in rest]), strict=True):
-            out[k] = np.array(x, np.int64)
-        return out
+                flat.append(got)
+                sizes.append(np.diff(np.append(at, len(got))))
+            else:
+                self._each(here, flat, sizes)
+        self._each(rest, flat, sizes)
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _each(self, texts: list[str], flat: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        got = self.each(texts)
+        sizes.append(np.array(list(map(len, got)), np.int64))
+        flat.append(np.array(list(chain.from_iterable(got)), np.int64))
 
 
 class _First(_Side):
@@ -131,44 +139,78 @@ def _unique_sum(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys[first], np.add.reduceat(values[order], first) if len(first) else values[:0]
 
 
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(sizes)))
+
+
 class Aligner:
-    """Both tokenizers, and what is known of a stretch: (n_a, n_b, n_groups, n_links, groups, pairs, times), or None if either
-    tokenizer's bytes are not the stretch's. groups is `a1,a2|b1;` for each group; pairs are A id << 32 | B id, each with the
-    times that it is linked."""
+    """Both tokenizers, and what is known of stretches, by number: n_a, n_b, n_groups and n_links, the groups' text as
+    `a1,a2|b1;` for each, and the pairs (A id << 32 | B id) with the times that each is linked. A stretch that either
+    tokenizer changes is not `right`."""
 
     def __init__(self, first: str, second: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.a, self.b = _First(first), _Second(second)
         n, m = len(self.a.sizes), len(self.b.sizes)
-        self.said = [b"%d%s" % (i, end) for size in (n, m) for end in (b",", b"|" if size == n else b";") for i in range(size)]
+        self.said = [b"%d%s" % (i, end) for size, last in ((n, b"|"), (m, b";")) for end in (b",", last) for i in range(size)]
+        self.said_size = np.array(list(map(len, self.said)), np.int64)
         self.base = np.array([0, n, 2 * n, 2 * n + m])
-        self.encoder = Encoder(self.aligned, lambda x: len(x[4]) + len(x[5]) + len(x[6]) + 200 if x else 16)
-
-    def aligned(self, texts: list[str]) -> list[tuple | None]:
-        out: list = [None] * len(texts)
-        ids_a, ids_b = self.a.ids(texts), self.b.ids(texts)
-        raw = [t.encode() for t in texts]
-        good = [k for k, x in enumerate(raw) if len(x) == self.a.sizes[ids_a[k]].sum() == self.b.sizes[ids_b[k]].sum() and x]
-        if not good:
-            return out
-        flat = np.frombuffer(b"".join([raw[k] for k in good]), np.uint8)
-        sizes = np.array([len(raw[k]) for k in good])
-        wrong = np.zeros(len(flat), bool)
-        for side, ids in ((self.a, ids_a), (self.b, ids_b)):
-            wrong |= side.bytes_of(np.concatenate([ids[k] for k in good])) != flat
-        if wrong.any():
-            bad = np.add.reduceat(wrong, np.cumsum(sizes) - sizes, dtype=np.int64) > 0
-            good = [k for k, x in zip(good, bad.tolist(), strict=True) if not x]
-            if not good:
-                return out
-        of_a, of_b = np.array([len(ids_a[k]) for k in good]), np.array([len(ids_b[k]) for k in good])
-        a, b = np.concatenate([ids_a[k] for k in good]), np.concatenate([ids_b[k] for k in good])
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.numbers, self.right, self.text = np.zeros((0, 4), np.int64), np.zeros(0, bool), []
+        self.pair_ends, self.pairs, self.times = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def known(self, distinct: pa.Array) -> np.ndarray:
+        """The numbers of stretches; new ones are aligned."""
+        if len(self.number) > HELD:
+            self.forget()
+        texts = distinct.to_pylist()
+        got = np.fromiter(map(self.number.get, texts, repeat(-1)), np.int64, len(texts))
+        missing = np.flatnonzero(got < 0).tolist()
+        if missing:
+            plain = [k for k in missing if texts[k][:1] == " " and texts[k][1:].isalpha()]
+            is_plain = set(plain)
+            order = [*plain, *(k for k in missing if k not in is_plain)]
+            got[order] = len(self.number) + np.arange(len(order))
+            self.number.update(zip(map(texts.__getitem__, order), range(len(self.number), len(self.number) + len(order)), strict=True))
+            self._learn([texts[k] for k in plain], [texts[k] for k in order[len(plain) :]])
+        return got
+
+    def _learn(self, words: list[str], rest: list[str]) -> None:
+        raw = [t.encode() for t in chain(words, rest)]
+        sizes = np.array(list(map(len, raw)), np.int64)
+        (a, of_a), (b, of_b) = self.a.ids(words, rest), self.b.ids(words, rest)
+        there = [np.diff(_ends(side.sizes[x])[_ends(of)]) for side, x, of in ((self.a, a, of_a), (self.b, b, of_b))]
+        right = (there[0] == sizes) & (there[1] == sizes)
+        flat = np.frombuffer(b"".join(raw), np.uint8)[np.repeat(right, sizes)]
+        wrong = (self.a.bytes_of(a[np.repeat(right, of_a)]) != flat) | (self.b.bytes_of(b[np.repeat(right, of_b)]) != flat)
+        right[right] = np.diff(_ends(wrong)[_ends(sizes[right])]) == 0
+        a, b = a[np.repeat(right, of_a)], b[np.repeat(right, of_b)]
+        numbers, n = np.zeros((len(sizes), 4), np.int64), int(right.sum())
+        numbers[right, 0], numbers[right, 1] = of_a[right], of_b[right]
+        text, pairs_of = [b""] * len(sizes), np.zeros(len(sizes), np.int64)
+        if n:
+            groups, links, spelt, ends, pair, times, size = self._groups(a, b, numbers[right, 0], numbers[right, 1])
+            numbers[right, 2], numbers[right, 3], pairs_of[right] = groups, links, size
+            ends = ends.tolist()
+            for k, x, y in zip(np.flatnonzero(right).tolist(), ends, ends[1:], strict=False):
+                text[k] = spelt[x:y]
+            self.pairs, self.times = np.concatenate((self.pairs, pair)), np.concatenate((self.times, times))
+        self.numbers, self.right = np.concatenate((self.numbers, numbers)), np.concatenate((self.right, right))
+        self.pair_ends = np.concatenate((self.pair_ends, self.pair_ends[-1] + np.cumsum(pairs_of)))
+        self.text += text
+
+    def _groups(self, a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> tuple:
+        """Of stretches with tokens a and b: numbers of groups and links, all groups' text and its ends, all pairs, their times
+        and how many each stretch has."""
+        n = len(of_a)
         _, _, group_a, group_b = owners(self.a.sizes[a], self.b.sizes[b])
         n_groups = int(group_a[-1]) + 1
         in_a, in_b = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
-        row_of_group = np.repeat(np.arange(len(good)), of_a)[np.cumsum(in_a) - in_a]  # a group lies in one stretch
-        groups = np.bincount(row_of_group, minlength=len(good))
-        links = np.bincount(row_of_group, weights=in_a * in_b, minlength=len(good)).astype(np.int64)
-        # the text of the groups
+        stretch = np.repeat(np.arange(n), of_a)[np.cumsum(in_a) - in_a]  # a group lies in one stretch
+        links = np.diff(_ends(in_a * in_b)[np.searchsorted(stretch, np.arange(n + 1))])
         base = np.cumsum(in_a + in_b) - in_a - in_b
         at_a = base[group_a] + np.arange(len(a)) - (np.cumsum(in_a) - in_a)[group_a]
         at_b = (base + in_a)[group_b] + np.arange(len(b)) - (np.cumsum(in_b) - in_b)[group_b]
@@ -176,25 +218,23 @@ class Aligner:
         last_b = np.concatenate((group_b[1:] != group_b[:-1], [True]))
         word = np.empty(len(a) + len(b), np.int64)
         word[at_a], word[at_b] = a + self.base[last_a.astype(int)], b + self.base[2 + last_b.astype(int)]
-        said = list(map(self.said.__getitem__, word.tolist()))
+        spelt = b"".join(map(self.said.__getitem__, word.tolist()))
+        ends = _ends(self.said_size[word])[_ends(of_a + of_b)]
         # pairs: distinct ids of A and of B in a group, times how often each is there
         (key_a, times_a), (key_b, times_b) = (_unique_sum(g << 32 | x, np.ones(len(x), np.int64)) for g, x in ((group_a, a), (group_b, b)))
-        first_b = np.searchsorted(key_b >> 32, np.arange(n_groups + 1))
-        index, _ = gather_index(np.diff(first_b), key_a >> 32)
-        left = np.repeat(np.arange(len(key_a)), np.diff(first_b)[key_a >> 32])
+        each = np.diff(np.searchsorted(key_b >> 32, np.arange(n_groups + 1)))
+        index, _ = gather_index(each, key_a >> 32)
+        left = np.repeat(np.arange(len(key_a)), each[key_a >> 32])
         pair = (key_a[left] & _LOW) << 32 | (key_b[index] & _LOW)
-        times = times_a[left] * times_b[index]
-        row = row_of_group[key_a[left] >> 32]
+        times, row = times_a[left] * times_b[index], stretch[key_a[left] >> 32]
         order = np.lexsort((pair, row))
         pair, times, row = pair[order], times[order], row[order]
         new = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (row[1:] != row[:-1]))))
-        times, pair, row = np.add.reduceat(times, new), pair[new].tobytes(), row[new]
-        cut = (8 * np.searchsorted(row, np.arange(len(good) + 1))).tolist()
-        times = times.tobytes()
-        ends = np.concatenate(([0], np.cumsum(of_a + of_b))).tolist()
-        for j, k in enumerate(good):
-            out[k] = int(of_a[j]), int(of_b[j]), int(groups[j]), int(links[j]), b"".join(said[ends[j] : ends[j + 1]]), pair[cut[j] : cut[j + 1]], times[cut[j] : cut[j + 1]]
-        return out
+        return np.bincount(stretch, minlength=n), links, spelt, ends, pair[new], np.add.reduceat(times, new), np.bincount(row[new], minlength=n)
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    return np.concatenate((np.zeros((1, x.shape[1]), np.int64), np.cumsum(x, axis=0)))
 
 
 class _Block:
@@ -239,24 +279,19 @@ def aligned_rows(docs: DataFrame, first: str, second: str, spell: bool) -> DataF
             col = text_column(b, "text")
             for x, z in chunks(col, CUT_BYTES):
                 distinct, codes, bounds = stretches(col[x:z])
-                got = known.encoder.of(distinct.to_pylist())
+                got = known.known(distinct)
                 n = z - x
-                wrong = np.array([g is None for g in got])
-                numbers = np.array([g[:4] if g else (0, 0, 0, 0) for g in got], np.int64).reshape(-1, 4)
-                ends = np.concatenate((np.zeros((1, 4), np.int64), np.cumsum(numbers[codes], axis=0)))
-                ends_wrong = np.concatenate(([0], np.cumsum(wrong[codes])))
-                empty = np.array(col[x:z].is_valid()) & (np.diff(np.frombuffer(col.buffers()[1], np.int32)[col.offset + x : col.offset + z + 1]) == 0)
-                good = (np.diff(ends_wrong[bounds]) == 0) & ~empty
+                ends = _sums(known.numbers[got][codes])
+                empty = np.diff(np.frombuffer(col.buffers()[1], np.int32)[col.offset + x : col.offset + z + 1]) == 0
+                good = (np.diff(_ends(~known.right[got][codes])[bounds]) == 0) & ~empty
                 sums = np.diff(ends[bounds], axis=0) * good[:, None]
-                text = [g[4] if g else b"" for g in got]
-                said = list(map(text.__getitem__, codes.tolist()))
+                said = list(map([known.text[k] for k in got.tolist()].__getitem__, codes.tolist()))
                 groups = [b"".join(said[p:q])[:-1] if ok else b"" for p, q, ok in zip(bounds.tolist(), bounds[1:].tolist(), good.tolist(), strict=False)]
                 shown = [g.decode() if spell or not g else hashlib.sha256(g).hexdigest() for g in groups]
                 # pairs of each document
-                sizes = np.array([len(g[5]) // 8 if g else 0 for g in got], np.int64)
-                pairs = np.frombuffer(b"".join([g[5] for g in got if g]), np.int64)
-                times = np.frombuffer(b"".join([g[6] for g in got if g]), np.int64)
-                keys, back = np.unique(pairs, return_inverse=True)
+                index, _ = gather_index(np.diff(known.pair_ends), got)
+                sizes, times = np.diff(known.pair_ends)[got], known.times[index]
+                keys, back = np.unique(known.pairs[index], return_inverse=True)
                 stretch = np.repeat(np.arange(n), np.diff(bounds))
                 held = np.flatnonzero(good[stretch])
                 index, ends_pairs = gather_index(sizes, codes[held])
