@@ -95,21 +95,46 @@ def values_sql(rows: list[tuple], fields: list[str]) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_value, r)) + ')' for r in rows)}) v({', '.join(fields)}))"
 
 
-def nodes(spark: SparkSession) -> DataFrame:
+#: Rows made by rule from all turns, so that queries over nodes and hits grow with the tables.
+_ID = "'c' || conv_id || '-' || {}"
+_TURN_NODES = f"""(SELECT {_ID.format('turn')} AS id, coalesce(text, '') AS text, CASE conv_id % 4 WHEN 0 THEN 'domain' WHEN 1 THEN 'global' WHEN 2 THEN 'project' ELSE 'galaxy' END AS layer, CASE WHEN role = 'user' THEN 'explicit' ELSE 'automatic' END AS source,
+CASE turn % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'sure' END AS confidence, turn % 3 AS support_count, 'project:' || conv_id % 9 AS scope, 't' || turn % 5 AS topic,
+CASE WHEN conv_id % 11 = 3 THEN '' ELSE '2025-0' || (1 + conv_id % 6) || '-0' || (1 + turn % 9) || 'T00:00:00Z' END AS first_seen, CASE WHEN conv_id % 11 = 3 THEN '' ELSE '2025-0' || (1 + (conv_id + turn) % 9) || '-1' || (turn % 9) || 'T00:00:00Z' END AS last_seen,
+CASE WHEN turn % 3 = 2 THEN [{_ID.format('(turn - 2)')}] WHEN conv_id % 17 = 5 THEN ['gone'] ELSE [] END AS supersedes, CASE WHEN turn % 3 = 0 AND conv_id % 2 = 0 THEN [{_ID.format('(turn + 2)')}] ELSE [] END AS superseded_by,
+CASE WHEN turn % 4 = 3 THEN [{_ID.format('(turn - 1)')}] ELSE [] END AS contradicts, CASE WHEN turn % 4 = 2 AND conv_id % 3 = 0 THEN [{_ID.format('(turn + 1)')}] ELSE [] END AS contradicted_by,
+CASE WHEN turn = 5 AND conv_id % 7 = 1 THEN [{_ID.format('1')}] ELSE [] END AS deprecates, CASE WHEN turn = 1 AND conv_id % 7 = 1 THEN [{_ID.format('5')}] ELSE [] END AS deprecated_by,
+CASE WHEN turn > 0 THEN [{_ID.format('(turn - 1)')}] WHEN conv_id % 5 = 0 THEN [{_ID.format('3')}] ELSE [] END AS derived_from FROM conversations)"""
+_TURN_HITS = f"""(SELECT 100 + conv_id % 40 AS query_id, {_ID.format('turn')} AS id, 'p/' || conv_id || '/' || turn % 2 AS path, CASE turn % 3 WHEN 0 THEN 'memory' WHEN 1 THEN 'index' ELSE 'markdown' END AS kind, CASE WHEN turn % 3 = 1 THEN '' WHEN conv_id % 6 = 0 THEN 'global' ELSE 'project' END AS layer,
+CASE WHEN turn % 3 = 1 THEN '' ELSE 's' || conv_id % 3 END AS scope, CASE WHEN turn % 3 = 1 THEN '' ELSE 't' || turn % 4 END AS topic, 10 * length(coalesce(text, '')) + turn + 1 AS score, CASE WHEN role = 'user' THEN 'explicit' ELSE 'automatic' END AS source,
+CASE turn % 3 WHEN 0 THEN 'high' WHEN 1 THEN '' ELSE 'medium' END AS confidence, turn % 4 AS support_count, conv_id % 3 = 0 AS strict, turn % 5 = 4 AS low, turn % 2 = 0 AS fielded FROM conversations)"""
+
+
+def _by_rule(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A relation of SQL over the turns; Spark reads the lists of DuckDB as array()."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    for old, new in (("[]", "CAST(array() AS ARRAY<STRING>)"), ("['", "array('"), ("']", "')"), ("]", ")")):
+        sql = sql.replace(old, new)
+    return spark.sql(f"SELECT * FROM {sql.replace('FROM conversations', 'FROM {turns}')}", turns=turns)
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of all turns, and those by hand."""
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(NODES, "id string, text string, layer string, source string, confidence string, support_count long, scope string, topic string, first_seen string, last_seen string, " + ", ".join(f"{c} string" for c in LINKS))
-    return df.withColumns({c: F.filter(F.split(c, ","), lambda x: x != "") for c in LINKS})
+    return df.withColumns({c: F.filter(F.split(c, ","), lambda x: x != "") for c in LINKS}).unionByName(_by_rule(spark, sf_dir, _TURN_NODES))
 
 
 def nodes_sql() -> str:
     lists = ", ".join(f"list_filter(string_split({c}, ','), lambda x: x <> '') AS {c}" for c in LINKS)
-    return f"(SELECT {', '.join(_NODE_FIELDS[:10])}, {lists} FROM {values_sql(NODES, _NODE_FIELDS)})"
+    return f"(SELECT {', '.join(_NODE_FIELDS[:10])}, {lists} FROM {values_sql(NODES, _NODE_FIELDS)} UNION ALL BY NAME FROM {_TURN_NODES})"
 
 
-def hits(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(HITS, "query_id long, id string, path string, kind string, layer string, scope string, topic string, score long, source string, confidence string, support_count long, strict boolean, low boolean, fielded boolean")
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of all turns, and those by hand."""
+    df = spark.createDataFrame(HITS, "query_id long, id string, path string, kind string, layer string, scope string, topic string, score long, source string, confidence string, support_count long, strict boolean, low boolean, fielded boolean")
+    return df.unionByName(_by_rule(spark, sf_dir, _TURN_HITS))
 
 
 def hits_sql() -> str:
-    return values_sql(HITS, _HIT_FIELDS)
+    return f"(FROM {values_sql(HITS, _HIT_FIELDS)} UNION ALL BY NAME FROM {_TURN_HITS})"

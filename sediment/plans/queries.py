@@ -226,10 +226,13 @@ def secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASE WHEN fresh THEN old WHEN gone <> '' THEN gone WHEN worn <> '' THEN worn END AS target
 FROM (SELECT *, coalesce(old <> '' AND new <> '' AND lower(old) <> lower(new), false) AS fresh FROM (SELECT id, text,
 {_normal(f"regexp_extract(text, '{T.REFRESH}', 1)")} AS old, {_normal(f"regexp_extract(text, '{T.REFRESH}', 2)")} AS new,
-{_normal(f"regexp_extract(text, '{T.DELETION}', 1)")} AS gone, {_normal(f"regexp_extract(text, '{T.DEPRECATION}', 1)")} AS worn FROM {X.values_sql(X.FACTS, ['id', 'text'])}))""")
+{_normal(f"regexp_extract(text, '{T.DELETION}', 1)")} AS gone, {_normal(f"regexp_extract(text, '{T.DEPRECATION}', 1)")} AS worn FROM (FROM {X.values_sql(X.FACTS, ['id', 'text'])} UNION ALL SELECT 1000 + conv_id * 1000 + turn, CASE turn % 4 WHEN 0 THEN 'Updated fact: ' || f || ' => ' || role || ' said so' WHEN 1 THEN 'Deleted fact: ' || f WHEN 2 THEN 'deprecating fact: ' || f ELSE f END FROM (SELECT conv_id, turn, role, {_compact('text')} AS f FROM conversations))))""")
 def refresh_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts that replace, delete or deprecate others, and what they aim at."""
-    return spark.createDataFrame(X.FACTS, "id long, text string").select("id", T.refresh_targets(F.col("text")).alias("r")).select("id", "r.text", "r.target")
+    """Facts that replace, delete or deprecate others, and what they aim at: all turns, told as such facts, and made-up ones."""
+    turns = _table(spark, sf_dir, "conversations").withColumn("f", T.compact_whitespace(F.col("text")))
+    said = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("Updated fact: "), "f", F.lit(" => "), "role", F.lit(" said so"))).when(F.col("turn") % 4 == 1, F.concat(F.lit("Deleted fact: "), "f")).when(F.col("turn") % 4 == 2, F.concat(F.lit("deprecating fact: "), "f")).otherwise(F.col("f"))
+    facts = spark.createDataFrame(X.FACTS, "id long, text string").unionByName(turns.select((1000 + F.col("conv_id") * 1000 + F.col("turn")).alias("id"), said.alias("text")))
+    return facts.select("id", T.refresh_targets(F.col("text")).alias("r")).select("id", "r.text", "r.target")
 
 
 @_query(f"""WITH p AS (SELECT a.conv_id, a.turn, coalesce(b.text, '') AS answer, coalesce(a.text, '') AS reference FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
@@ -243,14 +246,17 @@ def answer_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("conv_id", "turn", F.when(verdict == "miss", "other").otherwise(verdict).alias("verdict"))
 
 
-@_query(f"""WITH a AS (SELECT id, list_filter(string_split({_answer('answer')}, ' '), lambda x: x <> '') AS w, list_filter(string_split({_answer('reference')}, ' '), lambda x: x <> '') AS r FROM {X.values_sql(X.ANSWERS, ['id', 'answer', 'reference'])}),
+@_query(f"""WITH a AS (SELECT id, list_filter(string_split({_answer('answer')}, ' '), lambda x: x <> '') AS w, list_filter(string_split({_answer('reference')}, ' '), lambda x: x <> '') AS r FROM (FROM {X.values_sql(X.ANSWERS, ['id', 'answer', 'reference'])} UNION ALL SELECT 1000 + a.p_partkey, a.p_name || ' ' || a.p_type, b.p_name FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)),
 p AS (SELECT id, r, least(len(w), len(r)) AS n, list_slice(w, i, i + least(len(w), len(r)) - 1) AS piece FROM (SELECT *, unnest(range(1, greatest(len(w) - least(len(w), len(r)) + 1, 1) + 1)) AS i FROM a)),
 f AS (SELECT id, CASE WHEN n < 1 THEN 0.0 ELSE 2.0 * list_sum(list_transform(list_distinct(r), lambda t: least(len(list_filter(piece, lambda x: x = t)), len(list_filter(r, lambda x: x = t))))) / (len(piece) + len(r)) END AS f1 FROM p)
 SELECT id, round(max(CAST(f1 AS DOUBLE)), 9) AS f1, max(f1) >= 0.8 AS passed FROM f GROUP BY id""")
 def answer_token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token F1 of answers against their references."""
+    """Token F1 of answers against their references: of each part against the next one's name, and made-up ones."""
+    parts = _table(spark, sf_dir, "part")
+    answers = parts.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("answer")).join(parts.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("reference")), "p_partkey")
+    rows = spark.createDataFrame(X.ANSWERS, "id long, answer string, reference string").unionByName(answers.select((1000 + F.col("p_partkey")).alias("id"), "answer", "reference"))
     f1 = evaluate.token_f1(F.col("answer"), F.col("reference"))
-    return spark.createDataFrame(X.ANSWERS, "id long, answer string, reference string").select("id", F.round(f1, 9).alias("f1"), (f1 >= 0.8).alias("passed"))
+    return rows.select("id", F.round(f1, 9).alias("f1"), (f1 >= 0.8).alias("passed"))
 
 
 # Ingestion.
@@ -358,10 +364,20 @@ SELECT current_id, old_id, relation FROM (SELECT current_id, old_id, CASE WHEN o
 WHEN narrower AND list_has_all({_list(consolidate.DETAIL_WORDS)}, list_filter(y, lambda w: NOT list_contains(x, w))) THEN 'partial_supersession' WHEN narrower THEN 'scope_review' WHEN ratio >= 0.45 THEN 'overlap_review' ELSE '' END AS relation FROM r) WHERE relation <> ''"""
 
 
-@_query(_pairs_sql(X.values_sql(X.PAIRS, ["id", "text"])))
+_FACT_PAIRS = f"(FROM {X.values_sql(X.PAIRS, ['id', 'text'])} UNION ALL SELECT 1000 + p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'never keep ' WHEN 1 THEN 'always include ' ELSE '' END || p_name FROM part)"
+
+
+def _fact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The made-up facts, which have a pair of each kind, and all parts' names, told for, against or neither."""
+    told = F.concat(F.when(F.col("p_partkey") % 3 == 0, "never keep ").when(F.col("p_partkey") % 3 == 1, "always include ").otherwise(""), "p_name")
+    parts = _table(spark, sf_dir, "part").select((1000 + F.col("p_partkey")).alias("id"), told.alias("text"))
+    return consolidate.related_pairs(spark.createDataFrame(X.PAIRS, "id long, text string").unionByName(parts))
+
+
+@_query(_pairs_sql(_FACT_PAIRS))
 def related_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relations of the made-up facts, one for each kind."""
-    return consolidate.related_pairs(spark.createDataFrame(X.PAIRS, "id long, text string"))
+    """Relations of made-up facts, one for each kind, and of the parts' names."""
+    return _fact_pairs(spark, sf_dir)
 
 
 _PARTS_SQL = _pairs_sql("(SELECT p_partkey AS id, p_name || ' ' || p_brand || ' ' || p_type || ' size ' || p_size AS text FROM part)")
@@ -383,29 +399,34 @@ def fact_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate.fact_classes(parts.unionByName(_table(spark, sf_dir, "documents").select((-F.col("doc_id") - 1).alias("id"), F.left("text", F.lit(120)).alias("text"))))
 
 
-_CANDIDATES = f"""r AS ({_pairs_sql(X.values_sql(X.PAIRS, ["id", "text"]))}), c AS (SELECT *, CAST(current_id AS VARCHAR) || '|' || CAST(old_id AS VARCHAR) AS pair, CASE relation {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in review.REASONS.items())} END AS reason FROM r WHERE relation <> 'partial_supersession'),
+_CANDIDATES = f"""r AS ({_pairs_sql(_FACT_PAIRS)}), c AS (SELECT *, CAST(current_id AS VARCHAR) || '|' || CAST(old_id AS VARCHAR) AS pair, CASE relation {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in review.REASONS.items())} END AS reason FROM r WHERE relation <> 'partial_supersession'),
 q AS (SELECT sha256(pair) AS candidate_id, current_id, old_id, reason, sha256(pair || '|' || relation) AS fingerprint FROM c)"""
 
 
-def _candidates(spark: SparkSession) -> DataFrame:
-    return review.review_candidates(consolidate.related_pairs(spark.createDataFrame(X.PAIRS, "id long, text string")))
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.review_candidates(_fact_pairs(spark, sf_dir))
 
 
 @_query(f"WITH {_CANDIDATES} SELECT * FROM q")
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The made-up facts' pairs to review."""
-    return _candidates(spark)
+    """The facts' pairs to review."""
+    return _candidates(spark, sf_dir)
 
 
-@_query(f"""WITH {_CANDIDATES}, d AS (SELECT decision_id, sha256(pair) AS candidate_id, sha256(pair || '|' || relation) AS fingerprint, action FROM {X.values_sql(X.DECISIONS, ["decision_id", "pair", "relation", "action"])}),
+@_query(f"""WITH {_CANDIDATES}, d AS (SELECT decision_id, sha256(pair) AS candidate_id, sha256(pair || '|' || relation) AS fingerprint, action FROM {X.values_sql(X.DECISIONS, ["decision_id", "pair", "relation", "action"])}
+UNION ALL SELECT 1000000000 + (current_id * 1000000 + old_id) * 10 + again, candidate_id, CASE WHEN old_id % 3 = 0 THEN 'outdated' ELSE fingerprint END, CASE (current_id + again * (old_id % 2)) % 4 WHEN 0 THEN 'merge' WHEN 1 THEN 'ignore' ELSE 'approve' END FROM q, (VALUES (0), (1)) v(again) WHERE current_id > 1000 AND (again = 0 OR current_id % 5 = 0)),
 s AS (SELECT candidate_id, count(DISTINCT action) AS actions, min(decision_id) AS first FROM d GROUP BY 1)
 SELECT decision_id, CASE WHEN actions > 1 THEN 'conflicting' WHEN decision_id <> first THEN 'duplicate' WHEN q.fingerprint IS NULL THEN 'unknown' WHEN d.fingerprint <> q.fingerprint THEN 'stale' WHEN action = 'approve' THEN 'applied' WHEN action = 'ignore' THEN 'ignored' ELSE 'unsafe' END AS status
 FROM d JOIN s USING (candidate_id) LEFT JOIN q ON q.candidate_id = d.candidate_id""")
 def decision_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Made-up decisions held against that queue."""
+    """Decisions held against that queue: made-up ones, and one or two for each pair of parts."""
+    queue = _candidates(spark, sf_dir)
+    parts = queue.filter("current_id > 1000").withColumn("again", F.explode(F.when(F.col("current_id") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    turn = (F.col("current_id") + F.col("again") * (F.col("old_id") % 2)) % 4
+    ruled = parts.select((1000000000 + (F.col("current_id") * 1000000 + F.col("old_id")) * 10 + F.col("again")).alias("decision_id"), "candidate_id", F.when(F.col("old_id") % 3 == 0, "outdated").otherwise(F.col("fingerprint")).alias("fingerprint"), F.when(turn == 0, "merge").when(turn == 1, "ignore").otherwise("approve").alias("action"))
     told = spark.createDataFrame(X.DECISIONS, "decision_id long, pair string, relation string, action string")
     made = told.select("decision_id", F.sha2("pair", 256).alias("candidate_id"), F.sha2(F.concat_ws("|", "pair", "relation"), 256).alias("fingerprint"), "action")
-    return review.decision_status(made, _candidates(spark))
+    return review.decision_status(made.unionByName(ruled), queue)
 
 
 @_query(f"WITH r AS ({_PARTS_SQL}), c AS (SELECT *, CASE relation {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in review.REASONS.items())} END AS reason FROM r) SELECT current_id, reason, min(old_id) AS representative_id, count(*) AS n_older FROM c WHERE reason IS NOT NULL GROUP BY ALL")
@@ -418,13 +439,13 @@ _NODES = f"nodes AS (SELECT * FROM {X.nodes_sql()})"
 _TIME = lambda c: f"TRY_CAST({c} AS TIMESTAMPTZ)"
 _ORDERED = f"coalesce({_TIME('first_seen')} <= {_TIME('last_seen')}, false)"
 _VALID = f"({_ORDERED} OR (first_seen = '' AND last_seen = ''))"
-_INACTIVE = f"{_NODES}, gone AS (SELECT id FROM nodes WHERE NOT {_VALID} UNION SELECT id FROM nodes WHERE len(deprecates) > 0" + "".join(f" UNION SELECT dst FROM (SELECT id, unnest({f}) AS dst FROM nodes WHERE {_VALID}) WHERE id <> dst" for f in consolidate.LINKS) + ")"
+_INACTIVE = f"{_NODES}, gone AS (SELECT id FROM nodes WHERE NOT {_VALID} UNION SELECT id FROM nodes WHERE len(deprecates) > 0" + "".join(f" UNION SELECT dst FROM (SELECT id, unnest({f}) AS dst FROM nodes WHERE {_VALID}) WHERE id <> dst AND dst IN (SELECT id FROM nodes)" for f in consolidate.LINKS) + ")"
 
 
 @_query(f"WITH {_INACTIVE} SELECT id, NOT id IN (SELECT id FROM gone) AS active FROM nodes")
 def active_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of the made-up nodes are active."""
-    nodes = X.nodes(spark)
+    """Which of the nodes of all turns and the made-up ones are active."""
+    nodes = X.nodes(spark, sf_dir)
     gone = consolidate.inactive_ids(nodes).withColumn("gone", F.lit(True))
     return nodes.join(gone, "id", "left").select("id", F.col("gone").isNull().alias("active"))
 
@@ -432,28 +453,28 @@ def active_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_NODES}, " + ", ".join(f"f_{a} AS (SELECT DISTINCT id AS src, unnest({a}) AS dst FROM nodes), f_{b} AS (SELECT DISTINCT unnest({b}) AS src, id AS dst FROM nodes)" for a, b in consolidate.LINKS.items()) + " " + " UNION ALL ".join(f"SELECT '{a}' AS relation, * FROM (FROM f_{a} EXCEPT FROM f_{b}) UNION ALL SELECT '{b}', * FROM (FROM f_{b} EXCEPT FROM f_{a})" for a, b in consolidate.LINKS.items()))
 def one_sided_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links without their counterpart."""
-    return consolidate.one_sided_links(X.nodes(spark))
+    return consolidate.one_sided_links(X.nodes(spark, sf_dir))
 
 
 @_query(f"""WITH RECURSIVE {_NODES}, l AS (SELECT DISTINCT id AS src, unnest(derived_from) AS dst FROM nodes),
 w AS (SELECT src, dst, 1 AS steps FROM l UNION ALL SELECT w.src, l.dst, steps + 1 FROM w JOIN l ON w.dst = l.src WHERE steps < 4)
 SELECT src, dst, min(steps) AS steps FROM w GROUP BY ALL""")
 def support_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each made-up node derives from, four steps deep."""
-    return consolidate.reached(X.nodes(spark).select(F.col("id").alias("src"), F.explode("derived_from").alias("dst")), 4)
+    """What each node derives from, four steps deep."""
+    return consolidate.reached(X.nodes(spark, sf_dir).select(F.col("id").alias("src"), F.explode("derived_from").alias("dst")), 4)
 
 
 @_query(f"WITH {_INACTIVE}, k AS (SELECT nodes.*, gl FROM nodes, (SELECT list(id) AS gl FROM gone) WHERE NOT list_contains(gl, id)) SELECT id, {', '.join(f"array_to_string(list_filter({f}, lambda x: NOT list_contains(gl, x)), ',') AS {f}" for f in X.LINKS)} FROM k")
 def reconciled_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Active made-up nodes without references to inactive ones."""
-    nodes = X.nodes(spark)
+    """Active nodes, of all turns and made up, without references to inactive ones."""
+    nodes = X.nodes(spark, sf_dir)
     return review.settled_nodes(nodes, consolidate.inactive_ids(nodes), X.LINKS).select("id", *(F.array_join(f, ",").alias(f) for f in X.LINKS))
 
 
 @_query(f"WITH {_NODES}, m AS (SELECT max({_TIME('last_seen')}) AS newest FROM nodes) SELECT id, date_diff('day', {_TIME('last_seen')}, newest) AS age_days FROM nodes, m WHERE support_count = 1 AND source = 'automatic' AND newest - {_TIME('last_seen')} >= INTERVAL 180 DAY AND len(superseded_by) = 0")
 def stale_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Automatic nodes of one support, unseen for 180 days before the newest."""
-    seen = X.nodes(spark).withColumn("seen", T.parse_timestamp(F.col("last_seen")))
+    seen = X.nodes(spark, sf_dir).withColumn("seen", T.parse_timestamp(F.col("last_seen")))
     newest = seen.agg(F.max("seen").alias("newest"))
     old = seen.crossJoin(F.broadcast(newest)).filter((F.col("support_count") == 1) & (F.col("source") == "automatic") & (F.size("superseded_by") == 0) & (F.col("newest") >= F.col("seen") + F.expr("INTERVAL 180 DAYS")))
     return old.select("id", F.date_diff("newest", "seen").cast("long").alias("age_days"))
@@ -474,15 +495,15 @@ _RULES = {
 
 @_query(f"WITH {_NODES} " + " UNION ALL ".join(f"SELECT id, '{k}' AS violation FROM nodes WHERE {r}" for k, r in _RULES.items()))
 def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is wrong with the made-up nodes."""
-    return audit.contract_violations(X.nodes(spark))
+    """What is wrong with the nodes of all turns and the made-up ones."""
+    return audit.contract_violations(X.nodes(spark, sf_dir))
 
 
 @_query(f"WITH {_NODES} SELECT id, CAST(CASE WHEN source = 'explicit' THEN 350 ELSE 0 END + CASE confidence WHEN 'high' THEN 110 WHEN 'medium' THEN 40 WHEN 'low' THEN -100 ELSE 0 END + CASE WHEN source = 'automatic' AND support_count = 0 THEN -40 ELSE 0 END + CASE layer WHEN 'global' THEN 120 WHEN 'domain' THEN 80 WHEN 'project' THEN 40 ELSE 0 END + CASE WHEN layer = 'project' THEN 240 WHEN layer IN ('global', 'domain') THEN -900 ELSE 0 END AS BIGINT) AS prior FROM nodes")
 def rank_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Priors of the made-up nodes, the project layer preferred."""
+    """Priors of the nodes of all turns and the made-up ones, the project layer preferred."""
     prior = search.rank_priors(F.col("source"), F.col("confidence"), F.col("layer"), F.col("support_count"), "project")
-    return X.nodes(spark).select("id", prior.cast("long").alias("prior"))
+    return X.nodes(spark, sf_dir).select("id", prior.cast("long").alias("prior"))
 
 
 # Prunes.
@@ -492,29 +513,29 @@ _KEYED = "(layer <> '' AND scope <> '' AND topic <> '')"
 
 @_query(f"SELECT query_id, id, score FROM {X.hits_sql()} h QUALIFY NOT {_KEYED} OR row_number() OVER (PARTITION BY query_id, layer, scope, topic ORDER BY score DESC, id DESC) = 1")
 def best_per_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.prune_topics(X.hits(spark), "query_id").select("query_id", "id", "score")
+    return search.prune_topics(X.hits(spark, sf_dir), "query_id").select("query_id", "id", "score")
 
 
 @_query(f"SELECT query_id, id, score FROM {X.hits_sql()} h QUALIFY score >= floor(max(score) OVER (PARTITION BY query_id) * CAST(0.99 AS DOUBLE))")
 def score_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.prune_low_scores(X.hits(spark), "query_id").select("query_id", "id", "score")
+    return search.prune_low_scores(X.hits(spark, sf_dir), "query_id").select("query_id", "id", "score")
 
 
 @_query(f"SELECT query_id, id, score FROM {X.hits_sql()} h QUALIFY NOT bool_or(layer = 'global') OVER (PARTITION BY query_id) OR layer = 'global'")
 def preferred_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.prune_layers(X.hits(spark), "global", "query_id").select("query_id", "id", "score")
+    return search.prune_layers(X.hits(spark, sf_dir), "global", "query_id").select("query_id", "id", "score")
 
 
 @_query(f"""WITH h AS (SELECT *, {_KEYED} AS keyed FROM {X.hits_sql()}), a AS (SELECT query_id, id AS aid, layer AS al, scope AS asc_, topic AS at_, kind AS akind, keyed AS ak FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) = 1)
 SELECT query_id, id, score FROM h JOIN a USING (query_id) WHERE id = aid OR NOT ak OR NOT keyed OR (NOT (akind = 'memory' AND kind = 'memory' AND source = 'automatic' AND confidence = 'medium' AND support_count = 1 AND NOT strict AND layer = al AND topic = at_ AND scope <> asc_) AND (layer <> al OR topic = at_))""")
 def tail_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.prune_tails(X.hits(spark), "query_id").select("query_id", "id", "score")
+    return search.prune_tails(X.hits(spark, sf_dir), "query_id").select("query_id", "id", "score")
 
 
 @_query(f"""WITH h AS (SELECT *, CASE WHEN low THEN 0 WHEN NOT fielded THEN least(5, greatest(1, score // 50)) ELSE least(12, greatest(1, score // 25)) END AS bonus, row_number() OVER (PARTITION BY query_id, path ORDER BY score DESC, kind) AS k FROM {X.hits_sql()})
 SELECT query_id, path, CAST(max(score) + sum(CASE WHEN k > 1 THEN bonus ELSE 0 END) AS BIGINT) AS score, CASE WHEN count(DISTINCT kind) > 1 THEN 'mixed' ELSE min(kind) END AS kind FROM h GROUP BY ALL""")
 def merged_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.merged_hits(X.hits(spark)).select("query_id", "path", F.col("score").cast("long").alias("score"), "kind")
+    return search.merged_hits(X.hits(spark, sf_dir)).select("query_id", "path", F.col("score").cast("long").alias("score"), "kind")
 
 
 # Evaluation and audits.
@@ -564,14 +585,16 @@ def tag_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"SELECT CASE WHEN share >= 0.99 THEN '99+' WHEN share >= 0.95 THEN '95-99' WHEN share >= 0.85 THEN '85-95' WHEN share >= 0.5 THEN '50-85' ELSE '<50' END AS bucket, count(*) AS n_hits FROM (SELECT score / CAST(max(score) OVER (PARTITION BY query_id) AS DOUBLE) AS share FROM {X.hits_sql()} h) GROUP BY 1")
 def score_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.score_buckets(X.hits(spark))
+    return evaluate.score_buckets(X.hits(spark, sf_dir))
 
 
-@_query(f"""WITH h AS (SELECT * FROM {X.hits_sql()}), g AS (SELECT query_id, id AS gid, layer AS gl, scope AS gs, topic AS gt FROM h WHERE (query_id = 1 AND id = 'a') OR (query_id = 2 AND id = 'g'))
+@_query(f"""WITH h AS (SELECT * FROM {X.hits_sql()}), g AS (SELECT query_id, id AS gid, layer AS gl, scope AS gs, topic AS gt FROM h WHERE (query_id = 1 AND id = 'a') OR (query_id = 2 AND id = 'g') OR (query_id >= 100 AND id = (SELECT min(id) FROM h o WHERE o.query_id = h.query_id)))
 SELECT query_id, id, CASE WHEN layer = '' OR scope = '' OR topic = '' THEN 'incomplete' WHEN layer = gl AND scope = gs AND topic = gt THEN 'same_topic_and_scope' WHEN layer = gl AND topic = gt THEN 'same_topic_other_scope' WHEN layer = gl AND scope = gs THEN 'same_scope_other_topic' WHEN layer = gl THEN 'same_layer' WHEN topic = gt THEN 'same_topic_other_layer' ELSE 'unrelated' END AS relation
 FROM h JOIN g USING (query_id) WHERE id <> gid""")
 def noise_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.noise_relations(X.hits(spark), spark.createDataFrame([(1, "a"), (2, "g")], "query_id long, gold_id string"))
+    hits = X.hits(spark, sf_dir)
+    gold = spark.createDataFrame([(1, "a"), (2, "g")], "query_id long, gold_id string").unionByName(hits.filter("query_id >= 100").groupBy("query_id").agg(F.min("id").alias("gold_id")))
+    return evaluate.noise_relations(hits, gold)
 
 
 @_query("SELECT 'left' AS side, count(*) AS n_rows FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels) UNION ALL SELECT 'right', count(*) FROM (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM documents)")
