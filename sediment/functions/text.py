@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,6 +72,11 @@ def words(values: list[str]) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that it names more than once: the value is worked out once, and the expression stays small."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def compact_whitespace(text: Column) -> Column:
     """Runs of white space become one space; ends are trimmed. Null stays null."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))

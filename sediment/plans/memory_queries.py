@@ -80,7 +80,7 @@ def memory_text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select(F.lit("conversation").alias("origin"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     samples = spark.createDataFrame(_SAMPLES, "id long, text string").select(F.lit("sample").alias("origin"), "id", "text")
     rows = turns.unionByName(samples).withColumn("flat", T.compact_whitespace(F.col("text")))
-    return rows.select("origin", "id", *(v.cast("int").alias(k) for k, v in P.text_flags(F.col("text"), F.col("flat")).items()))
+    return P.with_text_flags(rows, "text", "flat").select("origin", "id", *(F.col(k).cast("int").alias(k) for k in ("noisy", *P.OF_TEXT, *P.OF_FLAT)))
 
 
 # Whole records.

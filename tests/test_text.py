@@ -33,7 +33,7 @@ LABELLED = {
 def test_each_predicate_tells_near_texts_apart(spark):
     rows = [(k, i, t) for k, pair in LABELLED.items() for i, t in enumerate(pair)]
     df = spark.createDataFrame(rows, "name string, i int, text string").withColumn("flat", T.compact_whitespace(F.col("text")))
-    for r in df.select("name", "i", *(v.alias(k) for k, v in filters.text_flags(F.col("text"), F.col("flat")).items())).collect():
+    for r in filters.with_text_flags(df, "text", "flat").collect():
         assert r[r["name"]] == (r["i"] == 0), (r["name"], r["i"])
     flags = list(LABELLED)
     seen = QUERIES["memory_text_flags"](spark, "/root/testdata/sf0.001").filter("origin = 'sample'").agg(*(F.sum(k).alias(k) for k in flags)).first()
