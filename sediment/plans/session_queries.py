@@ -113,3 +113,80 @@ def link_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = nodes.select(F.col("id").alias("src"), F.explode(F.concat("supersedes", "derived_from")).alias("dst"))
     hub = nodes.filter("confidence = 'low'").select(F.lit("hub").alias("src"), F.col("id").alias("dst")).unionByName(nodes.filter("layer = 'global' AND confidence = 'high'").select(F.col("id").alias("src"), F.lit("hub").alias("dst")))
     return graphs.cyclic_nodes(links.unionByName(hub))
+
+
+# Where facts come from.
+
+#: What turns of some sessions say, by rule, around their text.
+_FORMS = ["I prefer {}", "{}", "Reusable fact: {}", "{}", "my preference is that {}", "{}"]
+
+
+def _said_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns as events; each says its text in one of _FORMS, and every fifth repeats the turn before."""
+    c = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("position"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    before = c.select("session", (F.col("position") + 1).alias("position"), F.col("text").alias("before"))
+    text = F.when(F.pmod(F.col("session") + F.col("position"), F.lit(5)) == 0, F.coalesce("before", "text")).otherwise(F.col("text"))
+    said = F.lit("")
+    for k, form in enumerate(_FORMS):
+        said = F.when(F.pmod(F.col("session") + 2 * F.col("position"), F.lit(len(_FORMS))) == k, F.concat(F.lit(form[: form.index("{")]), text)).otherwise(said)
+    return c.join(before, ["session", "position"], "left").select("session", "position", "role", said.alias("text"))
+
+
+@_query()
+def fact_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts of all sessions (turns, and wishes as the user's facts) with their label and the turn that says them first."""
+    from ..functions import forms
+    from ..operators import provenance
+
+    events = _said_turns(spark, sf_dir)
+    wishes = events.filter("role = 'user'").select("session", forms.natural_memory(F.col("text")).alias("text")).filter("text is not null")
+    facts = events.select("session", "text").unionByName(wishes).distinct()
+    labelled = provenance.labelled_facts(facts, events, {"natural_user": wishes})
+    return provenance.source_events(labelled, events).select("session", F.sha2("text", 256).alias("fact_sha256"), "source", "source_position")
+
+
+_RECORDS_SQL = """t AS (SELECT conv_id, turn, 's/' || conv_id || '.jsonl' AS path, sha256(coalesce(text, '')) AS ev, turn + 1 AS line FROM conversations), r AS (SELECT path, sha256(string_agg(ev, ',' ORDER BY turn)) AS rec FROM t GROUP BY 1),
+w AS (SELECT conv_id, turn, path, CASE WHEN turn % 7 = 1 THEN sha256('old') ELSE rec END AS was_rec, CASE WHEN turn % 7 = 3 THEN line + 1000 ELSE line END AS was_line, CASE WHEN turn % 7 = 2 THEN sha256(ev) ELSE ev END AS was_ev FROM t JOIN r USING (path) WHERE turn % 7 < 5),
+a AS (SELECT *, CASE WHEN turn % 7 = 4 THEN left(sha256('forged' || conv_id || turn), 16) ELSE left(sha256(was_rec || chr(10) || was_line || chr(10) || '1' || chr(10) || was_ev), 16) END AS anchor FROM w)"""
+
+
+@_query(f"""WITH {_RECORDS_SQL}, q AS (SELECT t.conv_id * 1000 + t.turn AS ref_id, CASE WHEN t.turn % 7 = 6 THEN '../' || t.path ELSE 's/' || (t.conv_id + CASE WHEN t.conv_id % 31 = 7 THEN 1000000000 ELSE 0 END) || '.jsonl' END AS path, CASE WHEN t.turn % 7 >= 5 THEN 'L' || t.turn ELSE a.anchor END AS anchor FROM t LEFT JOIN a USING (conv_id, turn)),
+j AS (SELECT q.*, r.rec, a.was_rec, a.was_line, a.was_ev, n.ev AS now_ev FROM q LEFT JOIN r USING (path) LEFT JOIN a ON a.path = q.path AND a.anchor = q.anchor LEFT JOIN t n ON n.path = q.path AND n.line = a.was_line)
+SELECT ref_id, status[1] AS status, status[2] AS reason, status[1] = 'available' AS previewed FROM (SELECT ref_id, CASE WHEN starts_with(path, '..') THEN ['blocked', 'unsafe_source_ref'] WHEN rec IS NULL THEN ['unavailable', 'source_ref_not_in_archive'] WHEN NOT regexp_full_match(anchor, '[0-9a-f]{{16}}') THEN ['unavailable', 'legacy_source_anchor_unavailable']
+WHEN was_rec IS NULL THEN ['unavailable', 'source_anchor_unavailable'] WHEN left(sha256(was_rec || chr(10) || was_line || chr(10) || '1' || chr(10) || was_ev), 16) <> anchor THEN ['blocked', 'source_anchor_mismatch'] WHEN was_rec <> rec THEN ['blocked', 'source_hash_mismatch'] WHEN now_ev IS NULL THEN ['unavailable', 'source_anchor_missing'] WHEN now_ev <> was_ev THEN ['blocked', 'source_event_mismatch'] ELSE ['available', 'source_line_verified'] END AS status FROM j)""")
+def reference_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reference to every turn, good, tampered with or leading nowhere by rule, followed down to its line."""
+    from ..operators import provenance
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("s/"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("path"), "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("event_sha256"), (F.col("turn") + 1).alias("line"))
+    records = turns.groupBy("path").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "event_sha256"))), lambda x: x["event_sha256"]), ","), 256).alias("record_sha256"))
+    index = turns.join(records, "path").withColumn("ordinal", F.lit(1).cast("long"))
+    k = F.col("turn") % 7
+    was = index.filter(k < 5).select("conv_id", "turn", "path", F.when(k == 1, F.sha2(F.lit("old"), 256)).otherwise(F.col("record_sha256")).alias("record_sha256"), F.when(k == 3, F.col("line") + 1000).otherwise(F.col("line")).alias("line"), "ordinal", F.when(k == 2, F.sha2("event_sha256", 256)).otherwise(F.col("event_sha256")).alias("event_sha256"))
+    forged = F.left(F.sha2(F.concat(F.lit("forged"), F.col("conv_id").cast("string"), F.col("turn").cast("string")), 256), F.lit(16))
+    anchors = was.withColumn("anchor", F.when(k == 4, forged).otherwise(provenance.anchor_id(F.col("record_sha256"), F.col("line"), F.col("ordinal"), F.col("event_sha256"))))
+    asked = turns.join(anchors.select("conv_id", "turn", "anchor"), ["conv_id", "turn"], "left")
+    path = F.when(k == 6, F.concat(F.lit("../"), "path")).when(F.col("conv_id") % 31 == 7, F.concat(F.lit("s/"), (F.col("conv_id") + 1000000000).cast("string"), F.lit(".jsonl"))).otherwise(F.col("path"))
+    refs = asked.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ref_id"), F.concat(path, F.lit("#"), F.when(k >= 5, F.concat(F.lit("L"), F.col("turn").cast("string"))).otherwise(F.col("anchor"))).alias("raw_ref"))
+    return provenance.resolved_references(refs, anchors, index).select("ref_id", "status", "reason", F.col("preview").isNotNull().alias("previewed"))
+
+
+@_query()
+def session_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence of every session's summary: its turns as facts and decisions by rule, its last turn as the final state."""
+    from ..operators import summaries
+
+    turns = _said_turns(spark, sf_dir)
+    kind = F.when(F.col("role") == "user", F.when(F.col("text").startswith("I prefer"), "natural").otherwise("user")).when(F.col("text").startswith("Reusable fact"), "fact").otherwise(F.element_at(F.array(*map(F.lit, summaries.KINDS[2:7])), (F.pmod(F.col("position"), F.lit(5)) + 1).cast("int")))
+    last = turns.groupBy("session").agg(F.max_by("text", "position").alias("text"))
+    got = summaries.summary_evidence(turns.select("session", "position", kind.alias("kind"), "text"), last)
+    return got.select("session", F.size("evidence").cast("long").alias("n_evidence"), F.sha2(F.array_join("evidence", "\n"), 256).alias("evidence_sha256"))
+
+
+@_query()
+def title_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a title, its score, and what of it may last without narration."""
+    from ..functions import titles
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select("doc_id", titles.clean_title(F.col("text")).alias("title"), titles.title_score(F.col("text")).alias("score"), F.sha2(titles.durable_text(F.col("text")), 256).alias("durable_sha256"), F.sha2(titles.without_narration(F.col("text")), 256).alias("told_sha256"))
