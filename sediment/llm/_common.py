@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -120,3 +121,16 @@ def held_by_worker(key: object, make: Callable[[], object]) -> object:
         held.key = held.value = None  # the old one goes before the new one is made
         held.value, held.key = make(), key
     return held.value
+
+
+def free_held() -> None:
+    """Drop what a Python worker keeps for another operator, and give freed memory back to the system: a worker is used again
+    from stage to stage, so what one has held would stand beside what the next one needs."""
+    held = sys.modules.get("sediment_worker_cache")
+    if held is not None:
+        held.key = held.value = None
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, shuffle_partitions, small_batches, table, text_column, written
+from ._common import Scratch, free_held, shuffle_partitions, small_batches, table, text_column, written
 from ._components import components
 from ._shingles import mixed, shingle_sets
 
@@ -91,6 +91,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, n_shingles, node (null without words), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_held()
         for b in batches:
             n, ids, sk = [], [], []
             for s in shingle_sets(text_column(b, "text")):

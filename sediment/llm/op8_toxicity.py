@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import chunks, small_batches, table, text_column, written
+from ._common import chunks, free_held, small_batches, table, text_column, written
 from ._shingles import mixed, powers
 
 #: Bounds: labelled rows that the models are fitted on, lexicon entries, voters, and features of the classifier.
@@ -394,6 +394,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[n
     buckets = 1 << BUCKET_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_held()
         pos, every = np.zeros(buckets), np.zeros(buckets)
         for b in batches:
             y = b.column("target").to_numpy(zero_copy_only=False)
@@ -448,6 +449,7 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]
     keep = [doc_id] if carry is None else carry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_held()
         buckets = 1 << BUCKET_BITS
         weights = np.zeros(buckets)
         weights[at] = weight
