@@ -41,7 +41,10 @@ _BRACED = re.compile(r"[$#]?\{([A-Za-z_][\w.]*+)\}", re.ASCII)
 _ARGUMENT = re.compile(rf"\(\s*+([\"'])([A-Za-z_][\w.\-]*+)\1\s*+,\s*+({_STRING})", re.ASCII | re.DOTALL)
 _FLAG = re.compile(rf"(?<!\S)--?([A-Za-z][\w\-]*+)(?:=|[ \t]++)({_STRING}|[^\s\"'`\-][^\s\"'`]*+)", re.ASCII | re.DOTALL)
 _ELEMENT = re.compile(r"<([A-Za-z_][\w.:\-]*+)(?:\s[^<>]*+)?>([^<>]++)</\1\s*+>", re.ASCII)
-_KEYED = re.compile(r"<[A-Za-z_][^<>]*?\b(?:key|name|id)\s*+=\s*+[\"']([^\"'<>]++)[\"'](?:[^<>]*?\bvalue\s*+=\s*+[\"']([^\"'<>]++)[\"']|[^<>]*+>([^<>]++)</)", re.ASCII)
+_TAG = re.compile(r"<[A-Za-z_][^<>]*+", re.ASCII)
+_TAG_KEY = re.compile(r"\b(?:key|name|id)\s*+=\s*+[\"']([^\"'<>]++)[\"']", re.ASCII)
+_TAG_VALUE = re.compile(r"\bvalue\s*+=\s*+[\"']([^\"'<>]++)[\"']", re.ASCII)
+_TAG_TEXT = re.compile(r">([^<>]++)</", re.ASCII)
 _BLOCK = re.compile(r"^([ \t]*+)(?:-[ ]++)?[\"']?([A-Za-z_][\w.\-]*+)[\"']?[ ]*+:[ ]*+[|>][+\-]?\d?[ ]*+\r?\n((?:\1[ \t]++\S[^\n]*+(?:\n|\Z))++)", re.ASCII | re.MULTILINE)
 _BEARER = re.compile(r"\b([Bb]earer)[ \t]++([A-Za-z0-9._~+/=\-]{12,}+)", re.ASCII)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -153,8 +156,11 @@ def other_pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, bool]]]]:
         if "</" in text:
             for m in _ELEMENT.finditer(text):
                 yield m[1], [_trimmed(text, *m.span(2))]
-        for m in _KEYED.finditer(text):
-            yield m[1], [_trimmed(text, *m.span(2 if m[2] is not None else 3))]
+        for tag in _TAG.finditer(text):  # one look at each tag: its first key, the first value behind that, else its text
+            if (key := _TAG_KEY.search(text, tag.start() + 2, tag.end())) is None:
+                continue
+            if (value := _TAG_VALUE.search(text, key.end(), tag.end()) or _TAG_TEXT.match(text, tag.end())) is not None:
+                yield key[1], [_trimmed(text, *value.span(1))]
     if "|" in text or ">" in text:
         for m in _BLOCK.finditer(text):
             at, lines = m.start(3), []

@@ -37,6 +37,8 @@ BLOCKS = set("address article aside blockquote body br caption center dd details
 NEVER = set("head button select svg canvas object audio video map script style noscript template textarea title iframe xmp dialog form".split())
 OUTSIDE = set("nav footer aside menu".split())
 MARKS = {"article", "main"}
+#: Elements that an open paragraph outside of them is not ended from.
+APART = ("table", "td", "th", "caption", "button", "object", "template")
 HEADINGS, CODE = {"h1", "h2", "h3", "h4", "h5", "h6"}, {"pre", "code", "samp", "kbd"}
 HINTS = set("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer login masthead menu menubar modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted promotion related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets complementary contentinfo".split())
 CONTENT = set("article body content entry main post story text".split())
@@ -118,12 +120,33 @@ UNTAUGHT = Weights({}, {})
 
 
 class _Open:
-    """An open element: the evidence down to it, whether anything above speaks for content, and the keys nearest to it."""
+    """An open element: the evidence down to it, whether anything above speaks for content, whether it is code, and the keys
+    nearest to it."""
 
-    __slots__ = ("keys", "marked", "name", "never", "spoken", "sum")
+    __slots__ = ("code", "keys", "marked", "name", "never", "spoken", "sum")
 
-    def __init__(self, name: str, total: float, spoken: bool, marked: bool, never: bool, keys: list[tuple[str, float]]) -> None:
-        self.name, self.sum, self.spoken, self.marked, self.never, self.keys = name, total, spoken, marked, never, keys
+    def __init__(self, name: str, total: float, spoken: bool, marked: bool, never: bool, code: bool, keys: list[tuple[str, float]]) -> None:
+        self.name, self.sum, self.spoken, self.marked, self.never, self.code, self.keys = name, total, spoken, marked, never, code, keys
+
+
+class _Stack:
+    """Open elements, and where those of each name stand: closing a name that isn't open, or one far up, costs no search."""
+
+    def __init__(self, root: _Open) -> None:
+        self.items, self.places = [root], {}
+
+    def push(self, e: _Open) -> None:
+        self.places.setdefault(e.name, []).append(len(self.items))
+        self.items.append(e)
+
+    def last(self, name: str) -> int:
+        """The depth of the nearest element of that name; 0 if there is none."""
+        at = self.places.get(name)
+        return at[-1] if at else 0
+
+    def cut(self, depth: int) -> None:
+        while len(self.items) > depth:
+            self.places[self.items.pop().name].pop()
 
 
 def events(page: str, weights: Weights) -> Iterator[tuple[str, str, _Open]]:
@@ -132,15 +155,15 @@ def events(page: str, weights: Weights) -> Iterator[tuple[str, str, _Open]]:
 
     Unclosed elements end with their parent; a text that no tag ends, as of a page cut short, counts as it stands.
     """
-    root = _Open("", 0.0, False, False, False, [])
-    stack = [root]
+    stack = _Stack(_Open("", 0.0, False, False, False, False, []))
+    items = stack.items
     at = 0
     while at <= len(page):
         m = _TOKEN.search(page, at)
         if m is None or m.start() > at:
             text = page[at : m.start() if m else len(page)]
             if text:
-                yield "text", text, stack[-1]
+                yield "text", text, items[-1]
         if m is None:
             return
         at = m.end() if m.end() > m.start() else m.start() + 1
@@ -148,30 +171,30 @@ def events(page: str, weights: Weights) -> Iterator[tuple[str, str, _Open]]:
             continue
         name = m[2].lower()
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), None)
-            yield "close", name, stack[depth or -1]
-            if depth is not None:
-                del stack[depth:]
+            depth = stack.last(name)
+            yield "close", name, items[depth or -1]
+            if depth:
+                stack.cut(depth)
             continue
-        while stack[-1].name in _CLOSES.get(name, ()):
-            stack.pop()
+        while items[-1].name in _CLOSES.get(name, ()):
+            stack.cut(len(items) - 1)
         if name == "p" or (name in BLOCKS and name not in VOID):  # a block ends an open paragraph and what is open in it
-            near = next((i for i in range(len(stack) - 1, max(0, len(stack) - 4), -1) if stack[i].name == "p"), None)
-            if near is not None:
-                del stack[near:]
-        top = stack[-1]
-        if name in MARKS and top.sum < 0 and not top.never and (name == "main" or any(e.name == "nav" for e in stack)):
-            for e in stack:  # an article doesn't lie in a menu: that is one that was never closed
+            near = stack.last("p")
+            if near and all(stack.last(x) < near for x in APART):
+                stack.cut(near)
+        top = items[-1]
+        if name in MARKS and top.sum < 0 and not top.never and (name == "main" or stack.last("nav")):
+            for e in items:  # an article doesn't lie in a menu: that is one that was never closed
                 e.sum = max(e.sum, 0.0)
         total, keys = top.sum, []
-        if name in ("html", "body") or name in HEADINGS or name in CODE or any(e.name in CODE for e in stack[-16:]):
+        if name in ("html", "body") or name in HEADINGS or name in CODE or top.code:
             keys = []
         elif m[3] or name in OUTSIDE or name in MARKS or name == "header":
             keys = evidence(name, m[3])
             own = sum(share * weights.evidence(k) for k, share in keys)
             total = max(-SUM, min(SUM, total + max(-EVIDENCE, min(EVIDENCE, own))))
         never = top.never or name in NEVER
-        made = _Open(name, -SUM if never else total, top.spoken or (total > 0 and not never), top.marked or name in MARKS, never, keys or top.keys)
+        made = _Open(name, -SUM if never else total, top.spoken or (total > 0 and not never), top.marked or name in MARKS, never, top.code or name in CODE, keys or top.keys)
         yield "open", name, made
         if name in VOID:
             continue
@@ -182,7 +205,7 @@ def events(page: str, weights: Weights) -> Iterator[tuple[str, str, _Open]]:
             continue
         if name == "svg" and m[3].rstrip().endswith("/"):
             continue
-        stack.append(made)
+        stack.push(made)
 
 
 def _state(e: _Open) -> str:

@@ -1,3 +1,5 @@
+import time
+
 import re
 
 from sediment.llm.op4_secrets import literal_spans, scan_secrets
@@ -58,6 +60,21 @@ def test_long_runs_cost_no_square():
         assert time.monotonic() - before < 20, text[:10]
 
 
+def test_tags_cost_no_square():
+    """Twice the input takes less than three times as long, whatever is left open."""
+    forms = ['<a id="x"' + ' id="x"' * 100, "<a " + "id " * 200, '<a key="v" ' + "value=" * 100, "<b>x</" * 100, "<a id='k'>" * 100, "id=" * 300, '<add key="k" ' + 'value="v' * 100]
+
+    def took(form, n):
+        began = time.process_time()
+        literal_spans(form * n)
+        return time.process_time() - began
+
+    for form in forms:
+        a, b = min(took(form, 100) for _ in range(3)), min(took(form, 200) for _ in range(3))
+        assert b < 3 * a + 0.05, form[:20]
+    assert literal_spans('<a id="x"' + ' id="x"' * 16_000) == set()
+
+
 KEY = "q7Rt2LmZx9" + "KpW4vB8nD"
 #: Labelled snippets: {} is the secret in the first, and no secret stands in the second.
 SECRET = [

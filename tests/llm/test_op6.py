@@ -87,3 +87,30 @@ def test_very_long_page_and_clashing_columns(spark):
     pages = spark.createDataFrame([(None, None, long, 1), (2, "u", "<article>a</article>", 2)], "page_id long, url string, html string, text int")
     got = {r["page_id"]: r["text"] for r in extract_text(pages, learn_weights(pages)).collect()}
     assert got == {None: "\n".join(["word word"] * 50_000), 2: "a"}
+
+
+def test_tags_cost_no_square():
+    """Twice the page takes less than three times as long, whatever is left open or closed for nothing."""
+    import time
+
+    from sediment.llm.op6_html import UNTAUGHT, events
+
+    def took(n, a, b):
+        page = a * n + b * n
+        began = time.process_time()
+        for _ in events(page, UNTAUGHT):
+            pass
+        return time.process_time() - began
+
+    for a, b in (("<b>", "</i>"), ("<b>x", "<p>y"), ("<nav><b>", "<article></article>"), ("<p><b>", "<div>"), ("<code>", "<a>")):
+        short, long = min(took(4_000, a, b) for _ in range(3)), min(took(8_000, a, b) for _ in range(3))
+        assert long < 3 * short + 0.05, (a, b)
+
+
+def test_deep_nesting_changes_nothing():
+    from sediment.llm.op6_html import UNTAUGHT, events
+
+    deep = "<p>one" + "<b>" * 30 + "<div>two"
+    assert [(k, v) for k, v, _ in events(deep, UNTAUGHT) if k == "text"] == [("text", "one"), ("text", "two")]
+    assert [e.code for k, v, e in events("<pre>" + "<span>" * 40 + "x", UNTAUGHT) if k == "text"] == [True]
+    assert next(e for k, v, e in events(deep, UNTAUGHT) if v == "two").name == "div"
