@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import Scratch, chunks, held_by_worker, small_batches, table, text_column, written
-from ._tokens import CUT_BYTES, gather_index, stretches, tokenizer_file
+from ._tokens import gather_index, stretches, tokenizer_file
 
 #: Files of the tokenizers A (byte-level BPE) and B (BPE with byte fallback, which adds a space in front).
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text whose pairs are counted together, and words encoded in one line.
 BLOCK_BYTES, WORDS = 32 << 20, 200
-#: Stretches that a worker keeps between batches.
-HELD = 400_000
+#: Bytes of text aligned at a time (a longer text stands alone), and stretches that a worker keeps between batches.
+CUT_BYTES, HELD = 1 << 20, 150_000
 _LOW = (1 << 32) - 1
 
 
