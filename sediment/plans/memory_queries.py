@@ -87,13 +87,13 @@ def memory_text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: A query of plain and specific tokens that stand near one another in some turns, and the project that it is asked in.
 RECORD_QUERY, PROJECT = [*SPECIFIC_QUERY, "été", "workflow"], "/work/notes/p3"
-_RECORDS = """(SELECT conv_id, turn, text, left(coalesce(text, ''), 80) AS summary, CASE WHEN turn % 9 = 0 THEN 'log.txt: les' WHEN turn % 7 = 0 THEN 'top hit in les' ELSE role END AS title, 'p' || (conv_id % 5) AS project, [role, 'les turn-' || turn] AS tags FROM conversations)"""
+_RECORDS = """(SELECT conv_id, turn, text, 'said by ' || role || ' in p' || (conv_id % 5) AS summary, CASE WHEN turn % 9 = 0 THEN 'log.txt: les' WHEN turn % 7 = 0 THEN 'top hit in les' ELSE role END AS title, 'p' || (conv_id % 5) AS project, [role, 'les turn-' || turn] AS tags FROM conversations)"""
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.when(F.col("turn") % 9 == 0, "log.txt: les").when(F.col("turn") % 7 == 0, "top hit in les").otherwise(F.col("role"))
     turns = _table(spark, sf_dir, "conversations")
-    return turns.select("conv_id", "turn", "text", F.left(F.coalesce("text", F.lit("")), F.lit(80)).alias("summary"), title.alias("title"), F.concat(F.lit("p"), (F.col("conv_id") % 5).cast("string")).alias("project"), F.array("role", F.concat(F.lit("les turn-"), F.col("turn").cast("string"))).alias("tags"))
+    return turns.select("conv_id", "turn", "text", F.concat(F.lit("said by "), "role", F.lit(" in p"), (F.col("conv_id") % 5).cast("string")).alias("summary"), title.alias("title"), F.concat(F.lit("p"), (F.col("conv_id") % 5).cast("string")).alias("project"), F.array("role", F.concat(F.lit("les turn-"), F.col("turn").cast("string"))).alias("tags"))
 
 
 def scored_sql(relation: str, query: list[str], project: str, texts: dict[str, tuple[int, str]], telling: tuple[str, ...], prefix: str = "") -> str:
@@ -239,14 +239,14 @@ def linked_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("id", "confidence", joined("superseded_by"), joined("contradicted_by"), joined("deprecated_by"), joined("derived_from"))
 
 
-@_query(f"""WITH f AS (SELECT id, text FROM {X.values_sql(_FACTS, ['id', 'text'])} UNION ALL SELECT 1000 + doc_id, left(text, 40) FROM documents),
+@_query(f"""WITH f AS (SELECT id, text FROM {X.values_sql(_FACTS, ['id', 'text'])} UNION ALL SELECT 1000 + doc_id, text FROM documents),
 k AS (SELECT id, lower(trim({_compact('text')}, ' -')) AS key FROM f),
 t AS (SELECT DISTINCT a, b FROM (VALUES ('the new plan', 'the old plan'), ('deleted fact: the lost plan', 'the lost plan')) v(a, b))
 SELECT DISTINCT x.id AS current, y.id AS old FROM k x JOIN t ON x.key = t.a JOIN k y ON y.key = t.b WHERE x.id <> y.id""")
 def text_supersessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts that replace others by their texts, among the beginnings of all documents."""
     facts = spark.createDataFrame(_FACTS, "id long, text string")
-    docs = _table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("id"), F.left("text", F.lit(40)).alias("text"))
+    docs = _table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("id"), "text")
     targets = facts.select(T.refresh_targets(F.col("text")).alias("r")).select("r.text", "r.target")
     return consolidate.text_links(facts.unionByName(docs), targets)
 

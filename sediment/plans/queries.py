@@ -390,13 +390,13 @@ def related_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate.related_pairs(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), told.alias("text")))
 
 
-@_query(f"""WITH t AS (SELECT id, {_semantic('text')} AS toks, {_polarity('text')} AS pol FROM (SELECT p_partkey AS id, p_name || ' ' || p_brand || ' ' || p_type AS text FROM part UNION ALL SELECT -doc_id - 1, left(text, 120) FROM documents) WHERE text IS NOT NULL)
+@_query(f"""WITH t AS (SELECT id, {_semantic('text')} AS toks, {_polarity('text')} AS pol FROM (SELECT p_partkey AS id, p_name || ' ' || p_brand || ' ' || p_type AS text FROM part UNION ALL SELECT -doc_id - 1, text FROM documents) WHERE text IS NOT NULL)
 SELECT id, min(id) OVER (PARTITION BY toks, pol) AS class_id, count(*) OVER (PARTITION BY toks, pol) AS n_facts FROM t WHERE len(toks) >= 4""")
 def fact_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The class of every part, described as a fact, and of the beginning of every document."""
+    """The class of every part, described as a fact, and of every document."""
     told = F.concat_ws(" ", "p_name", "p_brand", "p_type")
     parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), told.alias("text"))
-    return consolidate.fact_classes(parts.unionByName(_table(spark, sf_dir, "documents").select((-F.col("doc_id") - 1).alias("id"), F.left("text", F.lit(120)).alias("text"))))
+    return consolidate.fact_classes(parts.unionByName(_table(spark, sf_dir, "documents").select((-F.col("doc_id") - 1).alias("id"), "text")))
 
 
 _CANDIDATES = f"""r AS ({_pairs_sql(_FACT_PAIRS)}), c AS (SELECT *, CAST(current_id AS VARCHAR) || '|' || CAST(old_id AS VARCHAR) AS pair, CASE relation {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in review.REASONS.items())} END AS reason FROM r WHERE relation <> 'partial_supersession'),
