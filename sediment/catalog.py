@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import memory_queries, session_queries  # noqa: F401  register their queries
+from .plans import memory_queries, session_queries, source_queries  # noqa: F401  register their queries
 from .plans.queries import QUERIES, SQL, recall_topk_conversations
 
 
