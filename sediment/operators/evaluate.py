@@ -141,3 +141,29 @@ def noise_relations(hits: DataFrame, gold: DataFrame) -> DataFrame:
         .otherwise("unrelated")
     )
     return hits.join(wanted, "query_id").filter(F.col("id") != F.col("gold_id")).select("query_id", "id", relation.alias("relation"))
+
+
+def first_losses(rows: DataFrame, stages: dict[str, Column], order: str, key: str | None = None, limit: int | None = None) -> DataFrame:
+    """`rows` with `loss`: the first stage (a condition of loss) that holds, null for survivors.
+
+    With `key`, a row that passes all stages is a `duplicate` if an earlier such row (by `order`, distinct) has its key. With
+    `limit`, rows behind the limit-th survivor are left out, as if rows were taken in order until there are enough: one value,
+    the order of that survivor, is found by a bounded top-k and joined.
+    """
+    loss = F.lit(None).cast("string")
+    for name, lost in reversed(stages.items()):
+        loss = F.when(F.coalesce(lost, F.lit(False)), name).otherwise(loss)
+    out = rows.withColumn("loss", loss)
+    if key is not None:
+        first = out.filter("loss is null").groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"))
+        joined = out.join(first, F.col(key).eqNullSafe(F.col("_key")), "left")
+        out = joined.withColumn("loss", F.when(F.col("loss").isNull() & (F.col(order) > F.col("_first")), "duplicate").otherwise(F.col("loss"))).drop("_key", "_first")
+    if limit is None:
+        return out
+    last = out.filter("loss is null").select(order).orderBy(order).limit(limit).agg(F.when(F.count(F.lit(1)) == limit, F.max(order)).alias("_last"))
+    return out.crossJoin(F.broadcast(last)).filter(F.col("_last").isNull() | (F.col(order) <= F.col("_last"))).drop("_last")  # one row
+
+
+def loss_counts(judged: DataFrame) -> DataFrame:
+    """stage, n_rows of rows with `loss`; survivors count as `kept`."""
+    return judged.groupBy(F.coalesce("loss", F.lit("kept")).alias("stage")).agg(F.count(F.lit(1)).alias("n_rows"))

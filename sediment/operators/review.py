@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import filters
+from . import consolidate
+
 #: Relations that go to review, and the reason they are queued under.
 REASONS = {"contradiction": "conflicting", "contradiction_review": "conflicting", "scope_review": "scope_change", "overlap_review": "low_confidence"}
 
@@ -59,3 +62,34 @@ def settled_nodes(nodes: DataFrame, removed: DataFrame, fields: list[str]) -> Da
     wide = lists.groupBy("id").pivot("field", fields).agg(F.first("refs"))
     kept = nodes.join(removed.select("id").distinct(), "id", "left_anti").drop(*fields).join(wide, "id", "left")
     return kept.withColumns({f: F.coalesce(F.col(f), F.array().cast("array<string>")) for f in fields})
+
+
+def induction_pairs(candidates: DataFrame) -> DataFrame:
+    """current_class, old_class, relation, reason, n_current, n_older: classes of candidates (at, text, project) that must be
+    reviewed together, as some member of the first is later than one of the second.
+
+    `at` is a string that orders candidates, each its own (time, path and id, say). Members of a class have one consolidation
+    key, and relations hold between classes, so pairs of members aren't written out; no pair is lost. Classes meet by their
+    rarest tokens.
+    """
+    facts = candidates.select(F.col("at").alias("id"), "text")
+    classes = consolidate.fact_classes(facts)
+    sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
+    of = classes.select(F.col("id").alias("at"), F.col("class_id"))
+    pairs = consolidate.related_pairs(facts)
+    reason = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])[F.col("relation")]
+    named = pairs.join(of.select(F.col("at").alias("current_id"), F.col("class_id").alias("current_class")), "current_id").join(of.select(F.col("at").alias("old_id"), F.col("class_id").alias("old_class")), "old_id")
+    queued = named.withColumn("reason", reason).filter("reason is not null")
+    counted = queued.join(sizes.select(F.col("class_id").alias("current_class"), F.col("n").alias("n_current")), "current_class").join(sizes.select(F.col("class_id").alias("old_class"), F.col("n").alias("n_older")), "old_class")
+    return counted.select("current_class", "old_class", "relation", "reason", "n_current", "n_older")
+
+
+def withheld_candidates(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
+    """at, status of the candidates that review holds back: direct (its own text asks for review), related (its class is in a
+    pair), or released (related, but the class is backed by two projects or more)."""
+    classes = consolidate.fact_classes(candidates.select(F.col("at").alias("id"), "text")).select(F.col("id").alias("at"), "class_id")
+    known = candidates.select("at", F.nullif("project", F.lit("")).alias("project"), filters.reviewable(F.col("text")).alias("direct")).join(classes, "at", "left")
+    touched = pairs.select(F.col("current_class").alias("class_id")).unionByName(pairs.select(F.col("old_class").alias("class_id"))).distinct().withColumn("touched", F.lit(True))
+    backed = known.filter("class_id is not null").groupBy("class_id").agg(F.count_distinct("project").alias("projects"))
+    status = F.when(F.col("direct"), "direct").when(F.col("touched") & (F.col("projects") >= 2), "released").when(F.col("touched"), "related")
+    return known.join(touched, "class_id", "left").join(backed, "class_id", "left").select("at", status.alias("status")).filter("status is not null")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import filters as P
 from ..functions import text as T
-from ..operators import answers, projects
+from ..operators import answers, evaluate, projects, review
 from ..sources import inventories
-from .queries import _answer, _compact, _query, _table
+from . import fixtures as X
+from .queries import _answer, _compact, _pairs_sql, _polarity, _query, _semantic, _table, _tokens
 
 _DOCS_SQL = """d AS (SELECT doc_id, 'r/' || coalesce(source, 'none') || '/' || doc_id || '.txt' AS path, sha256(coalesce(text, '')) AS sha256, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size, '2024-01-0' || (1 + doc_id % 9) || 'T00:00:00Z' AS updated_at FROM documents)"""
 
@@ -100,3 +102,49 @@ def answer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("Note. Reference answer: "), F.when(F.col("doc_id") % 3 == 0, F.col("said")).otherwise(F.coalesce("text", F.lit(""))), F.when(F.col("doc_id") % 2 == 0, " Query: ").otherwise(" "), "query")
     hits = docs.join(cases, "case_id").select("case_id", F.col("doc_id").alias("memory_id"), (F.col("doc_id") % 4).alias("score"), text.alias("text"), F.lit(True).alias("supported"))
     return answers.answer_records(cases, hits).select("case_id", "memory_id", F.sha2("answer", 256).alias("answer_sha256"), "verdict")
+
+
+# Review of induced facts, and what is lost on the way to cases.
+
+_INDUCED_SQL = """(SELECT lpad(p_partkey::VARCHAR, 9, '0') || again AS id, CASE p_partkey % 3 WHEN 0 THEN 'never keep ' WHEN 1 THEN 'always include ' ELSE '' END || p_name || CASE WHEN p_partkey % 11 = 0 THEN ' provisional' ELSE '' END AS text, CASE WHEN p_partkey % 4 = 0 AND again = 'b' THEN 'x' ELSE 'p' || p_size % 3 END AS project
+FROM part, (VALUES ('a'), ('b')) v(again) WHERE again = 'a' OR p_partkey % 2 = 0)"""
+
+
+def _induced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' names as induced facts; every second is there twice, some of them of another project."""
+    k = F.col("p_partkey")
+    p = _table(spark, sf_dir, "part").withColumn("again", F.explode(F.when(k % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))))
+    text = F.concat(F.when(k % 3 == 0, "never keep ").when(k % 3 == 1, "always include ").otherwise(""), "p_name", F.when(k % 11 == 0, " provisional").otherwise(""))
+    return p.select(F.concat(F.lpad(k.cast("string"), 9, "0"), "again").alias("at"), text.alias("text"), F.when((k % 4 == 0) & (F.col("again") == "b"), "x").otherwise(F.concat(F.lit("p"), (F.col("p_size") % 3).cast("string"))).alias("project"))
+
+
+_CLASSES_SQL = f"""s AS (SELECT *, {_semantic('text')} AS toks, {_polarity('text')} AS pol FROM {_INDUCED_SQL}), c AS (SELECT toks, pol, min(id) AS class_id, count(*) AS n, count(DISTINCT project) AS projects FROM s WHERE len(toks) >= 4 GROUP BY ALL),
+m AS (SELECT s.id, s.text, class_id, n, projects FROM s LEFT JOIN c ON c.toks = s.toks AND c.pol = s.pol), r AS ({_pairs_sql(_INDUCED_SQL)}),
+q AS (SELECT a.class_id AS current_class, b.class_id AS old_class, relation, CASE relation {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in review.REASONS.items())} END AS reason, a.n AS n_current, b.n AS n_older FROM r JOIN m a ON a.id = r.current_id JOIN m b ON b.id = r.old_id)"""
+
+
+@_query(f"WITH {_CLASSES_SQL} SELECT * FROM q WHERE reason IS NOT NULL")
+def induction_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of induced facts that must be reviewed together."""
+    return review.induction_pairs(_induced(spark, sf_dir))
+
+
+@_query(f"""WITH {_CLASSES_SQL}, w AS (SELECT id AS "at", CASE WHEN regexp_matches(text, '{P.REVIEWABLE}') THEN 'direct' WHEN touched AND projects >= 2 THEN 'released' WHEN touched THEN 'related' END AS status FROM (SELECT *, class_id IN (SELECT current_class FROM q WHERE reason IS NOT NULL UNION SELECT old_class FROM q WHERE reason IS NOT NULL) AS touched FROM m)) FROM w WHERE status IS NOT NULL""")
+def withheld_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which induced facts review holds back or releases."""
+    facts = _induced(spark, sf_dir)
+    return review.withheld_candidates(facts, review.induction_pairs(facts))
+
+
+_STAGES_SQL = {"inactive": "len(superseded_by) > 0", "missing_field": "trim(text) = '' OR confidence = 'sure'", "no_support": "support_count < 1", "too_long": "length(text) > 500", "sensitive": f"regexp_matches(text, '{T.UNSAFE_DISPLAY}')", "too_few_terms": f"len(list_distinct({_tokens('text')})) < 3"}
+_LIMIT = 40
+
+
+@_query(f"""WITH n AS (SELECT id, lower({_compact('text')}) AS key, CASE {' '.join(f"WHEN {c} THEN '{k}'" for k, c in _STAGES_SQL.items())} END AS loss FROM {X.nodes_sql()}),
+d AS (SELECT id, CASE WHEN loss IS NULL AND id > min(id) FILTER (loss IS NULL) OVER (PARTITION BY key) THEN 'duplicate' ELSE loss END AS loss FROM n), k AS (SELECT id FROM d WHERE loss IS NULL ORDER BY id LIMIT {_LIMIT})
+SELECT coalesce(loss, 'kept') AS stage, count(*) AS n_rows FROM d WHERE (SELECT count(*) FROM k) < {_LIMIT} OR id <= (SELECT max(id) FROM k) GROUP BY 1""")
+def case_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why nodes, taken by id until 40 are kept, don't become cases."""
+    nodes = X.nodes(spark, sf_dir).withColumn("key", F.lower(T.compact_whitespace(F.col("text"))))
+    stages = {"inactive": F.size("superseded_by") > 0, "missing_field": (F.trim("text") == "") | (F.col("confidence") == "sure"), "no_support": F.col("support_count") < 1, "too_long": F.length("text") > 500, "sensitive": F.col("text").rlike(T.UNSAFE_DISPLAY), "too_few_terms": F.size(T.tokens(F.col("text"))) < 3}
+    return evaluate.loss_counts(evaluate.first_losses(nodes.select("id", "key", "text", "superseded_by", "confidence", "support_count"), stages, "id", "key", _LIMIT))
