@@ -61,7 +61,7 @@ _ME = r"我现在(?:检查|继续|先|会|加|跑|改|处理|验证|看)|现在
 _LATER = r"当前我会|接着我会|随后我会|最后我会|最后一轮我会|我做最后一轮|接下来我|下一步我|我继续|我先|下一块会"
 _PREFIX = r"^\s*(?:[-*]\s*)?(?:验证结果|验证已跑|但阻塞点很明确|阻塞点很明确|阻塞原因|原因很直接|原因是|我做过的验证|方案选择|常见原因)\s*[:：]\s*"
 _BLOCKS = [r"(?i)(?:\s+|^)\*\*(?:Commands?|Command Status|Tool Calls?)\*\*.*$", r"(?i)(?:\s+|^)Command Status\s*[-:].*$"]
-_USING = (r"(?i)^using\s+[`$]?(?:using-|brainstorming|test-driven|systematic|update-my-precious)", r"(?i)\bas requested\b|\bi(?:'ll|’ll| will)\s+also\s+use\b")
+_USING = (r"(?i)^using\s+[`$]?(?:using-|brainstorming|test-driven|systematic)", r"(?i)\bas requested\b|\bi(?:'ll|’ll| will)\s+also\s+use\b")
 _STARTS = rf"^(?:{_ME}|{_LATER}|先看|{_NOW})"
 _TAIL = rf"(?:[。.!?；;，,：:]|\s)?(?:我会(?:先|只|把|用|继续|做|改|跑|等|查|核实|从|按|清|尝试|恢复)|{_LATER}|{_ME}|{_NOW}).*$"
 _ENDINGS = [
