@@ -74,7 +74,9 @@ def _hex(sigs: np.ndarray) -> list[str]:
 
 
 def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fingerprint of each row. Null and empty texts, and texts of white space only, all have the fingerprint of no shingles."""
+    """doc_id and fingerprint of each row. Null and empty texts, and texts of white space only, all have the fingerprint of no
+    shingles. Equal texts, repeated rows too, have equal fingerprints; texts of any length are read whole. Other columns don't
+    matter, whatever their names; an empty table gives no rows."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +126,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Links are those between sets that share a band: of all links of similarity 0.8 more than 94 in a hundred, of 0.9 nearly
     all. Texts of equal sets are one class. Texts without words are their own class; a class of rows without an id has none.
-    Other columns don't matter; an empty table gives no rows.
+    Repeated rows are copies of one another. Texts of any length are read whole. Other columns don't matter, whatever their names;
+    an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     return _classes(keyed(docs, doc_id, text), threshold)

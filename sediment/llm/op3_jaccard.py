@@ -370,7 +370,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     Words are runs of characters other than space and 0x09-0x0D, A-Z lowered; a text of one to four words is one shingle.
     Null texts and texts without words have no shingles and are their own component. Equal sets link, also those of
-    repeated rows. A null doc_id takes no part in minima; a component of such rows only has a null id. Sets are told apart
+    repeated rows. Texts of any length are read whole. Other columns don't matter, whatever their names; an empty table gives no
+    rows. A null doc_id takes no part in minima; a component of such rows only has a null id. Sets are told apart
     by 64-bit hashes.
     """
     small_batches(docs.sparkSession)

@@ -267,7 +267,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Words are runs of characters other than space and 0x09-0x0D. Each word in a window whose words also start anywhere else,
     same document included, is removed. Null and empty texts have no words; texts of fewer than `width` words stay whole.
-    Repeated rows are repeats of one another like other copies. Words, anchors, segments and rows (by doc_id and text) are
+    Repeated rows are repeats of one another like other copies. A window that overlaps another is judged by itself, so no ties
+    arise. Texts of any length are read whole. Other columns don't matter, whatever their names; an empty table gives no rows.
+    Words, anchors, segments and rows (by doc_id and text) are
     told apart by 64-bit hashes.
     """
     spark = docs.sparkSession

@@ -442,11 +442,11 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]
 
     Null and empty texts get the score of a text without words. A text is read whole, however long, and by itself: equal
     texts and repeated rows score alike, and no ties arise. An empty table gives no rows. Columns that aren't carried don't
-    matter; a carried column named score clashes with the result's and is an error of Spark's.
+    matter; a carried column named score gives way to the result's.
     """
     small_batches(docs.sparkSession)
     at, weight, base = model
-    keep = [doc_id] if carry is None else carry
+    keep = [c for c in ([doc_id] if carry is None else carry) if c.lower() != "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_held()

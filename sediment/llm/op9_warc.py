@@ -177,7 +177,9 @@ def settle(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
     """page_id, url, payload, digest and refers_to (null: a response).
 
     Among rows whose payloads are equal and of LEAST_REVISIT bytes or more, the smallest page_id is the response;
-    rows that repeat that very page_id are responses too, and so are all where no page_id is known.
+    rows that repeat that very page_id are responses too, and so are all where no page_id is known. Null html is an empty
+    payload; payloads of any length are hashed whole. Other columns don't matter, whatever their names; an empty table gives no
+    rows.
     """
     whole = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), whole.alias("payload"), F.sha2(whole, 256).alias("digest"))
@@ -190,7 +192,9 @@ def settle(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write all pages into `folder` (a URI on a store that all executors share); one row per archive: path, records, bytes.
 
-    Null html is an empty payload, a null url leaves its header out. Repeated rows each give a record. No rows, no archives.
+    Null html is an empty payload, a null url leaves its header out. Repeated rows each give a record, of the
+    same WARC-Record-ID, since it is made of page_id and digest. A record is held whole by its task, however long. Other columns
+    don't matter, whatever their names. No rows, no archives.
     """
     small_batches(pages.sparkSession)
     ready = settle(pages, page_id, url, html).sortWithinPartitions("page_id", "digest", "url")  # each task writes what the join dealt it
@@ -224,7 +228,8 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """One row per record: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload (null for revisits).
 
-    An archive that doesn't hold what it says fails the job.
+    An archive that doesn't hold what it says fails the job. Archives are those of write_archives: each frame states its content
+    size. A folder without archives gives no rows.
     """
     small_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")

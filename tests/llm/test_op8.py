@@ -107,3 +107,11 @@ def test_repeated_rows_ties_and_long_texts(spark):
     model = fit(learn, spark.createDataFrame([(10 + i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int"))
     got = sorted((r["doc_id"], r["score"]) for r in score_documents(docs, model).collect())
     assert got[0] == got[1] and got[2] == got[3] and got[0][1] > 0.5 > got[2][1]
+
+
+def test_a_carried_score_gives_way(spark):
+    from sediment.llm.op8_toxicity import score_documents
+
+    docs = spark.createDataFrame([(1, "a b", 9.0, "x")], "doc_id long, text string, Score double, odds string")
+    got = score_documents(docs, (np.zeros(0, np.int32), np.zeros(0, np.float32), -4.0), carry=["doc_id", "Score", "odds"])
+    assert got.columns == ["doc_id", "odds", "score"] and got.first()["score"] < 0.1

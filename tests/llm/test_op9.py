@@ -34,3 +34,14 @@ def test_damage_is_found():
     wrong = record(1, "u", payload, hashlib.sha256(b"other").hexdigest(), None)
     with pytest.raises(WarcError):
         list(read_archive(next(archives(iter([wrong])))[0]))
+
+
+def test_empty_tables_clashing_columns_and_the_least_revisit(spark):
+    shape = "page_id long, url string, html string, payload string, digest int, refers_to string"
+    empty = new_folder(spark, "warc-empty")
+    assert write_archives(spark.createDataFrame([], shape), empty).collect() == []
+    rows = [(2, "u", "x" * 99, "p", 1, "r"), (1, "u", "x" * 99, None, 2, None), (4, "u", "y" * 100, "p", 3, "r"), (3, None, "y" * 100, "p", 4, "r"), (None, "u", "y" * 100, "p", 5, "r")]
+    folder = new_folder(spark, "warc-clash")
+    write_archives(spark.createDataFrame(rows, shape), folder).collect()
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in read_archives(spark, folder).collect()), key=str)
+    assert got == sorted([(1, "response", None), (2, "response", None), (3, "response", None), (4, "revisit", 3), (None, "revisit", 3)], key=str)
