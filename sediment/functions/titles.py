@@ -36,7 +36,8 @@ _STRIPPED = [
 ]
 _STATUS = r"(?i)^(CHANGES_REQUESTED|DONE_WITH_CONCERNS|APPROVED|DONE)\b"
 _FINDING = r"(?i)\bFindings?\b\s*[:\-]?\s*(?:\d+\.\s*)?(?:(?:High|Medium|Low)\s*[:\-]\s*)?(.+)"
-_FILE_TAIL = rf"(?i):\s+[A-Za-z0-9_./-]+\.(?:{_KINDS})\b.*$"
+_FILE_TELLING = ["我", "现在", "执行", "同步后", "按上一轮", "先"]
+_TAIL = rf"(?i):\s+[A-Za-z0-9_./-]+\.(?:{_KINDS})\b.*$"
 # Titles of high value, and a title that stands for texts which hold all of four things.
 HIGH_VALUE = r"(?i)spurious\s+502|libx\d+(?:\.\d+)?(?:\.dylib)?|_gdal|osgeo|127\.0\.0\.1|socks5|local routing|全局出站代理|本地代理|高信噪比|记忆索引|durable memory index|memory index|retrieval-first"
 _ALL_OF = [r"(?i)router-level", r"(?i)integration\s+test", r"(?i)concurrent\s+reconnect", r"(?i)spurious\s+502"]
@@ -136,7 +137,8 @@ def without_narration(text: Column) -> Column:
         bare = F.btrim(F.regexp_replace(bare, p, ""), white)
 
     def cut(x: Column) -> Column:
-        head = T.let(F.regexp_instr(x, F.lit(_TAIL)), lambda at: F.when(at == 0, x).otherwise(T.let(F.regexp_replace(F.left(x, at - 1), r"[ 。.!?；;，,：:]+$", ""), lambda y: F.when(F.length(y) < 8, F.lit("")).otherwise(y))))
+        told = P._any(x, _TELLING)  # without one of these there is no such tail
+        head = T.let(F.when(told, F.regexp_instr(x, F.lit(_TAIL))).otherwise(0), lambda at: F.when(at == 0, x).otherwise(T.let(F.regexp_replace(F.left(x, at - 1), r"[ 。.!?；;，,：:]+$", ""), lambda y: F.when(F.length(y) < 8, F.lit("")).otherwise(y))))
         gone = x.rlike(r"^[-*]?\s*\.\.\.$") | P.low_signal(x) | (x.rlike(_USING[0]) & x.rlike(_USING[1])) | x.rlike(_STARTS)
         return F.when(gone, F.lit("")).otherwise(head)
 
