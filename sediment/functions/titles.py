@@ -36,8 +36,7 @@ _STRIPPED = [
 ]
 _STATUS = r"(?i)^(CHANGES_REQUESTED|DONE_WITH_CONCERNS|APPROVED|DONE)\b"
 _FINDING = r"(?i)\bFindings?\b\s*[:\-]?\s*(?:\d+\.\s*)?(?:(?:High|Medium|Low)\s*[:\-]\s*)?(.+)"
-_FILE_TELLING = ["我", "现在", "执行", "同步后", "按上一轮", "先"]
-_TAIL = rf"(?i):\s+[A-Za-z0-9_./-]+\.(?:{_KINDS})\b.*$"
+_FILE_TAIL = rf"(?i):\s+[A-Za-z0-9_./-]+\.(?:{_KINDS})\b.*$"
 # Titles of high value, and a title that stands for texts which hold all of four things.
 HIGH_VALUE = r"(?i)spurious\s+502|libx\d+(?:\.\d+)?(?:\.dylib)?|_gdal|osgeo|127\.0\.0\.1|socks5|local routing|全局出站代理|本地代理|高信噪比|记忆索引|durable memory index|memory index|retrieval-first"
 _ALL_OF = [r"(?i)router-level", r"(?i)integration\s+test", r"(?i)concurrent\s+reconnect", r"(?i)spurious\s+502"]
@@ -64,6 +63,7 @@ _PREFIX = r"^\s*(?:[-*]\s*)?(?:验证结果|验证已跑|但阻塞点很明确|
 _BLOCKS = [r"(?i)(?:\s+|^)\*\*(?:Commands?|Command Status|Tool Calls?)\*\*.*$", r"(?i)(?:\s+|^)Command Status\s*[-:].*$"]
 _USING = (r"(?i)^using\s+[`$]?(?:using-|brainstorming|test-driven|systematic)", r"(?i)\bas requested\b|\bi(?:'ll|’ll| will)\s+also\s+use\b")
 _STARTS = rf"^(?:{_ME}|{_LATER}|先看|{_NOW})"
+_TELLING = ["我", "现在", "执行", "同步后", "按上一轮", "先"]
 _TAIL = rf"(?:[。.!?；;，,：:]|\s)?(?:我会(?:先|只|把|用|继续|做|改|跑|等|查|核实|从|按|清|尝试|恢复)|{_LATER}|{_ME}|{_NOW}).*$"
 _ENDINGS = [
     r"(?i)\s+so\s+i(?:'ll|’ll| will)\s+also\s+use\b.*$",
