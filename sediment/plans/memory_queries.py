@@ -87,13 +87,13 @@ def memory_text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: A query of plain and specific tokens that stand near one another in some turns, and the project that it is asked in.
 RECORD_QUERY, PROJECT = [*SPECIFIC_QUERY, "été", "workflow"], "/work/notes/p3"
-_RECORDS = """(SELECT conv_id, turn, text, 'said by ' || role || ' in p' || (conv_id % 5) AS summary, CASE WHEN turn % 9 = 0 THEN 'log.txt: les' WHEN turn % 7 = 0 THEN 'top hit in les' ELSE role END AS title, 'p' || (conv_id % 5) AS project, [role, 'les turn-' || turn] AS tags FROM conversations)"""
+_RECORDS = """(SELECT conv_id, turn, text, coalesce(text, '') AS summary, CASE WHEN turn % 9 = 0 THEN 'log.txt: les' WHEN turn % 7 = 0 THEN 'top hit in les' ELSE role END AS title, 'p' || (conv_id % 5) AS project, [role, 'les turn-' || turn] AS tags FROM conversations)"""
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.when(F.col("turn") % 9 == 0, "log.txt: les").when(F.col("turn") % 7 == 0, "top hit in les").otherwise(F.col("role"))
     turns = _table(spark, sf_dir, "conversations")
-    return turns.select("conv_id", "turn", "text", F.concat(F.lit("said by "), "role", F.lit(" in p"), (F.col("conv_id") % 5).cast("string")).alias("summary"), title.alias("title"), F.concat(F.lit("p"), (F.col("conv_id") % 5).cast("string")).alias("project"), F.array("role", F.concat(F.lit("les turn-"), F.col("turn").cast("string"))).alias("tags"))
+    return turns.select("conv_id", "turn", "text", F.coalesce("text", F.lit("")).alias("summary"), title.alias("title"), F.concat(F.lit("p"), (F.col("conv_id") % 5).cast("string")).alias("project"), F.array("role", F.concat(F.lit("les turn-"), F.col("turn").cast("string"))).alias("tags"))
 
 
 def scored_sql(relation: str, query: list[str], project: str, texts: dict[str, tuple[int, str]], telling: tuple[str, ...], prefix: str = "") -> str:
@@ -134,7 +134,8 @@ WHERE len(m) > 0 AND NOT talk AND list_has_any(m, {_list([t for t in meaningful
 
 
 _RECORD_TEXTS = {"text": (15, "text"), "summary": (12, "summary"), "title": (5, "CASE WHEN NOT gt THEN title END"), "named": (1, "CASE WHEN gt THEN title END"), "project": (3, "project"), "tag1": (2, "tags[1]"), "tag2": (2, "tags[2]")}
-_TALK = f"regexp_matches(lower(title || ' ' || summary), '{P.SEARCH_TALK}') OR (regexp_matches(lower(title || ' ' || summary), '{P.SEARCH_CLAIM}') AND regexp_matches(lower(title || ' ' || summary), '{P.SEARCH_SUBJECT}'))"
+_SIGNAL = f"lower({_compact("title || ' ' || summary")})"
+_TALK = f"regexp_matches({_SIGNAL}, '{P.SEARCH_TALK}') OR (regexp_matches({_SIGNAL}, '{P.SEARCH_CLAIM}') AND regexp_matches({_SIGNAL}, '{P.SEARCH_SUBJECT}'))"
 _RECORD_CTES = f"r AS (SELECT *, regexp_matches(lower(title), '\\.(?:jsonl|json|log|txt|md)\\b') AND contains(title, ':') AS gt, {_TALK} AS talk FROM {_RECORDS}),\n" + scored_sql("r", RECORD_QUERY, PROJECT, _RECORD_TEXTS, ("text", "summary"), "r_")
 
 
