@@ -39,3 +39,10 @@ def test_record_scores_read_whole_summaries(spark, turns):
     assert [(r["conv_id"], r["turn"], r["score"]) for r in rows.collect()] == [(1, 1, whole)]
     assert whole > scored(spark, TURNS[0][3][:80]) and whole > scored(spark, "said by user in p1")
     assert rows_of(rows)[0] == sql(turns, "record_scores")
+
+
+def test_context_package_reads_whole_summaries(spark, turns):
+    rows = catalog.queries()["context_package"](spark, turns)
+    others = [(r["id"], r["score"]) for r in rows.collect() if r["kind"] == "index"]
+    assert others == [("r1-1", scored(spark, TURNS[0][3]) + search.INDEX_BONUS)]
+    assert rows_of(rows)[0] == sql(turns, "context_package")
