@@ -79,7 +79,7 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def compact_whitespace(text: Column) -> Column:
     """Runs of white space become one space; ends are trimmed. Null stays null."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, r"\s{2,}|[\t\n\x0B\f\r]", " "))  # a space by itself stays as it is
 
 
 def normalize_memory_text(text: Column) -> Column:
@@ -93,8 +93,7 @@ def text_key(text: Column) -> Column:
 
 def clip(text: Column, limit: int) -> Column:
     """Compact text of at most `limit` characters, an ellipsis in the last three."""
-    flat = compact_whitespace(text)
-    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, limit - 3)), F.lit("...")))
+    return let(compact_whitespace(text), lambda flat: F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, limit - 3)), F.lit("..."))))
 
 
 def slugify(text: Column, fallback: str = "item") -> Column:

@@ -189,4 +189,5 @@ def title_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions import titles
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return docs.select("doc_id", titles.clean_title(F.col("text")).alias("title"), titles.title_score(F.col("text")).alias("score"), F.sha2(titles.durable_text(F.col("text")), 256).alias("durable_sha256"), F.sha2(titles.without_narration(F.col("text")), 256).alias("told_sha256"))
+    cleaned = docs.select("doc_id", titles.clean_title(F.col("text")).alias("title"), F.sha2(titles.durable_text(F.col("text")), 256).alias("durable_sha256"), F.sha2(titles.without_narration(F.col("text")), 256).alias("told_sha256"))
+    return cleaned.select("doc_id", "title", titles.score_of_title(F.col("title")).alias("score"), "durable_sha256", "told_sha256")
