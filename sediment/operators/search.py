@@ -340,14 +340,19 @@ def merged_hits(hits: DataFrame) -> DataFrame:
     return rated.groupBy("query_id", "path").agg((F.max("score") + F.sum(F.when(F.col("_place") > 1, F.col("_bonus")).otherwise(0))).alias("score"), F.when(F.size(kinds) > 1, "mixed").otherwise(kinds[0]).alias("kind"))
 
 
+#: Pairs of a document and an item that one task ranks, about (rank_passages).
+PAIRS = 500_000
+
+
 def rank_passages(queries: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
     """item_id, doc_id, score, place: documents by the weighted tokens that they share with each item.
 
-    Tokens that no item asks for go before anything is shuffled; partial sums come before the shuffle, and each task keeps its
-    best `limit` of an item only.
+    Tokens that no item asks for go first. A document's tokens are counted and scored in one task, for about PAIRS pairs of a document
+    and an item, so that a task's tables don't grow with the documents; it keeps its best `limit` of an item only.
     """
     asked = queries.select("item_id", F.explode(T.query_tokens(F.col("text"))).alias("token"))
-    every = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(T.TOKEN), 0)).alias("token"))
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() * queries.count() // PAIRS))
+    every = docs.select("doc_id", "text").repartition(parts, "doc_id").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(T.TOKEN), 0)).alias("token"))
     counted = every.join(asked.select("token").distinct(), "token", "left_semi").groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("times"))
     weight = F.least("times", F.lit(5)) * T.token_importance(F.col("token"))
     scored = counted.join(asked, "token").groupBy("item_id", "doc_id").agg(F.sum(weight).alias("score"))
