@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import cut
 
 #: Tokens whose loss alone doesn't narrow a fact.
 DETAIL_WORDS = ["anchor", "raw", "source"]
@@ -51,7 +52,10 @@ def relation(current: Column, old: Column, current_polarity: Column, old_polarit
 
 def _told(nodes: DataFrame) -> DataFrame:
     """id, tokens, polarity of facts that say enough to be related."""
-    return nodes.select("id", F.array_sort(T.semantic_tokens(F.col("text"))).alias("tokens"), T.semantic_polarity(F.col("text")).alias("polarity")).filter(F.size("tokens") >= 4)
+    read = nodes.select("id", "text", F.lower("text").alias("_low")).select("id", "text", T.plain_words(F.col("_low")).alias("_words"))
+    told = F.struct(F.sort_array(T.semantic_tokens(F.col("text"), F.col("_words"))).alias("tokens"), T.semantic_polarity(F.col("text"), F.col("_words")).alias("polarity"))
+    # a generator of one row: the filter isn't pushed down into the tokens, where they would be worked out again
+    return read.select("id", F.inline(F.array(told))).filter(F.size("tokens") >= 4)
 
 
 def fact_classes(nodes: DataFrame) -> DataFrame:
@@ -59,9 +63,9 @@ def fact_classes(nodes: DataFrame) -> DataFrame:
 
     With `related_classes` this gives every link: a fact relates to the older facts of each class that its own relates to.
     """
-    told = _told(nodes).withColumn("key", F.xxhash64("tokens", "polarity"))
+    told = cut(_told(nodes).select("id", F.xxhash64("tokens", "polarity").alias("key")))  # texts are read once
     sizes = told.groupBy("key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_facts"))
-    return told.select("id", "key").join(sizes, "key").select("id", "class_id", "n_facts")
+    return told.join(sizes, "key").select("id", "class_id", "n_facts")
 
 
 def related_pairs(nodes: DataFrame) -> DataFrame:
